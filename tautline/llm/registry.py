@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from tautline.llm import quality
+from tautline.llm import quality, sharding, simhash
 
-MODULES = (quality,)
+MODULES = (simhash, quality, sharding)
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 ORACLE_SQL = {k: x for m in MODULES for k, x in getattr(m, "ORACLE_SQL", {}).items()}
