@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from tautline.llm import bpe, html, pii, quality, secrets, sharding, simhash, substring
+from tautline.llm import bpe, html, lines, pii, quality, secrets, sharding, simhash, substring
 
-MODULES = (secrets, html, simhash, substring, pii, quality, bpe, sharding)
+MODULES = (secrets, html, simhash, substring, pii, lines, quality, bpe, sharding)
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 ORACLE_SQL = {k: x for m in MODULES for k, x in getattr(m, "ORACLE_SQL", {}).items()}

@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tautline.functions.durable import durable
+from tautline.llm.keys import keyed
 from tautline.llm.words import WORD_A, WORD_B, WordHash, Words, blocks, doubled, window_hashes
 
 BASE = 5
@@ -60,12 +61,6 @@ class Anchors:
         self.full = doubled(doubled(window_hashes(b.of(w), BASE), BASE), 2 * BASE)
 
 
-def keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
-    t = F.coalesce(F.col(text), F.lit(""))
-    unnamed = F.lit(-(1 << 63)) + F.xxhash64(t).bitwiseAND(F.lit((1 << 61) - 1))
-    return docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(key).cast("long"), unnamed).alias("key"), t.alias("text"))
-
-
 def copies(rows: DataFrame) -> DataFrame:
     """key of each document whose whole text an earlier one has."""
     digests = durable(rows.select("key", F.xxhash64("text").alias("d1"), F.md5("text").alias("d2")).distinct(), "digests")
