@@ -156,10 +156,10 @@ class Encoder:
 def encode_decode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_tokens, ids (binary: little-endian unsigned 32-bit integers), decoded. path: the vocabulary file, on the driver."""
     spark = docs.sparkSession
-    vocabulary = spark.sparkContext.broadcast(Vocabulary.load(path))
+    vocabulary = spark.sparkContext.broadcast(vars(Vocabulary.load(path)))
 
     def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = Encoder(vocabulary.value)
+        encoder = Encoder(Vocabulary(**vocabulary.value))
         for x in batches:
             upto = np.cumsum([len(t) for t in x["text"]]) // CHARS
             for _, part in x.groupby(upto, sort=False):

@@ -24,9 +24,12 @@ from pyspark.sql import functions as F
 
 from tautline.functions.durable import durable
 from tautline.llm.components import connected_components
+from tautline.llm.keys import document_key
 
 #: Shingles whose bits are unpacked at once.
 BLOCK = 1 << 16
+#: Rows of a side that is broadcast at most; beyond it joins are shuffled.
+MOST = 1_000_000
 
 
 def shingle_hashes(text: str | None, size: int) -> np.ndarray:
@@ -110,6 +113,19 @@ def near_duplicates(docs: DataFrame, size: int = 3, radius: int = 2, key: str =
     return rows.join(of_fp, "fp").select("doc_id", "fp", "component_id", "n_links")
 
 
+def first_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """docs with one document of each component: that of the smallest doc_id. Rows that repeat a doc_id go as well."""
+    rows = docs.withColumn("_key", document_key(F.col(key), F.col(text)))
+    found = durable(near_duplicates(rows, key="_key", text=text).select(F.col("doc_id").alias("_key"), "component_id"), "components")
+    later = found.filter(F.col("_key") != F.col("component_id")).select("_key").distinct()
+    twice = found.groupBy("_key").count().filter("count > 1").select("_key")
+    rows = rows.join(F.broadcast(later) if later.count() <= MOST else later, "_key", "left_anti")
+    if again := twice.count():
+        twice = F.broadcast(twice) if again <= MOST else twice
+        rows = rows.join(twice, "_key", "left_anti").unionByName(rows.join(twice, "_key", "left_semi").dropDuplicates(["_key"]))
+    return rows.select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def op4_simhash(spark, sf_dir: str) -> DataFrame:
     out = near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "n_links")
