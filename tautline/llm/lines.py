@@ -21,11 +21,13 @@ dedup_lines(), names that begin with an underscore aside.
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tautline.functions.durable import durable
+from tautline.functions.durable import durable, shared_dir
 from tautline.llm.quality import let
 from tautline.llm.keys import document_key, keyed
 
@@ -43,13 +45,13 @@ def line_words(line: Column) -> Column:
     return F.when(odd, F.array_remove(F.split(line, r"[ \x09-\x0D]+"), "")).otherwise(F.split(line, " "))
 
 
-def bucket(word: Column) -> Column:
-    return F.pmod(F.xxhash64(word), F.lit(BUCKETS)).cast("int")
+def bucket(h: Column) -> Column:
+    return h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")
 
 
 def rarities(rows: DataFrame) -> bytes:
     """One byte for each bucket: four times the binary logarithm of its words' count, from 1 on."""
-    each = rows.select(F.explode(F.split("text", "[ \\n]")).alias("w")).groupBy(bucket(F.col("w")).alias("b")).agg(F.count("*").alias("n"))
+    each = rows.select(F.explode(F.split(F.replace(F.col("text"), F.lit("\n"), F.lit(" ")), " ")).alias("w")).groupBy(bucket(F.xxhash64("w")).alias("b")).agg(F.count("*").alias("n"))
     counts = np.zeros(BUCKETS)
     for batch in each.toArrow().to_batches():  # BUCKETS rows at most
         counts[batch["b"].to_numpy()] = batch["n"].to_numpy()
@@ -61,9 +63,9 @@ def line_sets(rows: DataFrame, rarity: bytes) -> DataFrame:
     a, b = SIMILAR
     table = F.lit(bytearray(rarity))
 
-    def code(w: Column) -> Column:
-        rare = F.ascii(F.substring(table, bucket(w) + 1, F.lit(1)).cast("string")).cast("long")
-        return F.shiftleft(rare, HASH_BITS).bitwiseOR(F.xxhash64(w).bitwiseAND(F.lit((1 << HASH_BITS) - 1)))
+    def code(h: Column) -> Column:
+        rare = F.ascii(F.substring(table, bucket(h) + 1, F.lit(1)).cast("string")).cast("long")
+        return F.shiftleft(rare, HASH_BITS).bitwiseOR(h.bitwiseAND(F.lit((1 << HASH_BITS) - 1)))
 
     def measured(c: Column) -> Column:
         bit = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))
@@ -74,7 +76,7 @@ def line_sets(rows: DataFrame, rarity: bytes) -> DataFrame:
         )
 
     lines = rows.select("key", F.posexplode(F.split("text", "\n")).alias("line", "t"))
-    sets = lines.select("key", "line", let(F.sort_array(F.array_distinct(F.transform(line_words(F.col("t")), code))), measured).alias("s"))
+    sets = lines.select("key", "line", let(F.sort_array(F.transform(F.array_distinct(F.transform(line_words(F.col("t")), lambda w: F.xxhash64(w))), code)), measured).alias("s"))
     short = F.col("s.n") < MIN_WORDS
     sets = sets.select(
         "key", "line", F.when(short, F.col("key")).otherwise(F.col("s.set1")).alias("set1"), F.when(short, F.col("line")).otherwise(F.col("s.set2")).alias("set2"),
@@ -109,26 +111,37 @@ def verified(pairs: DataFrame, rows: DataFrame) -> DataFrame:
     return both.filter(similar).select(F.col("xk").alias("key"), F.col("xl").alias("line")).distinct()
 
 
-def later_lines(sets: DataFrame, rows: DataFrame) -> DataFrame:
+def postings(sets: DataFrame) -> DataFrame:
+    """One row for each word of each prefix (code null where the prefix is empty), written once in buckets of the code: the rounds
+    below compare rows of one code without dealing them again."""
+    spark = sets.sparkSession
+    rows = sets.select("key", "line", "n", "sig", F.posexplode_outer("prefix").alias("pos", "code"))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name = f"postings_{uuid.uuid4().hex}"
+    dealt = rows.repartition(parts, F.coalesce("code", "key"))
+    dealt.write.bucketBy(parts, "code").sortBy("code").option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
+    return spark.table(name)
+
+
+def later_lines(posted: DataFrame, rows: DataFrame) -> DataFrame:
     """key and line of the first lines of those sets that have a similar earlier set."""
-    posted = sets.select("key", "line", "n", "sig", F.posexplode("prefix").alias("pos", "code"))
-    dealt = posted.repartition("code")
-    place = F.struct("key", "line")
-    leaders = dealt.groupBy("code").agg(F.min(F.struct("key", "line", "n", "pos", "sig")).alias("y"), F.count("*").alias("members"))
-    led = dealt.alias("x").join(leaders, "code").filter(_filters("x", "y") & (F.struct("x.key", "x.line") > F.struct("y.key", "y.line")))
+    posted = posted.filter("code is not null")
+    leaders = posted.groupBy("code").agg(F.min(F.struct("key", "line", "n", "pos", "sig")).alias("y"), F.count("*").alias("members")).filter("members > 1")
+    later = F.struct("x.key", "x.line") > F.struct("y.key", "y.line")
+    led = posted.alias("x").join(leaders, "code").filter(later & _filters("x", "y"))
     one = durable(verified(durable(_pairs(led), "led"), rows), "settled")
-    open_ = posted.join(one.withColumn("settled", F.lit(True)), ["key", "line"], "left").withColumn("settled", F.coalesce("settled", F.lit(False))).repartition("code")
-    longer = open_.groupBy("code").agg(F.count("*").alias("members"), F.min(place).alias("leader")).filter("members > 2").select("code", "leader")
-    rest = open_.join(longer, "code")
-    meets = (F.col("x.code") == F.col("y.code")) & (F.struct("y.key", "y.line") < F.struct("x.key", "x.line")) & _filters("x", "y")
-    met = rest.filter("not settled").alias("x").join(rest.filter(place != F.col("leader")).alias("y"), meets)
+    longer = posted.groupBy("code").agg(F.min(F.struct("key", "line")).alias("leader"), F.count("*").alias("members")).filter("members > 2").select("code", "leader")
+    rest = posted.join(longer, "code").filter(F.struct("key", "line") != F.col("leader")).drop("leader")
+    settled = F.broadcast(one) if one.count() <= MOST_LINES else one
+    met = rest.join(settled, ["key", "line"], "left_anti").alias("x").join(rest.alias("y"), (F.col("x.code") == F.col("y.code")) & later & _filters("x", "y"))
     return one.union(durable(verified(durable(_pairs(met), "met"), rows), "met-later"))
 
 
 def kept_lines(rows: DataFrame) -> DataFrame:
     """key and the sorted list `stay` of the lines that stay: the first of their set, without a similar earlier one."""
-    sets = durable(line_sets(rows, rarities(rows)), "sets")
-    stay = sets.select("key", "line").join(later_lines(sets, rows), ["key", "line"], "left_anti")
+    posted = postings(line_sets(rows, rarities(rows)))
+    later = later_lines(posted, rows)
+    stay = posted.filter("pos is null or pos = 0").select("key", "line").join(later, ["key", "line"], "left_anti")
     return durable(stay.groupBy("key").agg(F.sort_array(F.collect_list("line")).alias("stay")), "kept")
 
 
@@ -151,9 +164,13 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
 
 
 def op7_lines(spark, sf_dir: str) -> DataFrame:
-    out = with_kept(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
-    n_lines, n_removed = F.size("_lines").cast("long"), (F.size("_lines") - F.size("_stay")).cast("long")
-    return out.select("doc_id", n_lines.alias("n_lines"), n_removed.alias("n_removed"), F.sha2(kept_text(), 256).alias("kept_sha256"))
+    """n_lines, n_removed and the numbers (from 0) of the removed lines of each document."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    rows = keyed(docs)
+    n = rows.select("doc_id", "key", F.size(F.split("text", "\n")).alias("n"))
+    out = n.join(kept_lines(rows), "key", "left").withColumn("stay", F.coalesce("stay", F.array().cast("array<int>")))
+    gone = F.array_except(F.sequence(F.lit(0), F.col("n") - 1), F.col("stay"))
+    return out.select("doc_id", F.col("n").cast("long").alias("n_lines"), F.size(gone).cast("long").alias("n_removed"), F.array_join(gone.cast("array<string>"), ",").alias("removed"))
 
 
 QUERIES = {"op7_lines": op7_lines}
