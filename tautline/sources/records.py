@@ -38,7 +38,7 @@ def parse_endpoints(records: DataFrame) -> DataFrame:
 def _values(spark: SparkSession, path: str, suffix: str, continued: list[str]) -> DataFrame:
     """path, key, value of the key/value lines of all records under a folder; lines without a key continue the one above where that
     key may be continued. Blank lines and # comments go; what is under .pending is left out."""
-    text = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", f"*.{suffix}").text(path).select(F.col("_metadata.file_path").alias("path"), "value")
+    text = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", suffix).text(path).select(F.col("_metadata.file_path").alias("path"), "value")
     lines = text.filter(~F.col("path").contains("/.pending/")).select("path", F.posexplode(F.split("value", "\n")).alias("pos", "line"))
     lines = lines.filter((F.trim("line") != "") & ~F.ltrim("line").startswith("#"))
     key = F.regexp_extract("line", r"^([a-z_]+(?:\.[01])?)\s*=\s*", 1)
@@ -51,20 +51,20 @@ def _values(spark: SparkSession, path: str, suffix: str, continued: list[str]) -
     return got.select("path", "key", F.when(F.col("key").isin(continued), joined).otherwise(F.element_at("vs", 1)["v"]).alias("value"))
 
 
-def scan_links(spark: SparkSession, path: str) -> DataFrame:
+def scan_links(spark: SparkSession, path: str, files: str = "*") -> DataFrame:
     """layer, uuid, error and one column for each key (dots as nothing) of all link records under a folder of layers."""
-    v = _values(spark, path, "bilink", ["link.0", "link.1"])
+    v = _values(spark, path, files, ["link.0", "link.1"])
     wide = v.groupBy("path").pivot("key", LINK_KEYS).agg(F.first("value"))
     out = wide.select("path", *[F.col(f"`{k}`").alias(k.replace(".", "")) for k in LINK_KEYS])
-    uuid = F.regexp_extract("path", r"([^/]+)\.bilink$", 1)
+    uuid = F.regexp_extract("path", r"([0-9a-f]{8}-[0-9a-f-]{27})[^/]*(?:/[^/]*)?$", 1)
     layer = F.regexp_extract("path", r"layer=([^/]+)/", 1)
     error = F.when(F.col("link0").isNull() | F.col("link1").isNull(), "a link is missing")
     return out.select(F.url_decode(layer).alias("layer"), uuid.alias("uuid"), *[k.replace(".", "") for k in LINK_KEYS], error.alias("error"))
 
 
-def scan_symbol_links(spark: SparkSession, path: str) -> DataFrame:
+def scan_symbol_links(spark: SparkSession, path: str, files: str = "*") -> DataFrame:
     """One column for each key, and error, of all symbol records under a folder."""
-    wide = _values(spark, path, "sciplink", []).groupBy("path").pivot("key", SYMBOL_KEYS).agg(F.first("value"))
+    wide = _values(spark, path, files, []).groupBy("path").pivot("key", SYMBOL_KEYS).agg(F.first("value"))
     span = F.split("range", "~")
     error = F.when(F.col("symbol").isNull() | F.col("file").isNull() | F.col("range").isNull(), "symbol, file or range is missing")
     return wide.select("symbol", "file", F.get(span, F.lit(0)).try_cast("long").alias("range_start"), F.get(span, F.lit(1)).try_cast("long").alias("range_end"), "hash", "commit", "state", error.alias("error"))
