@@ -38,8 +38,9 @@ def parse_endpoints(records: DataFrame) -> DataFrame:
 def _values(spark: SparkSession, path: str, suffix: str, continued: list[str]) -> DataFrame:
     """path, key, value of the key/value lines of all records under a folder; lines without a key continue the one above where that
     key may be continued. Blank lines and # comments go; what is under .pending is left out."""
-    text = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", suffix).text(path).select(F.col("_metadata.file_path").alias("path"), "value")
-    lines = text.filter(~F.col("path").contains("/.pending/")).select("path", F.posexplode(F.split("value", "\n")).alias("pos", "line"))
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", suffix).load(path)
+    text = files.select("path", F.decode("content", "UTF-8").alias("value"))
+    lines = text.filter(~F.col("path").contains("/.pending/")).select("path", F.explode(F.transform(F.split("value", "\n"), lambda x, i: F.struct(i.alias("pos"), x.alias("line")))).alias("l")).select("path", "l.*")
     lines = lines.filter((F.trim("line") != "") & ~F.ltrim("line").startswith("#"))
     key = F.regexp_extract("line", r"^([a-z_]+(?:\.[01])?)\s*=\s*", 1)
     lines = lines.withColumn("k", F.when(key != "", key))
