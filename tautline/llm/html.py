@@ -49,7 +49,7 @@ def marked(attributes: str) -> bool:
 
 
 def page_lines(html: str) -> list[tuple[str, int, bool]]:
-    """(text, characters outside of links, inside the article) of each line of a page."""
+    """(text, characters outside of links without blanks, inside the article) of each line of a page."""
     lines: list[tuple[str, int, bool]] = []
     parts: list[str] = []
     linked: list[str] = []
@@ -58,7 +58,8 @@ def page_lines(html: str) -> list[tuple[str, int, bool]]:
     def flush() -> None:
         nonlocal parts, linked
         text = " ".join(unescape("".join(parts)).split())
-        lines.append((text, len(text) - len(" ".join(unescape("".join(linked)).split())), inside > 0))
+        solid = lambda x: len("".join(unescape("".join(x)).split()))
+        lines.append((text, solid(parts) - solid(linked), inside > 0))
         parts, linked = [], []
 
     at = 0
