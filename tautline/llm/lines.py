@@ -9,7 +9,7 @@ different words are left alone. Steps:
   same under any order of words.
 - A line becomes the sorted array of its words' codes: rarity, then hash. Lines of equal sets fold into the first one.
 - Prefix filter: the rarest words of each set, so many that similar sets share one of them, are listed by code. Pairs
-  from one list pass the length filter, the positional filter and a bound from 64-bit parity signatures.
+  from one list pass the length filter, the positional filter and a bound from 128-bit parity signatures.
 - First every set is compared with the earliest set of its lists, which settles most members of large groups of
   near copies at a linear cost; sets that are still undecided then meet all earlier sets of their longer lists.
 - Each candidate pair is verified on the words of its two lines.
@@ -37,7 +37,7 @@ MIN_WORDS = 3
 BUCKETS = 1 << 18
 HASH_BITS = 55
 #: Lines to verify are looked up in a broadcast list if they are this many at most, else by a shuffled join.
-MOST_LINES = 500_000
+MOST_LINES = 1_000_000
 
 
 def line_words(line: Column) -> Column:
@@ -59,7 +59,7 @@ def rarities(rows: DataFrame) -> bytes:
 
 
 def line_sets(rows: DataFrame, rarity: bytes) -> DataFrame:
-    """set1, set2, n (which name a set; a line of too few words is a set of its own, without prefix), key and line of its first line, prefix (array of codes), sig (parity signature)."""
+    """set1, set2, n (which name a set; a line of too few words is a set of its own, without prefix), key and line of its first line, prefix (array of codes), sig and sig2 (the halves of a 128-bit parity signature)."""
     a, b = SIMILAR
     table = F.lit(bytearray(rarity))
 
@@ -69,10 +69,11 @@ def line_sets(rows: DataFrame, rarity: bytes) -> DataFrame:
 
     def measured(c: Column) -> Column:
         bit = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))
+        half = lambda h: F.aggregate(c, F.lit(0).cast("long"), lambda acc, x: F.when(x.bitwiseAND(F.lit(64)) == h, acc.bitwiseXOR(bit(x))).otherwise(acc))
         n = F.size(c)
         return F.struct(
             F.xxhash64(c).alias("set1"), F.hash(c).alias("set2"), n.alias("n"), F.slice(c, 1, n - F.floor((a * n + b - 1) / b).cast("int") + 1).alias("prefix"),
-            F.aggregate(c, F.lit(0).cast("long"), lambda acc, x: acc.bitwiseXOR(bit(x))).alias("sig"),
+            half(0).alias("sig"), half(64).alias("sig2"),
         )
 
     lines = rows.select("key", F.posexplode(F.split("text", "\n")).alias("line", "t"))
@@ -80,18 +81,20 @@ def line_sets(rows: DataFrame, rarity: bytes) -> DataFrame:
     short = F.col("s.n") < MIN_WORDS
     sets = sets.select(
         "key", "line", F.when(short, F.col("key")).otherwise(F.col("s.set1")).alias("set1"), F.when(short, F.col("line")).otherwise(F.col("s.set2")).alias("set2"),
-        "s.n", F.when(short, F.array().cast("array<long>")).otherwise(F.col("s.prefix")).alias("prefix"), "s.sig",
+        "s.n", F.when(short, F.array().cast("array<long>")).otherwise(F.col("s.prefix")).alias("prefix"), "s.sig", "s.sig2",
     )
-    return sets.groupBy("set1", "set2", "n").agg(F.min(F.struct("key", "line", "prefix", "sig")).alias("first")).select("set1", "set2", "n", "first.*")
+    return sets.groupBy("set1", "set2", "n").agg(F.min(F.struct("key", "line", "prefix", "sig", "sig2")).alias("first")).select("set1", "set2", "n", "first.*")
 
 
 def _filters(x: str, y: str) -> Column:
-    """Length, positional and signature filter for a pair that shares a word at the places x.pos and y.pos."""
+    """Length, signature and positional filter for a pair that shares a word at the places x.pos and y.pos, y earlier."""
     a, b = SIMILAR
     n, m, p, q = F.col(f"{x}.n"), F.col(f"{y}.n"), F.col(f"{x}.pos"), F.col(f"{y}.pos")
     least = F.expr(f"({a} * ({x}.n + {y}.n) + {a + b - 1}) div {a + b}")
     rest = F.least(n - p, m - q)
-    return (b * F.least(n, m) >= a * F.greatest(n, m)) & (rest >= least) & (F.bit_count(F.col(f"{x}.sig").bitwiseXOR(F.col(f"{y}.sig"))) <= n + m - 2 * least)
+    apart = F.bit_count(F.col(f"{x}.sig").bitwiseXOR(F.col(f"{y}.sig"))) + F.bit_count(F.col(f"{x}.sig2").bitwiseXOR(F.col(f"{y}.sig2")))
+    later = (F.col(f"{y}.key") < F.col(f"{x}.key")) | ((F.col(f"{y}.key") == F.col(f"{x}.key")) & (F.col(f"{y}.line") < F.col(f"{x}.line")))
+    return (b * n >= a * m) & (b * m >= a * n) & (apart <= n + m - 2 * least) & (rest >= least) & later
 
 
 def _pairs(joined: DataFrame) -> DataFrame:
@@ -115,7 +118,7 @@ def postings(sets: DataFrame) -> DataFrame:
     """One row for each word of each prefix (code null where the prefix is empty), written once in buckets of the code: the rounds
     below compare rows of one code without dealing them again."""
     spark = sets.sparkSession
-    rows = sets.select("key", "line", "n", "sig", F.posexplode_outer("prefix").alias("pos", "code"))
+    rows = sets.select("key", "line", "n", "sig", "sig2", F.posexplode_outer("prefix").alias("pos", "code"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     name = f"postings_{uuid.uuid4().hex}"
     dealt = rows.repartition(parts, F.coalesce("code", "key"))
@@ -126,14 +129,13 @@ def postings(sets: DataFrame) -> DataFrame:
 def later_lines(posted: DataFrame, rows: DataFrame) -> DataFrame:
     """key and line of the first lines of those sets that have a similar earlier set."""
     posted = posted.filter("code is not null")
-    leaders = posted.groupBy("code").agg(F.min(F.struct("key", "line", "n", "pos", "sig")).alias("y"), F.count("*").alias("members")).filter("members > 1")
-    later = F.struct("x.key", "x.line") > F.struct("y.key", "y.line")
-    led = posted.alias("x").join(leaders, "code").filter(later & _filters("x", "y"))
+    leaders = posted.groupBy("code").agg(F.min(F.struct("key", "line", "n", "pos", "sig", "sig2")).alias("y"), F.count("*").alias("members")).filter("members > 1")
+    led = posted.alias("x").join(leaders, "code").filter(_filters("x", "y"))
     one = durable(verified(durable(_pairs(led), "led"), rows), "settled")
     longer = posted.groupBy("code").agg(F.min(F.struct("key", "line")).alias("leader"), F.count("*").alias("members")).filter("members > 2").select("code", "leader")
     rest = posted.join(longer, "code").filter(F.struct("key", "line") != F.col("leader")).drop("leader")
     settled = F.broadcast(one) if one.count() <= MOST_LINES else one
-    met = rest.join(settled, ["key", "line"], "left_anti").alias("x").join(rest.alias("y"), (F.col("x.code") == F.col("y.code")) & later & _filters("x", "y"))
+    met = rest.join(settled, ["key", "line"], "left_anti").alias("x").join(rest.alias("y"), (F.col("x.code") == F.col("y.code")) & _filters("x", "y"))
     return one.union(durable(verified(durable(_pairs(met), "met"), rows), "met-later"))
 
 
