@@ -12,7 +12,7 @@ doc_id, or earlier in the same one. Windows repeated at one length alone are ext
 
 No window outlives the last length, which is the one asked for. Copies of a whole text fold into the first one
 beforehand. A window is identified by two independent 64-bit hashes (the anchor's and its own) and its offset.
-Rows that carry hashes are dealt by the anchor's hash once and compared there at every level.
+Counts are summed up before rows are dealt by hash, and joins have a unique side, so that Spark can split a hot hash.
 
 Defined results: a null text counts as empty; a text with fewer words than WINDOW loses none; rows that share
 doc_id are one document repeated and come out alike (doc_id names a text); rows without doc_id stand before all others,
@@ -90,9 +90,9 @@ def find_anchors(rows: DataFrame) -> DataFrame:
 
 def repeated_extensions(anchors: DataFrame) -> DataFrame:
     """key and the sorted list `hits` of 2 * at + side for extensions (side 0: right, 1: left) that another place has too."""
-    dealt = anchors.repartition("base")
-    twice = dealt.groupBy("base").agg(F.count("*").alias("n")).filter("n > 1").select("base")
-    sides = dealt.join(twice.hint("shuffle_hash"), "base").select("base", "key", "at", F.posexplode(F.array("right", "left")).alias("side", "h"))
+    twice = anchors.groupBy("base").agg(F.count("*").alias("n")).filter("n > 1").select("base")
+    live = durable(anchors.join(twice, "base"), "live")
+    sides = live.select("base", "key", "at", F.posexplode(F.array("right", "left")).alias("side", "h"))
     again = sides.groupBy("base", "side", "h").agg(F.count("*").alias("n")).filter("n > 1").select("base", "side", "h")
     return sides.join(again, ["base", "side", "h"]).groupBy("key").agg(F.array_sort(F.collect_set(2 * F.col("at") + F.col("side"))).alias("hits"))
 
@@ -144,7 +144,7 @@ def candidate_runs(rows: DataFrame, hits: DataFrame, copied: DataFrame) -> DataF
 
 def repeated_windows(docs: DataFrame) -> DataFrame:
     """key and the list `gone` of (start, n): n neighbouring windows from there on start earlier elsewhere."""
-    runs = docs.filter(F.size("runs") > 0).select("key", F.explode("runs").alias("r")).select("key", "r.*").repartition("base")
+    runs = docs.filter(F.size("runs") > 0).select("key", F.explode("runs").alias("r")).select("key", "r.*")
     place = F.struct("key", "start")
     first = runs.groupBy("base", "offset", "whole", "n").agg(F.min(place).alias("first"))
     several = first.groupBy("base").agg(F.count("*").alias("n")).filter("n > 1").select("base")
@@ -190,7 +190,7 @@ def substring_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     copied = copies(rows)
     few = copied.count() <= MOST_COPIES
     distinct = rows.join(F.broadcast(copied) if few else copied, "key", "left_anti")
-    hits = durable(repeated_extensions(find_anchors(distinct)), "extensions")
+    hits = durable(repeated_extensions(durable(find_anchors(distinct), "anchors")), "extensions")
     runs = durable(candidate_runs(rows, hits, copied), "runs")
     return remove_repeated(runs, durable(repeated_windows(runs), "repeated"))
 
