@@ -251,14 +251,91 @@ def test_html(spark):
     assert sorted(r.n_chars for r in html.extract(df).collect()) == [0, len(html.main_text(page))]
 
 
-def test_pipeline(spark, docs):
+def plain_kept(text):
+    """The quality rules in plain Python."""
+    w, full = WORDS.findall(text), [x for x in text.split("\n") if WORDS.search(x)]
+    seen = collections.Counter(tuple(w[k : k + 3]) for k in range(len(w) - 2))
+    places = {k + i for k in range(len(w) - 2) if seen[tuple(w[k : k + 3])] > 1 for i in range(3)}
+    if len(w) < 50 or 100 * len(places) > 50 * len(w):
+        return False
+    at = {
+        "n_words": len(w), "mean_word_chars": sum(map(len, w)) / len(w), "symbol_ratio": sum(c in "#*$%&|<>" for c in text) / len(w), "stop_ratio": sum(x in quality.STOP_WORDS for x in w) / len(w),
+        "dup_line_ratio": (len(full) - len(set(full))) / len(full), "bullet_line_ratio": sum(bool(re.match(r"(?:[-*•‣·]|[0-9]+[.)])\s", x.lstrip(" "))) for x in full) / len(full),
+        "ellipsis_line_ratio": sum(x.rstrip(" ").endswith(("...", "…")) for x in full) / len(full),
+    }
+    return all((least is None or at[name] >= least) and (most is None or at[name] <= most) for name, least, most in quality.THRESHOLDS)
+
+
+def plain_lines(texts):
+    sets, out = [], {}
+    index = collections.defaultdict(list)
+    for i in sorted(texts):
+        keep = []
+        for x in texts[i].split("\n"):
+            w = frozenset(WORDS.findall(x))
+            if len(w) >= lines.MIN_WORDS:
+                common = collections.Counter(k for t in w for k in index[t])
+                hit = any(9 * n >= 4 * (len(w) + len(sets[k])) for k, n in common.items())
+                for t in w:
+                    index[t].append(len(sets))
+                sets.append(w)
+                if hit:
+                    continue
+            keep.append(x)
+        out[i] = "\n".join(keep)
+    return out
+
+
+def plain_groups(texts):
+    fps = {k: fp(t) for k, t in texts.items()}
+    group = {k: k for k in fps}
+
+    def top(k):
+        while group[k] != k:
+            k = group[k]
+        return k
+
+    ids = sorted(fps)
+    for i, a in enumerate(ids):
+        for b in ids[i + 1 :]:
+            if bin(fps[a] ^ fps[b]).count("1") <= 2:
+                x, y = top(a), top(b)
+                group[max(x, y)] = min(x, y)
+    return {k: texts[k] for k in ids if top(k) == k}
+
+
+def plain_clean(texts, items):
+    cut = lambda t: t.encode().lower().decode()
+    shingles = lambda w: collections.Counter(tuple(w[k : k + 5]) for k in range(len(w) - 4))
+    known = [(len(w), shingles(w)) for w in (WORDS.findall(cut(t)) for t in items) if len(w) >= 5]
+    out = {}
+    for i, t in texts.items():
+        w = WORDS.findall(cut(t))
+        grams = {tuple(w[k : k + 5]) for k in range(len(w) - 4)}
+        near = [(n, c) for n, c in known if len(grams & set(c)) >= 0.5 * len(c)]
+        if not any(sum((x & c).values()) >= 0.8 * sum((x | c).values()) for n, c in near for a in range(len(w) - n + 1) for x in [shingles(w[a : a + n])]):
+            out[i] = t
+    return out
+
+
+def test_pipeline_against_a_plain_version(spark):
+    import corpus_pipeline
+
+    d = "/root/testdata/sf0.001"
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{d}/documents.parquet").collect()}
+    items = [r.text for r in spark.read.parquet(f"{d}/benchmark.parquet").collect()]
+    want = plain_clean(plain_groups(plain_lines({k: t for k, t in texts.items() if plain_kept(t)})), items)
+    _encoder()
+    got = {r.doc_id: np.frombuffer(bytes(r.ids), "<u4").tolist() for r in corpus_pipeline.run(spark, d).collect()}
+    assert got == {k: LIBRARY.encode(t, add_special_tokens=False).ids for k, t in want.items()}
+
+
+def test_stages_keep_columns_whatever_their_names(spark, docs):
     import corpus_pipeline
 
-    out, d = docs, "/root/testdata/sf0.001"
+    out = docs.selectExpr("*", *[f"'{k}' as {c}" for k, c in enumerate("key line n fp rep component component_id start words row digest bucket cell hits n_words kept".split())])
+    names, kept = out.columns, {r.doc_id for r in quality.keep_good(docs).collect()}
     for name, stage in corpus_pipeline.STAGES:
-        new = stage(spark, out, d)
-        if name != "bpe":
-            assert new.columns == docs.columns, name
-        out = new
-    kept = {r.doc_id for r in quality.keep_good(docs).collect()}
+        out = stage(spark, out, "/root/testdata/sf0.001")
+        assert name == "bpe" or out.columns == names, name
     assert {r.doc_id for r in out.collect()} <= kept
