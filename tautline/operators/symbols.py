@@ -14,7 +14,7 @@ def callable_definitions(definitions: DataFrame) -> DataFrame:
 
 
 def symbol_key(symbol):
-    """The storage key of a symbol id."""
+    """The storage key of a symbol id (fixed values: what is replaced, and the suffix)."""
     s = F.regexp_replace(symbol, r"^(?:scip://)+", "")
     for a, b in (("/", "."), ("#", ".."), ("()", ""), (" ", "")):
         s = F.replace(s, F.lit(a), F.lit(b))

@@ -12,10 +12,10 @@ def suffixes(path):
     return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "/"))
 
 
-def watch_alerts(changes: DataFrame, endpoints: DataFrame) -> DataFrame:
+def watch_alerts(changes: DataFrame, endpoints: DataFrame, store: str = ".links/") -> DataFrame:
     """changes (event_id, file, event_type; may be a stream), endpoints (uuid, file) -> event_id, file, uuid: an alert for every linked record when a
-    modified path is the linked path or either one ends in the other. Paths inside the link store raise none."""
-    modified = changes.filter((F.col("event_type") == "modify") & ~F.col("file").contains(".bilink/"))
+    modified path is the linked path or either one ends in the other. Paths inside the folder `store` of link records raise none."""
+    modified = changes.filter((F.col("event_type") == "modify") & ~F.col("file").contains(store))
     linked = endpoints.select("uuid", F.col("file").alias("linked")).withColumn("suffix", F.explode(suffixes(F.col("linked"))))
     seen = modified.withColumn("suffix", F.explode(suffixes(F.col("file"))))
     hit = seen.join(linked, "suffix").filter((F.col("suffix") == F.col("file")) | (F.col("suffix") == F.col("linked")))

@@ -126,10 +126,10 @@ def test_resolve_id_prefix(spark):
 def test_records_round_trip(spark, tmp_path):
     (tmp_path / "layer=." / "x").mkdir(parents=True)
     uid = "01234567-89ab-cdef-0123-456789abcdef"
-    (tmp_path / "layer=." / f"{uid}.bilink").write_text("# c\n\nlink.0 = a.md\nlink.1 = b.java ::\n  (q)\nhash.0 = h\n")
+    (tmp_path / "layer=." / f"{uid}.link").write_text("# c\n\nlink.0 = a.md\nlink.1 = b.java ::\n  (q)\nhash.0 = h\n")
     (tmp_path / "layer=." / ".pending").mkdir()
-    (tmp_path / "layer=." / ".pending" / f"{uid}.bilink").write_text("link.0 = z\n")
-    (tmp_path / "layer=." / "11111111-89ab-cdef-0123-456789abcdef.bilink").write_text("link.0 = a.md\n")
+    (tmp_path / "layer=." / ".pending" / f"{uid}.link").write_text("link.0 = z\n")
+    (tmp_path / "layer=." / "11111111-89ab-cdef-0123-456789abcdef.link").write_text("link.0 = a.md\n")
     got = {r.uuid: r for r in records.scan_links(spark, str(tmp_path)).collect()}
     assert (got[uid].link0, got[uid].link1, got[uid].hash0, got[uid].error) == ("a.md", "b.java :: (q)", "h", None)
     assert got["11111111-89ab-cdef-0123-456789abcdef"].error == "a link is missing" and len(got) == 2
