@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from tautline.functions.durable import durable
 from tautline.llm.components import connected_components
 from tautline.llm.keys import document_key
+from tautline.llm.similar import near_copies
 
 #: Shingles whose bits are unpacked at once.
 BLOCK = 1 << 16
@@ -114,9 +115,9 @@ def near_duplicates(docs: DataFrame, size: int = 3, radius: int = 2, key: str =
 
 
 def first_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with one document of each component: that of the smallest doc_id. Rows that repeat a doc_id go as well."""
+    """docs with one document of each component of near copies (similar.py): that of the smallest doc_id. Rows that repeat a doc_id go as well."""
     rows = docs.withColumn("_key", document_key(F.col(key), F.col(text)))
-    found = durable(near_duplicates(rows, key="_key", text=text).select(F.col("doc_id").alias("_key"), "component_id"), "components")
+    found = durable(near_copies(rows, key="_key", text=text).select(F.col("doc_id").alias("_key"), "component_id"), "components")
     later = found.filter(F.col("_key") != F.col("component_id")).select("_key").distinct()
     twice = found.groupBy("_key").count().filter("count > 1").select("_key")
     rows = rows.join(F.broadcast(later) if later.count() <= MOST else later, "_key", "left_anti")

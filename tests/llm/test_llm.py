@@ -10,7 +10,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tautline.llm import bpe, components, decontaminate, html, lines, pii, quality, secrets, sharding, simhash, substring
+from tautline.llm import bpe, components, decontaminate, html, lines, pii, quality, secrets, sharding, similar, simhash, substring
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -105,6 +105,37 @@ def test_near_duplicates_leave_one(docs, empty):
     assert simhash.first_of_each(empty).count() == 0
 
 
+def shingle_set(text):
+    w = WORDS.findall((text or "").encode().lower().decode())
+    return {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+
+
+def test_near_copies_are_linked_from_a_similarity_of_08(spark):
+    """Every pair of planted copies with changed words is linked from 0.8 on, and no other; a radius of two bits finds few of them."""
+    out = {0: "", 1: None, 2: "one two", 3: "One  two", 4: "one two three"}
+    for k in range(40):
+        base = prose(1000 + k, 60 + 9 * k, 5000).split()
+        out[100 + 10 * k] = " ".join(base)
+        for changes in range(1, 8):
+            w = list(base)
+            for at in np.random.default_rng(100 * k + changes).choice(len(w), changes, replace=False):
+                w[at] = f"new{at}"
+            out[100 + 10 * k + changes] = " ".join(w)
+    sets = {k: shingle_set(t) for k, t in out.items()}
+    group, pairs, near = {k: k for k in out}, 0, 0
+    fps = {k: fp(t) for k, t in out.items()}
+    for a in sorted(out):
+        for b in range(a + 1, a + 10):
+            if b in out and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                pairs, near = pairs + 1, near + ((fps[a] ^ fps[b]).bit_count() <= 2)
+                x, y = sorted((group[a], group[b]))
+                group = {k: x if v == y else v for k, v in group.items()}
+    assert pairs > 400 and near < 0.5 * pairs
+    df = spark.createDataFrame(list(out.items()), "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in similar.near_copies(df).collect()} == group
+    assert {r.doc_id for r in simhash.first_of_each(df).collect()} == {k for k, v in group.items() if k == v}
+
+
 def test_components(spark):
     links = [(k, k + 1) for k in range(20)] + [(100, 50), (50, 70), (200, 200)]
     got = {r.node: r.component for r in components.connected_components(spark.createDataFrame(links, "a long, b long")).collect()}
