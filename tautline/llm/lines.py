@@ -1,13 +1,13 @@
 """Line dedup by an exact set-similarity join, in DataFrame operations only.
 
 A line is the set of its words. A line goes if an earlier one (smaller doc_id, or earlier in the same document), whether
-that one stays or not, has a set with a Jaccard similarity of at least SIMILAR; lines with fewer than MIN_WORDS
-different words are left alone. Steps:
+that one stays or not, has a set with a Jaccard similarity of at least SIMILAR; lines without any word are left alone. Steps:
 
 - Words are counted over all documents in a fixed number of hashed buckets; a word's rarity is its bucket's count. The
   table of rarities has one byte a bucket and travels as a constant. It decides the order only: the result is the
   same under any order of words.
 - A line becomes the sorted array of its words' codes: rarity, then hash. Lines of equal sets fold into the first one.
+- Sets of so few words that only an equal set is similar need no more than that fold.
 - Prefix filter: the rarest words of each set, so many that similar sets share one of them, are listed by code. Pairs
   from one list pass the length filter, the positional filter and a bound from 128-bit parity signatures.
 - First every set is compared with the earliest set of its lists, which settles most members of large groups of
@@ -33,7 +33,7 @@ from tautline.llm.keys import document_key, keyed
 
 #: The similarity as a fraction, the least different words of a line that is looked at, buckets for counting words.
 SIMILAR = (4, 5)
-MIN_WORDS = 3
+MIN_WORDS = 1
 BUCKETS = 1 << 18
 HASH_BITS = 55
 #: Lines to verify are looked up in a broadcast list if they are this many at most, else by a shuffled join.
@@ -41,7 +41,7 @@ MOST_LINES = 1_000_000
 
 
 def line_words(line: Column) -> Column:
-    odd = line.rlike(r"[\x09-\x0D]|^ | $|  ")
+    odd = line.rlike(r"[\x09-\x0D]|^ | $|  |^$")
     return F.when(odd, F.array_remove(F.split(line, r"[ \x09-\x0D]+"), "")).otherwise(F.split(line, " "))
 
 
@@ -59,7 +59,7 @@ def rarities(rows: DataFrame) -> bytes:
 
 
 def line_sets(rows: DataFrame, rarity: bytes) -> DataFrame:
-    """set1, set2, n (which name a set; a line of too few words is a set of its own, without prefix), key and line of its first line, prefix (array of codes), sig and sig2 (the halves of a 128-bit parity signature)."""
+    """set1, set2, n (which name a set; a line without words is a set of its own), key and line of its first line, prefix (array of codes; empty if only equal sets are similar), sig and sig2 (the halves of a 128-bit parity signature)."""
     a, b = SIMILAR
     table = F.lit(bytearray(rarity))
 
@@ -78,10 +78,10 @@ def line_sets(rows: DataFrame, rarity: bytes) -> DataFrame:
 
     lines = rows.select("key", F.posexplode(F.split("text", "\n")).alias("line", "t"))
     sets = lines.select("key", "line", let(F.sort_array(F.transform(F.array_distinct(F.transform(line_words(F.col("t")), lambda w: F.xxhash64(w))), code)), measured).alias("s"))
-    short = F.col("s.n") < MIN_WORDS
+    short, alone = F.col("s.n") < MIN_WORDS, (b - a) * F.col("s.n") < a
     sets = sets.select(
         "key", "line", F.when(short, F.col("key")).otherwise(F.col("s.set1")).alias("set1"), F.when(short, F.col("line")).otherwise(F.col("s.set2")).alias("set2"),
-        "s.n", F.when(short, F.array().cast("array<long>")).otherwise(F.col("s.prefix")).alias("prefix"), "s.sig", "s.sig2",
+        "s.n", F.when(alone, F.array().cast("array<long>")).otherwise(F.col("s.prefix")).alias("prefix"), "s.sig", "s.sig2",
     )
     return sets.groupBy("set1", "set2", "n").agg(F.min(F.struct("key", "line", "prefix", "sig", "sig2")).alias("first")).select("set1", "set2", "n", "first.*")
 

@@ -179,6 +179,12 @@ def test_lines(docs, texts, empty):
     assert lines.dedup_lines(empty).count() == 0
 
 
+def test_short_lines_go_when_they_repeat(spark):
+    rows = [(1, "Les.\nLes.\none two\n\nthree words here"), (2, "two one\nLes.\n\none\n \nhere three words\none two three"), (3, "Les.\none two two")]
+    out = lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r.doc_id: r.text for r in out.collect()} == {1: "Les.\none two\n\nthree words here", 2: "\none\n \none two three", 3: ""}
+
+
 def test_decontamination(spark, docs, empty):
     item = " ".join(prose(2, 90).split()[10:40])
     items = spark.createDataFrame([(1, item.upper()), (2, prose(77, 30)), (3, "too short"), (4, None), (5, item)], "item_id long, text string")
