@@ -1,11 +1,11 @@
-"""Benchmark decontamination: SimHash of item-sized windows, found by multi-index Hamming blocks.
+"""Benchmark decontamination: item-sized windows, found by an exact join on shingles.
 
 Texts are compared with A-Z in lower case, by shingles of SHINGLE words. For every length that items have, windows of so many
 words are looked at whose shingles are, for the most part, shingles of items of that length: a table of bits of
-fixed size tells which may be, and a window without SIMILAR of them can't be similar to any item. The window's SimHash is
-cut into RADIUS // 2 + 1 blocks, so that fingerprints within RADIUS bits agree in one block but for one bit; items
-are indexed under each block and each of its neighbours, windows meet them by an equality join on length, block and
-value. Candidates within RADIUS are verified: the sum over shingles of the smaller count, divided by that of the larger
+fixed size tells which may be, and a window without SIMILAR of them can't be similar to any item. A window and an item of
+m shingles have 2 * SIMILAR * m / (1 + SIMILAR) in common if they are similar; of the window's first shingles, one more
+than may be missing, the item has one at least. They meet by an equality join on length and shingle, which
+loses no pair. Candidates are verified: the sum over shingles of the smaller count, divided by that of the larger
 count (each shingle weighs as often as it occurs), must reach SIMILAR.
 
 Defined results: a null text counts as empty; items of fewer than SHINGLE words have no shingle and match nothing; a null
@@ -27,7 +27,7 @@ from tautline.functions.durable import durable
 from tautline.llm.keys import document_key, keyed
 from tautline.llm.words import WORD_A, WordHash, Words, blocks, mix, window_hashes
 
-SHINGLE, SIMILAR, RADIUS = 5, 0.8, 11
+SHINGLE, SIMILAR = 5, 0.8
 #: Bits of the table of item shingles.
 TABLE = 1 << 22
 #: Rows of a side that is broadcast at most; beyond it joins are shuffled.
@@ -38,11 +38,9 @@ def lower(text: str) -> bytes:
     return text.encode("utf-8", "surrogatepass").lower()
 
 
-def majority(hashes: np.ndarray, starts: np.ndarray, n: int) -> np.ndarray:
-    """SimHash of the n hashes from each start on."""
-    bits = np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    sums = np.vstack([np.zeros((1, 64), np.int32), np.cumsum(bits, axis=0, dtype=np.int32)])
-    return np.packbits(2 * (sums[starts + n] - sums[starts]) > n, axis=1, bitorder="little").view("<i8").ravel()
+def probed(m: int) -> int:
+    """Shingles of a window of m that an item must have one of to be similar."""
+    return m - int(np.ceil(2 * SIMILAR * m / (1 + SIMILAR) - 1e-9)) + 1
 
 
 def slots(hashes: np.ndarray, length: int) -> np.ndarray:
@@ -51,7 +49,7 @@ def slots(hashes: np.ndarray, length: int) -> np.ndarray:
 
 
 def item_rows(items: DataFrame, key: str = "item_id", text: str = "text") -> DataFrame:
-    """item_id, words (joined by one blank), n (their number), fp, slots (of the shingles) of items with a shingle."""
+    """item_id, words (joined by one blank), n (their number), shingles (distinct hashes), slots (of the shingles) of items with a shingle."""
 
     def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         a = WordHash(WORD_A)
@@ -61,15 +59,15 @@ def item_rows(items: DataFrame, key: str = "item_id", text: str = "text") -> Dat
                 w = Words([lower(t)])
                 if len(w) >= SHINGLE:
                     h = window_hashes(a.of(w), SHINGLE)
-                    rows.append((i, b" ".join(w.data.split()).decode("utf-8", "surrogatepass"), len(w), int(majority(h, np.zeros(1, np.int64), len(h))[0]), np.unique(np.concatenate([slots(h, 0), slots(h, len(w))])).tolist()))
-            yield pd.DataFrame(rows, columns=["item_id", "words", "n", "fp", "slots"])
+                    rows.append((i, b" ".join(w.data.split()).decode("utf-8", "surrogatepass"), len(w), np.unique(h).view(np.int64).tolist(), np.unique(np.concatenate([slots(h, 0), slots(h, len(w))])).tolist()))
+            yield pd.DataFrame(rows, columns=["item_id", "words", "n", "shingles", "slots"])
 
     rows = items.select(F.col(key).cast("long").alias("item_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    return rows.mapInPandas(of, "item_id long, words string, n int, fp long, slots array<long>")
+    return rows.mapInPandas(of, "item_id long, words string, n int, shingles array<long>, slots array<long>")
 
 
 def windows(docs: DataFrame, lengths: list[int], table: np.ndarray) -> DataFrame:
-    """key, start, n, fp and words of the windows that may be similar to an item. docs: key, text."""
+    """key, start, n, probes (hashes of the first shingles) and words of the windows that may be similar to an item. docs: key, text."""
     sc = docs.sparkSession.sparkContext
     shared = sc.broadcast((lengths, np.packbits(table)))  # fixed size, and one length for each that items have
 
@@ -100,32 +98,19 @@ def windows(docs: DataFrame, lengths: list[int], table: np.ndarray) -> DataFrame
                     counts = np.searchsorted(hit, starts + m) - np.searchsorted(hit, starts)
                     starts = starts[counts >= least]
                     for s in starts.tolist():
-                        doc, fp = int(w.text[s]), int(majority(h[s : s + m], np.zeros(1, np.int64), m)[0])
-                        rows.append((keys[part.start + doc], int(s - w.bounds[doc]), n, fp, b" ".join(w.data[w.starts[s] : w.ends[s + n - 1]].split()).decode("utf-8", "surrogatepass")))
-            yield pd.DataFrame(rows, columns=["key", "start", "n", "fp", "words"])
+                        doc, probes = int(w.text[s]), np.unique(h[s : s + probed(m)]).view(np.int64).tolist()
+                        rows.append((keys[part.start + doc], int(s - w.bounds[doc]), n, probes, b" ".join(w.data[w.starts[s] : w.ends[s + n - 1]].split()).decode("utf-8", "surrogatepass")))
+            yield pd.DataFrame(rows, columns=["key", "start", "n", "probes", "words"])
 
-    return docs.select("key", "text").mapInPandas(of, "key long, start int, n int, fp long, words string")
+    return docs.select("key", "text").mapInPandas(of, "key long, start int, n int, probes array<long>, words string")
 
 
-def _block_edges(radius: int) -> list[tuple[int, int]]:
-    k = radius // 2 + 1
-    edges = [64 * i // k for i in range(k + 1)]
-    return list(zip(edges, edges[1:], strict=False))
-
-
-def _values(low: int, high: int):
-    return F.shiftrightunsigned("fp", low).bitwiseAND(F.lit((1 << (high - low)) - 1).cast("long"))
-
-
-def hamming_pairs(found: DataFrame, items: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """key, start, n, item_id of windows and items of one length whose fingerprints differ by `radius` bits at most."""
-    edges = _block_edges(radius)
-    own = F.array(*[F.struct(F.lit(k).alias("block"), _values(*e).alias("value")) for k, e in enumerate(edges)])
-    near = F.array(*[F.struct(F.lit(k).alias("block"), _values(low, high).bitwiseXOR(F.lit(flip).cast("long")).alias("value")) for k, (low, high) in enumerate(edges) for flip in (0, *(1 << i for i in range(high - low)))])
-    index = items.select("item_id", "n", F.col("fp").alias("item_fp"), F.explode(near).alias("b")).select("item_id", "n", "item_fp", "b.*")
-    probes = found.select("key", "start", "n", "fp", F.explode(own).alias("b")).select("key", "start", "n", "fp", "b.*")
-    few = items.count() * len(edges) * 16 <= MOST
-    return probes.join(F.broadcast(index) if few else index, ["n", "block", "value"]).filter(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= radius).select("key", "start", "n", "item_id").distinct()
+def shingle_pairs(found: DataFrame, items: DataFrame) -> DataFrame:
+    """key, start, n, item_id of windows and items of one length that have one of the window's probes in common."""
+    index = items.select("item_id", "n", F.explode("shingles").alias("shingle"))
+    probes = found.select("key", "start", "n", F.explode("probes").alias("shingle"))
+    few = items.agg(F.sum(F.size("shingles"))).first()[0] or 0
+    return probes.join(F.broadcast(index) if few <= MOST else index, ["n", "shingle"]).select("key", "start", "n", "item_id").distinct()
 
 
 def similarity(x: str, y: str) -> float:
@@ -144,7 +129,7 @@ def contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: s
     for batch in known.select(F.explode("slots").alias("s")).distinct().toArrow().to_batches():  # TABLE rows at most
         table[batch["s"].to_numpy()] = True
     found = durable(windows(rows, lengths, table), "windows")
-    pairs = hamming_pairs(found, known)
+    pairs = shingle_pairs(found, known)
     both = pairs.join(found.select("key", "start", "n", "words"), ["key", "start", "n"]).join(known.select("item_id", F.col("words").alias("item")), "item_id")
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

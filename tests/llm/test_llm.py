@@ -185,6 +185,24 @@ def test_short_lines_go_when_they_repeat(spark):
     assert {r.doc_id: r.text for r in out.collect()} == {1: "Les.\none two\n\nthree words here", 2: "\none\n \none two three", 3: ""}
 
 
+def test_passages_with_changed_words_are_found(spark):
+    """Every passage of a similarity of 0.8 or more, one to three words changed, whatever its fingerprint; below it none."""
+    items, found, rows = {}, set(), []
+    for k in range(120):
+        w = prose(5000 + k, 45 + k, 3000).split()
+        items[k] = " ".join(w)
+        at = list(range(7, 7 + (1 + k % 3) * 2, 2))
+        x = [f"new{i}" if i in at else t for i, t in enumerate(w)]
+        count = lambda v: collections.Counter(tuple(v[i : i + 5]) for i in range(len(v) - 4))
+        a, b = count(w), count(x)
+        if sum((a & b).values()) >= 0.8 * sum((a | b).values()):
+            found.add((k, k))
+        rows.append((k, f"{prose(9000 + k, 30)} {' '.join(x)} {prose(8000 + k, 30)}"))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(df, spark.createDataFrame(list(items.items()), "item_id long, text string")).collect()}
+    assert len(found) > 50 and got == found
+
+
 def test_decontamination(spark, docs, empty):
     item = " ".join(prose(2, 90).split()[10:40])
     items = spark.createDataFrame([(1, item.upper()), (2, prose(77, 30)), (3, "too short"), (4, None), (5, item)], "item_id long, text string")
