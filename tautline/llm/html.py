@@ -1,14 +1,16 @@
 """Main text of web pages by line-block distribution.
 
-Markup is stripped into lines, one for each block of the page; what stands in menus, headers, footers, sidebars, notices,
-adverts, forms, scripts, styles or reader comments leaves an empty line. A line weighs its characters: all of them inside
-<article> or <main>, those outside of links elsewhere. The weights are summed over sliding windows of WINDOW lines. Text
-surges where a sum passes the threshold and dives where the sums fall to nothing; the lines between are kept.
-Where the page names its article, any text in it passes the threshold and text outside weighs nothing.
+Markup is stripped into lines, one for each block of the page that has text. What stands in menus, headers, footers, sidebars,
+notices, adverts, forms, scripts, styles or reader comments is stripped with it and leaves an empty line (inside an
+article nothing); the bounds of <article> and <main> leave WINDOW of them. A line weighs its characters outside of links,
+inside <article> and <main> ARTICLE times as much. The weights are summed over sliding windows of WINDOW lines. Text surges
+where a sum passes SHARE of the page's largest sum, and dives where the sums fall to nothing, that is, in WINDOW lines without
+text of their own; what stands between the dives around a surge is kept, from the first line with weight to the last.
 
 Defined results: a null or empty page has the empty text; a page without text as well; a null page_id or url
-passes through; repeated rows come out as often as they went in; extra columns are not read; unclosed elements end with
-the page, a tag or comment cut off at the end of the page is dropped.
+passes through; repeated rows come out as often as they went in; extra columns are not read; an unclosed element ends with the
+element around it, a tag or comment cut off at the end of the page is dropped; equal sums are treated alike; pages of any
+length are read whole, in time proportional to their length; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -22,104 +24,153 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Lines in a window; characters from which a window surges where the page names no article.
-WINDOW, SURGE = 3, 86
+from tautline.llm.keys import column
 
-#: Elements that hold no text of the page, that hold none of its article, and that break lines.
-RAW = "script|style|noscript|template|svg|iframe|object|canvas|math|textarea|select|button|title|audio|video"
-ASIDE = frozenset("nav footer aside form dialog menu".split())
+#: Lines in a window; the part of the largest sum from which text surges; weight of a character inside the article.
+WINDOW, SHARE, ARTICLE = 3, 0.2, 8
+
+#: Elements that are no markup inside, that hold no text of an article, that name it, that break lines, that stand without an end, that end one of their kind.
+RAW = "script|style|textarea|title"
+ASIDE = frozenset("nav footer aside form dialog menu select button noscript template svg iframe object audio video".split())
 MAIN = frozenset("article main".split())
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset "
     "h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
-#: Words in class, id or role that mark a part of the page which isn't its article.
+VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+SIBLING = frozenset("li dt dd tr td th option p".split())
+LIST = frozenset("ul ol dl menu table tbody thead tfoot select body div section article main".split())
+#: Elements whose class, id or role may mark them, and the words that mark a part of the page which isn't its article; of these the last ones only outside of it.
+CONTAINERS = frozenset("address aside blockquote center details dialog div dl dd dt fieldset figure footer form header li main article menu nav ol p section table tbody td tr ul".split())
 MARKS = frozenset(
     "ad ads advert adverts advertisement adsense banner banners sponsor sponsored promo promotion cookie cookies consent gdpr notice notices alert popup modal overlay "
-    "nav navbar navigation menu menus breadcrumb breadcrumbs sidebar sidebars aside header masthead footer footers comment comments reply replies disqus discussion "
+    "nav navbar navigation menu menus breadcrumb breadcrumbs sidebar sidebars aside footer footers comment comments reply replies disqus discussion "
     "social share sharing related recommended newsletter subscribe subscription signup login search pagination pager toolbar widget widgets complementary contentinfo".split()
 )
-TOKEN = re.compile(rf"(?is)<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<({RAW})\b(?>[^>\"']|\"[^\"]*\"|'[^']*')*+(?:/>|>.*?(?:</\1\s*>|\Z))|<(/?)([a-z][^\s/>]*)((?>[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<[/a-z][^>]*(?:>|\Z)")
+OUTSIDE = frozenset("header masthead".split())
+TOKEN = re.compile(rf"(?is)<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<({RAW})\b(?>[^>\"']|\"[^\"]*\"|'[^']*')*+(?:/>|>.*?(?:</\1\s*>|\Z))|<(/?)([a-z][^\s/>]*+)((?>[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<[/a-z][^>]*(?:>|\Z)")
 ATTRIBUTE = re.compile(r"""(?i)(?:^|\s)(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
 
 
-def marked(attributes: str) -> bool:
-    words = {w for m in ATTRIBUTE.finditer(attributes) for w in re.split("[^a-z0-9]+", (m[1] or m[2] or m[3] or "").lower())}
-    return not MARKS.isdisjoint(words)
-
-
-def page_lines(html: str) -> list[tuple[str, int, bool]]:
-    """(text, characters outside of links without blanks, inside the article) of each line of a page."""
-    lines: list[tuple[str, int, bool]] = []
-    parts: list[str] = []
-    linked: list[str] = []
-    skip, depth, link, inside = "", 0, 0, 0
-
-    def flush() -> None:
-        nonlocal parts, linked
-        text = " ".join(unescape("".join(parts)).split())
-        solid = lambda x: len("".join(unescape("".join(x)).split()))
-        lines.append((text, solid(parts) - solid(linked), inside > 0))
-        parts, linked = [], []
-
-    at = 0
-    for m in TOKEN.finditer(html):
-        if m.start() > at and not skip:
-            parts.append(html[at : m.start()])
-            if link:
-                linked.append(html[at : m.start()])
-        at = m.end()
-        if m[3] is None:
-            continue
-        name, closing = m[3].lower(), bool(m[2])
-        if skip:
-            if name == skip:
-                depth += -1 if closing else 1
-            if name in MAIN and not closing and skip not in MAIN:
-                depth = 0  # an article never stands inside what was left open
-            if depth > 0:
-                continue
-            was, skip = skip, ""
-            if name == was:
-                continue
+def marks(attributes: str) -> set[str]:
+    return {w for m in ATTRIBUTE.finditer(attributes) for w in re.split("[^a-z0-9]+", (m[1] or m[2] or m[3] or "").lower())}
+
+
+class Page:
+    """The lines of a page: text, characters outside of links without blanks, whether inside the article."""
+
+    def __init__(self, html: str):
+        self.lines: list[tuple[str, int, bool]] = []
+        self.parts: list[str] = []
+        self.linked: list[str] = []
+        self.open: list[str] = []  # elements that are open
+        self.skip = 0  # how many were open where what is skipped began, and one more; 0: nothing is skipped
+        self.articles: list[int] = []  # how many were open at each article
+        self.link = False
+        at = 0
+        for m in TOKEN.finditer(html):
+            self.put(html[at : m.start()])
+            at = m.end()
+            if m[3] is not None:
+                (self.end if m[2] else self.begin)(m[3].lower(), m[4])
+        self.put(html[at:])
+        self.flush()
+
+    def put(self, text: str) -> None:
+        if text and not self.skip:
+            self.parts.append(text)
+            if self.link:
+                self.linked.append(text)
+
+    def flush(self) -> None:
+        text = " ".join(unescape("".join(self.parts)).split())
+        if text:
+            solid = lambda x: len("".join(unescape("".join(x)).split()))
+            self.lines.append((text, solid(self.parts) - solid(self.linked), bool(self.articles)))
+        self.parts, self.linked = [], []
+
+    def gap(self, lines: int) -> None:
+        self.flush()
+        self.lines += [("", 0, False)] * lines
+
+    def cut(self, size: int) -> None:
+        """Closes elements until `size` are open."""
+        del self.open[size:]
+        if self.skip > size:
+            self.skip = 0
+        while self.articles and self.articles[-1] >= size:
+            self.gap(WINDOW)
+            self.articles.pop()
+
+    def begin(self, name: str, attributes: str) -> None:
+        if name == "br":
+            self.put(" ")
         if name == "a":
-            link = 0 if closing else 1
-        elif name == "br":
-            parts.append(" ")
+            self.link = True
         if name in BLOCK:
-            flush()
-            link = 0
-        if name in MAIN and not (not closing and marked(m[4])):
-            inside = max(0, inside - 1) if closing else inside + 1
-        elif not closing and not m[4].endswith("/") and (name in ASIDE or name == "header" and not inside or name not in ("html", "body", "br", "p", "hr", "img", "input", "meta", "link") and marked(m[4])):
-            skip, depth = name, 1
-            lines.append(("", 0, inside > 0))
-    if not skip:
-        parts.append(html[at:])
-    flush()
-    return lines
+            if not self.skip:
+                self.flush()
+            self.link = False
+            if self.open and self.open[-1] == "p":
+                self.cut(len(self.open) - 1)
+        if name in SIBLING:
+            for k in range(len(self.open) - 1, -1, -1):
+                if self.open[k] == name:
+                    self.cut(k)
+                if k >= len(self.open) or self.open[k] in LIST:
+                    break
+        if name in VOID or attributes.endswith("/"):
+            return
+        if name in BLOCK or name in ASIDE:
+            self.open.append(name)
+        if self.skip:
+            if name in MAIN and self.open[self.skip - 1] not in MAIN:  # an article never stands inside what was left open
+                self.open[self.skip - 1 :] = [name]
+                self.skip = 0
+            else:
+                return
+        words = marks(attributes) if name in CONTAINERS else set()
+        if name in ASIDE or name == "header" and not self.articles or words & MARKS or words & OUTSIDE and not self.articles and name not in MAIN:
+            self.skip = len(self.open)
+            if not self.articles and name in BLOCK:
+                self.gap(1)
+        elif name in MAIN:
+            self.gap(WINDOW)
+            self.articles.append(len(self.open) - 1)
+
+    def end(self, name: str, _: str) -> None:
+        if name == "a":
+            self.link = False
+        if name in BLOCK or name in ASIDE:
+            if name in BLOCK:
+                if not self.skip:
+                    self.flush()
+                self.link = False
+            for k in range(len(self.open) - 1, -1, -1):
+                if self.open[k] == name:
+                    self.cut(k)
+                    break
+
+
+def kept_lines(weights: list[int]) -> list[tuple[int, int]]:
+    """First and last line of each part that is kept."""
+    if not any(weights):
+        return []
+    w = np.array(weights, np.int64)
+    sums = np.convolve(w, np.ones(WINDOW, np.int64))[WINDOW - 1 :]  # of each line and those after it
+    heavy = np.flatnonzero(w)
+    part = np.append(0, np.cumsum(np.diff(heavy) > WINDOW))  # a dive: WINDOW lines without weight
+    surging = np.zeros(part[-1] + 1, bool)
+    np.logical_or.at(surging, part, sums[heavy] > SHARE * sums.max())
+    first, last = np.searchsorted(part, np.arange(part[-1] + 1)), np.searchsorted(part, np.arange(part[-1] + 1), "right") - 1
+    return [(int(heavy[first[k]]), int(heavy[last[k]])) for k in np.flatnonzero(surging)]
 
 
 def main_text(html: str | None) -> str:
     if not html:
         return ""
-    lines = page_lines(html)
-    named = any(x[2] and x[0] for x in lines)
-    weights = np.array([(len(x[0]) if x[2] else 0) if named else x[1] for x in lines])
-    sums = np.convolve(weights, np.ones(WINDOW, int))[WINDOW - 1 :]  # of each line and those after it
-    threshold = 0 if named else min(SURGE, sums.max() // 2)
-    out: list[str] = []
-    k = 0
-    while k < len(lines):
-        if sums[k] > threshold:  # surge
-            end = k
-            while end < len(lines) and sums[end] > 0:  # until the dive
-                end += 1
-            heavy = np.flatnonzero(weights[k:end]) + k
-            out += [lines[i][0] for i in range(heavy[0], heavy[-1] + 1) if lines[i][0] and (not named or lines[i][2])]
-            k = end
-        k += 1
-    return "\n".join(out)
+    lines = Page(html).lines
+    return "\n".join(lines[i][0] for a, b in kept_lines([x[1] * (ARTICLE if x[2] else 1) for x in lines]) for i in range(a, b + 1) if lines[i][0])
 
 
 def extract(pages: DataFrame, html: str = "html") -> DataFrame:
@@ -129,7 +180,7 @@ def extract(pages: DataFrame, html: str = "html") -> DataFrame:
         for x in batches:
             yield pd.DataFrame({"page_id": x["page_id"], "url": x["url"], "text": [main_text(h) for h in x["html"]]})
 
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url"), F.coalesce(F.col(html), F.lit("")).alias("html"))
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url"), F.coalesce(column(html), F.lit("")).alias("html"))
     return rows.mapInPandas(of, "page_id long, url string, text string").withColumn("n_chars", F.length("text").cast("long"))
 
 
