@@ -3,19 +3,23 @@
 The words of many texts go into one flat array of symbols. In each round the ranks of all neighbouring pairs are found
 by binary search over the sorted pair keys, each word's lowest-ranked pair is merged wherever it stands, and words
 without a known pair leave. The vocabulary file is read once on the driver; its arrays have a fixed size and are
-broadcast. Executors keep what they have encoded by word, up to WORDS words.
+broadcast. Executors keep what they have encoded by word, up to WORDS words. Which characters are letters or numbers and
+how they are lowered follows the tokenizers library: its tables are compared once with those of this Python, and texts
+that hold a character in which they differ are split by the library's tables.
 
 Defined results: a null text counts as empty; an empty text has no ids and decodes to the empty text; a null doc_id and
-repeated rows pass through; the two special tokens are recognised in a text, as the tokenizers library does;
-extra columns are not read.
+repeated rows pass through; the two special tokens are recognised in a text, as the tokenizers library does; equal ranks
+are merged from the left; very long texts and words are encoded whole; an empty table gives no rows; extra columns are not read.
 """
 
 from __future__ import annotations
 
 import json
+import re
 import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -23,6 +27,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tautline.llm.keys import column
+
 #: Words that an executor remembers, and characters of text that it splits at once.
 WORDS, CHARS = 300_000, 2_000_000
 
@@ -111,25 +117,84 @@ def merge_words(words: list[bytes], v: Vocabulary) -> list[np.ndarray]:
     return out
 
 
-def normalize(text: str) -> str:
-    """NFC, then lower case character by character (a final sigma is not special)."""
-    return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
+@dataclass
+class Characters:
+    """Where the tokenizers library sees characters otherwise than this Python does."""
+
+    classes: dict[str, str]  # ranges of the library's letters (\\p{L}) and numbers (\\p{N}), to stand in brackets
+    lower: dict[str, str]  # lower case of characters that Python lowers otherwise
+    odd: str  # ranges of the characters that differ in one of these
+
+
+def _ranges(codes: np.ndarray) -> str:
+    """Sorted code points as ranges that may stand in brackets."""
+    cuts = np.flatnonzero(np.diff(codes) != 1)
+    return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in zip(codes[np.append(0, cuts + 1)].tolist(), codes[np.append(cuts, len(codes) - 1)].tolist(), strict=True)) if len(codes) else ""
+
+
+@cache
+def library_characters() -> Characters:
+    from tokenizers import Regex, normalizers, pre_tokenizers
+
+    every = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000 and c != 10]
+    text = "".join(every)
+    odd: set[str] = set()
+    classes = {}
+    for name in (r"\p{L}", r"\p{N}"):
+        theirs = "".join(x for x, _ in pre_tokenizers.Split(Regex(name + "+"), "removed", invert=True).pre_tokenize_str(text))
+        odd |= set(theirs) ^ set(regex.findall(name, text))
+        classes[name] = _ranges(np.array(sorted(map(ord, theirs))))
+    lowered = normalizers.Lowercase().normalize_str("\n".join(every)).split("\n")
+    lower = {c: x for c, x in zip(every, lowered, strict=True) if x != c.replace("Σ", "σ").lower()}
+    return Characters(classes, lower, _ranges(np.array(sorted(map(ord, odd | set(lower))))))
+
+
+def normalize(text: str, lower: dict[str, str] | None = None) -> str:
+    """NFC, then lower case character by character (a final sigma is not special); lower: characters with another lower case."""
+    text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
+    return "".join([lower.get(c) or c.lower() for c in text]) if lower else text.lower()
+
+
+def _pinned(pattern: str, classes: dict[str, str]) -> str:
+    """The pattern with the ranges in place of the classes' names, which it has in brackets or not."""
+    out, inside, k = "", False, 0
+    while k < len(pattern):
+        name = next((n for n in classes if pattern.startswith(n, k)), None)
+        if name:
+            out += classes[name] if inside else f"[{classes[name]}]"
+        elif pattern[k] == "\\":
+            name = pattern[k : k + 2]
+            out += name
+        else:
+            name = pattern[k]
+            inside = name == "[" or inside and name != "]"
+            out += name
+        k += len(name)
+    return out
 
 
 class Encoder:
     """Encodes texts, remembering words."""
 
-    def __init__(self, v: Vocabulary):
+    def __init__(self, v: Vocabulary, characters: Characters | None = None):
         self.v = v
         self.find = regex.compile(v.pattern).findall
+        self.characters = characters or library_characters()
+        self.odd = re.compile(f"[{self.characters.odd}]").search if self.characters.odd else lambda text: None
+        self.find_pinned = regex.compile(_pinned(v.pattern, self.characters.classes)).findall
         self.specials = regex.compile("(" + "|".join(map(regex.escape, v.specials)) + ")") if v.specials else None
         self.seen: dict[str, tuple[bytes, str]] = {}
         self.fixed = {t: (np.array([i], "<u4").tobytes(), v.tokens[i]) for t, i in v.specials.items()}
 
+    def words(self, text: str) -> list[str]:
+        if text.isascii() or not self.odd(text):
+            return self.find(normalize(text))
+        return self.find_pinned(normalize(text, self.characters.lower))
+
     def split(self, text: str) -> list[str]:
         if self.specials is None or not any(t in text for t in self.v.specials):
-            return self.find(normalize(text))
-        return [w for k, part in enumerate(self.specials.split(text)) for w in ([part] if k % 2 else self.find(normalize(part)))]
+            return self.words(text)
+        return [w for k, part in enumerate(self.specials.split(text)) for w in ([part] if k % 2 else self.words(part))]
 
     def learn(self, words: set[str]) -> None:
         new = [w for w in words if w not in self.seen and w not in self.fixed]
@@ -156,17 +221,17 @@ class Encoder:
 def encode_decode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_tokens, ids (binary: little-endian unsigned 32-bit integers), decoded. path: the vocabulary file, on the driver."""
     spark = docs.sparkSession
-    vocabulary = spark.sparkContext.broadcast(vars(Vocabulary.load(path)))
+    shared = spark.sparkContext.broadcast((vars(Vocabulary.load(path)), vars(library_characters())))
 
     def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = Encoder(Vocabulary(**vocabulary.value))
+        encoder = Encoder(Vocabulary(**shared.value[0]), Characters(**shared.value[1]))
         for x in batches:
             upto = np.cumsum([len(t) for t in x["text"]]) // CHARS
             for _, part in x.groupby(upto, sort=False):
                 ids, decoded = encoder.encode(part["text"].tolist())
                 yield pd.DataFrame({"doc_id": part["doc_id"], "ids": ids, "decoded": decoded})
 
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    rows = docs.select(column(key).cast("long").alias("doc_id"), F.coalesce(column(text), F.lit("")).alias("text"))
     out = rows.mapInPandas(of, "doc_id long, ids binary, decoded string")
     return out.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids", "decoded")
 

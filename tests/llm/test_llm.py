@@ -248,6 +248,30 @@ def test_bpe_is_the_library(texts):
         assert d == LIBRARY.decode(want, skip_special_tokens=False)
 
 
+def test_bpe_knows_the_characters_of_the_library():
+    """Every code point alone, beside a letter and after another text's word."""
+    ours = _encoder()
+    every = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    texts = [" ".join(f"{c} a{c}b {c}1" for c in every[k : k + 64]) for k in range(0, len(every), 64)]
+    ids, decoded = ours.encode(texts)
+    wanted = LIBRARY.encode_batch(texts, add_special_tokens=False)
+    assert [np.frombuffer(i, "<u4").tolist() for i in ids] == [w.ids for w in wanted]
+    assert decoded[::97] == [LIBRARY.decode(w.ids, skip_special_tokens=False) for w in wanted[::97]]
+
+
+def test_bpe_digests(spark):
+    _encoder()
+    d = "/root/testdata/sf0.001"
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{d}/documents.parquet").collect()}
+    rows = bpe.op9_bpe(spark, d).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        want = LIBRARY.encode(texts[r.doc_id], add_special_tokens=False).ids
+        decoded = LIBRARY.decode(want, skip_special_tokens=False)
+        assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(want), hashlib.sha256(np.array(want, "<u4").tobytes()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest())
+    assert bpe.encode_decode(spark.createDataFrame([], SCHEMA), bpe.word_bpe_path()).count() == 0
+
+
 def _encoder(kept=[]):  # noqa: B006
     global LIBRARY
     if not kept:
