@@ -5,8 +5,9 @@ into one boolean expression over the metric columns, so that adding a rule adds
 metrics are higher-order SQL functions over the array of words and the array of lines of one text; no shuffle.
 
 Defined results: a null text counts as empty; an empty text has zero of everything, fails the base rule and is not
-kept; a null doc_id passes through; repeated rows are judged alike, each on its own; extra columns are kept by
-quality_metrics() unless their name is one that it computes, which is then replaced.
+kept; a null doc_id passes through; repeated rows are judged alike, each on its own; a metric that equals its bound passes; very
+long texts are measured whole; an empty table gives no rows; extra columns are kept by quality_metrics() unless their name is
+one that it computes, which is then replaced.
 """
 
 from __future__ import annotations
@@ -79,7 +80,7 @@ def repeated_words(w: Column, size: int = 3) -> Column:
 
 def quality_metrics(docs: DataFrame, text: str = "text", stop_words: Sequence[str] = tuple(STOP_WORDS)) -> DataFrame:
     """docs with the columns of METRICS (long)."""
-    t = F.coalesce(F.col(text), F.lit(""))
+    t = F.coalesce(F.col(f"`{text}`"), F.lit(""))
 
     def of_words(w: Column) -> Column:
         return F.struct(
@@ -94,10 +95,11 @@ def quality_metrics(docs: DataFrame, text: str = "text", stop_words: Sequence[st
             F.size(F.filter(x, lambda y: F.rtrim(y).endswith("...") | F.rtrim(y).endswith("…"))).alias("n_ellipsis_lines"),
         )
 
-    keep = [F.col(f"`{c}`") for c in docs.columns if c not in METRICS]
-    measured = docs.select(*keep, let(words(t), of_words).alias("_w"), let(lines_with_words(t), of_lines).alias("_l"), (F.size(F.split(t, SYMBOLS)) - 1).alias("_s"))
-    at = {"n_symbols": "_s"} | {c: "_w." + c for c in ("n_words", "word_chars", "n_repeat_words", "n_stop")}
-    return measured.select(*keep, *[F.col(at.get(c, "_l." + c)).cast("long").alias(c) for c in METRICS])
+    keep = [c for c in docs.columns if c not in METRICS]
+    row = F.struct(*[F.col(f"`{c}`") for c in keep])  # names of docs' columns can't clash with those below
+    measured = docs.select(row.alias("row"), let(words(t), of_words).alias("w"), let(lines_with_words(t), of_lines).alias("l"), (F.size(F.split(t, SYMBOLS)) - 1).alias("s"))
+    at = {"n_symbols": "s"} | {c: "w." + c for c in ("n_words", "word_chars", "n_repeat_words", "n_stop")}
+    return measured.select(*[F.col(f"row.`{c}`").alias(c) for c in keep], *[F.col(at.get(c, "l." + c)).cast("long").alias(c) for c in METRICS])
 
 
 def ratios() -> dict[str, Column]:
@@ -130,8 +132,8 @@ def quality_rules(docs: DataFrame, text: str = "text", thresholds=THRESHOLDS) ->
 
 def keep_good(docs: DataFrame) -> DataFrame:
     """The rows of docs that quality_rules() keeps, with the columns of docs."""
-    marked = docs.withColumn("_row", F.struct(*[F.col(f"`{c}`") for c in docs.columns])).select("_row", F.col("text").alias("_text"))
-    return quality_rules(marked, "_text").filter("kept").select("_row.*")
+    marked = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text"))
+    return quality_rules(marked).filter("kept").select("row.*")
 
 
 def op8_quality(spark, sf_dir: str) -> DataFrame:

@@ -9,7 +9,8 @@ Copies fold into their fingerprint before the join, and chains of links into com
 
 Defined results: a null text counts as empty; an empty text has fingerprint zero, linked like any other; a null doc_id
 is kept, and a component in which all doc_ids are null has a null component_id; repeated rows come out as often as
-they went in; an empty table gives no rows; extra columns are not read by near_duplicates().
+they went in; a bit that is set in just half of the hashes is 0; very long texts are hashed whole, block by block; an empty
+table gives no rows; near_duplicates() reads no extra columns, first_of_each() keeps them.
 """
 
 from __future__ import annotations
@@ -24,14 +25,10 @@ from pyspark.sql import functions as F
 
 from tautline.functions.durable import durable
 from tautline.llm.components import connected_components
-from tautline.llm.keys import document_key
-from tautline.llm.similar import near_copies
+from tautline.llm.keys import carried, column, few, turned
 
 #: Shingles whose bits are unpacked at once.
 BLOCK = 1 << 16
-#: Rows of a side that is broadcast at most; beyond it joins are shuffled.
-MOST = 1_000_000
-
 
 def shingle_hashes(text: str | None, size: int) -> np.ndarray:
     """XXH64 (seed 42) of each shingle of the text with A-Z in lower case; fewer words: of all of them; none: empty."""
@@ -61,7 +58,7 @@ def fingerprints(docs: DataFrame, size: int = 3, key: str = "doc_id", text: str
         for x in batches:
             yield pd.DataFrame({"doc_id": x["doc_id"], "fp": [fingerprint(shingle_hashes(t, size)) for t in x["text"]]})
 
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    rows = docs.select(column(key).cast("long").alias("doc_id"), F.coalesce(column(text), F.lit("")).alias("text"))
     return rows.mapInPandas(of, "doc_id long, fp long")
 
 
@@ -115,16 +112,13 @@ def near_duplicates(docs: DataFrame, size: int = 3, radius: int = 2, key: str =
 
 
 def first_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with one document of each component of near copies (similar.py): that of the smallest doc_id. Rows that repeat a doc_id go as well."""
-    rows = docs.withColumn("_key", document_key(F.col(key), F.col(text)))
-    found = durable(near_copies(rows, key="_key", text=text).select(F.col("doc_id").alias("_key"), "component_id"), "components")
-    later = found.filter(F.col("_key") != F.col("component_id")).select("_key").distinct()
-    twice = found.groupBy("_key").count().filter("count > 1").select("_key")
-    rows = rows.join(F.broadcast(later) if later.count() <= MOST else later, "_key", "left_anti")
-    if again := twice.count():
-        twice = F.broadcast(twice) if again <= MOST else twice
-        rows = rows.join(twice, "_key", "left_anti").unionByName(rows.join(twice, "_key", "left_semi").dropDuplicates(["_key"]))
-    return rows.select(*[F.col(f"`{c}`") for c in docs.columns])
+    """docs with one document of each component of near copies (similar.py, which takes its first links from fingerprint_links()
+    with shingles of five words): the first by doc_id. Rows that repeat a doc_id and text go as well; extra columns of any name stay."""
+    from tautline.llm.similar import later_copies
+
+    _, once = turned(carried(docs, key, text))
+    later = durable(later_copies(once), "later-copies")
+    return once.join(few(later), ["key", "turn"], "left_anti").select("row.*")
 
 
 def op4_simhash(spark, sf_dir: str) -> DataFrame:

@@ -15,8 +15,9 @@ beforehand. A window is identified by two independent 64-bit hashes (the anchor'
 Counts are summed up before rows are dealt by hash, and joins have a unique side, so that Spark can split a hot hash.
 
 Defined results: a null text counts as empty; a text with fewer words than WINDOW loses none; rows that share
-doc_id are one document repeated and come out alike (doc_id names a text); rows without doc_id stand before all others,
-in the order of a hash of their text; an empty table gives no rows; extra columns are not read.
+doc_id and text are one document repeated and come out alike; different texts that share a doc_id follow each other in the order
+of their hash; rows without doc_id stand before all others, in the order of a hash of their text; very long texts are cut
+up whole; of equal windows the first stays; an empty table gives no rows; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -31,13 +32,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tautline.functions.durable import durable
-from tautline.llm.keys import keyed
+from tautline.llm.keys import few, keyed, turned
 from tautline.llm.words import WORD_A, WORD_B, WordHash, Words, blocks, doubled, window_hashes
 
 BASE = 5
 WINDOW = 4 * BASE
-#: Copies of whole texts are looked up in a broadcast list if they are this many at most, else by a shuffled join.
-MOST_COPIES = 1_000_000
+#: What names a text, and what names a place of a word: earlier ones are less in this order.
+TEXT = ("key", "turn")
+PLACE = (*TEXT, "start")
 
 
 class Anchors:
@@ -62,43 +64,44 @@ class Anchors:
 
 
 def copies(rows: DataFrame) -> DataFrame:
-    """key of each document whose whole text an earlier one has."""
-    digests = durable(rows.select("key", F.xxhash64("text").alias("d1"), F.md5("text").alias("d2")).distinct(), "digests")
-    first = digests.groupBy("d1", "d2").agg(F.min("key").alias("first"))
-    return durable(digests.join(first, ["d1", "d2"]).filter("key > first").select("key"), "copies")
+    """key and turn of each text which an earlier document has as well."""
+    digests = durable(rows.select(*TEXT, F.xxhash64("text").alias("d1"), F.md5("text").alias("d2")), "digests")
+    first = digests.groupBy("d1", "d2").agg(F.min(F.struct(*TEXT)).alias("first"))
+    return durable(digests.join(first, ["d1", "d2"]).filter(F.struct(*TEXT) > F.col("first")).select(*TEXT), "copies")
 
 
 def find_anchors(rows: DataFrame) -> DataFrame:
-    """key, at (word of the document), base (hash), right and left (hashes of the extensions)."""
+    """key, turn, at (word of the text), base (hash), right and left (hashes of the extensions)."""
 
     def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         a, b = WordHash(WORD_A), WordHash(WORD_B)
         for x in batches:
             texts, keys = [t.encode("utf-8", "surrogatepass") for t in x["text"]], x["key"].to_numpy()
+            turns = x["turn"].to_numpy()
             for part in blocks([len(t) for t in texts]):
                 c = Anchors(texts[part], a, b)
                 m = np.unique(c.anchor[c.valid])
                 pad = np.append(c.double, np.zeros(BASE + 1, np.uint64))
                 doc = c.words.text[m]
                 yield pd.DataFrame({
-                    "key": keys[part][doc], "at": (m - c.words.bounds[doc]).astype(np.int32), "base": c.base[m].view(np.int64),
+                    "key": keys[part][doc], "turn": turns[part][doc], "at": (m - c.words.bounds[doc]).astype(np.int32), "base": c.base[m].view(np.int64),
                     "right": (pad[np.minimum(m, len(c.double))] >> np.uint64(32)).astype(np.int64), "left": (pad[np.maximum(m - BASE, 0)] >> np.uint64(32)).astype(np.int64),
                 })
 
-    return rows.select("key", "text").mapInPandas(of, "key long, at int, base long, right long, left long")
+    return rows.select(*TEXT, "text").mapInPandas(of, "key long, turn long, at int, base long, right long, left long")
 
 
 def repeated_extensions(anchors: DataFrame) -> DataFrame:
-    """key and the sorted list `hits` of 2 * at + side for extensions (side 0: right, 1: left) that another place has too."""
+    """key, turn and the sorted list `hits` of 2 * at + side for extensions (side 0: right, 1: left) that another place has too."""
     twice = anchors.groupBy("base").agg(F.count("*").alias("n")).filter("n > 1").select("base")
     live = durable(anchors.join(twice, "base"), "live")
-    sides = live.select("base", "key", "at", F.posexplode(F.array("right", "left")).alias("side", "h"))
+    sides = live.select("base", *TEXT, "at", F.posexplode(F.array("right", "left")).alias("side", "h"))
     again = sides.groupBy("base", "side", "h").agg(F.count("*").alias("n")).filter("n > 1").select("base", "side", "h")
-    return sides.join(again, ["base", "side", "h"]).groupBy("key").agg(F.array_sort(F.collect_set(2 * F.col("at") + F.col("side"))).alias("hits"))
+    return sides.join(again, ["base", "side", "h"]).groupBy(*TEXT).agg(F.array_sort(F.collect_set(2 * F.col("at") + F.col("side"))).alias("hits"))
 
 
 def candidate_runs(rows: DataFrame, hits: DataFrame, copied: DataFrame) -> DataFrame:
-    """doc_id, key, n_words, digest (of all words), copy, packed (the words, where there are runs), runs."""
+    """doc_id, key, turn, n_words, digest (of all words), copy, packed (the words, where there are runs), runs."""
 
     def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         a, b = WordHash(WORD_A), WordHash(WORD_B)
@@ -134,27 +137,27 @@ def candidate_runs(rows: DataFrame, hits: DataFrame, copied: DataFrame) -> DataF
                     words = t.split()
                     joined = b" ".join(words)
                     rows.append((len(words), hashlib.sha256(joined).hexdigest(), pack(joined) if runs[k] else None, runs[k]))
-                yield pd.concat([x[["doc_id", "key", "copy"]].iloc[part], pd.DataFrame(rows, columns=["n_words", "digest", "packed", "runs"], index=x.index[part])], axis=1)
+                yield pd.concat([x[["doc_id", "key", "turn", "copy"]].iloc[part], pd.DataFrame(rows, columns=["n_words", "digest", "packed", "runs"], index=x.index[part])], axis=1)
 
     run = "start int, n int, offset int, base long, whole long, windows array<long>".replace(" int", ":int").replace(" long", ":long").replace(" array", ":array")
-    joined = rows.join(hits, "key", "left").join(copied.withColumn("copied", F.lit(True)), "key", "left")
-    out = joined.select("doc_id", "key", "text", "hits", F.coalesce("copied", F.lit(False)).alias("copy"))
-    return out.mapInPandas(of, f"doc_id long, key long, copy boolean, n_words long, digest string, packed binary, runs array<struct<{run}>>")
+    joined = rows.join(hits, list(TEXT), "left").join(copied.withColumn("copied", F.lit(True)), list(TEXT), "left")
+    out = joined.select("doc_id", *TEXT, "text", "hits", F.coalesce("copied", F.lit(False)).alias("copy"))
+    return out.mapInPandas(of, f"doc_id long, key long, turn long, copy boolean, n_words long, digest string, packed binary, runs array<struct<{run}>>")
 
 
 def repeated_windows(docs: DataFrame) -> DataFrame:
-    """key and the list `gone` of (start, n): n neighbouring windows from there on start earlier elsewhere."""
-    runs = docs.filter(F.size("runs") > 0).select("key", F.explode("runs").alias("r")).select("key", "r.*")
-    place = F.struct("key", "start")
+    """key, turn and the list `gone` of (start, n): n neighbouring windows from there on start earlier elsewhere."""
+    runs = docs.filter(F.size("runs") > 0).select(*TEXT, F.explode("runs").alias("r")).select(*TEXT, "r.*")
+    place = F.struct(*PLACE)
     first = runs.groupBy("base", "offset", "whole", "n").agg(F.min(place).alias("first"))
     several = first.groupBy("base").agg(F.count("*").alias("n")).filter("n > 1").select("base")
     placed = runs.join(first, ["base", "offset", "whole", "n"])
-    in_one = placed.filter(place > F.col("first")).select("key", "start", "n")
-    each = placed.filter(place == F.col("first")).join(several, "base").select("base", "key", "offset", "start", F.posexplode("windows").alias("i", "h"))
-    each = each.select("base", (F.col("offset") - F.col("i")).alias("o"), "h", "key", (F.col("start") + F.col("i")).alias("start"))
+    in_one = placed.filter(place > F.col("first")).select(*PLACE, "n")
+    each = placed.filter(place == F.col("first")).join(several, "base").select("base", *PLACE, "offset", F.posexplode("windows").alias("i", "h"))
+    each = each.select("base", (F.col("offset") - F.col("i")).alias("o"), "h", *TEXT, (F.col("start") + F.col("i")).alias("start"))
     leader = each.groupBy("base", "o", "h").agg(F.min(place).alias("first"))
-    one_by_one = each.join(leader, ["base", "o", "h"]).filter(place > F.col("first")).select("key", "start", F.lit(1).alias("n"))
-    return in_one.union(one_by_one).groupBy("key").agg(F.collect_set(F.struct("start", "n")).alias("gone"))
+    one_by_one = each.join(leader, ["base", "o", "h"]).filter(place > F.col("first")).select(*PLACE, F.lit(1).alias("n"))
+    return in_one.union(one_by_one).groupBy(*TEXT).agg(F.collect_set(F.struct("start", "n")).alias("gone"))
 
 
 def remove_repeated(docs: DataFrame, gone: DataFrame) -> DataFrame:
@@ -176,9 +179,9 @@ def remove_repeated(docs: DataFrame, gone: DataFrame) -> DataFrame:
             yield pd.concat([x[["doc_id", "n_words"]], pd.DataFrame(rows, columns=["n_removed", "kept", "kept_sha256"], index=x.index)], axis=1)
 
     out = "doc_id long, n_words long, n_removed long, kept string, kept_sha256 string"
-    cut = docs.filter("packed is not null").join(gone, "key").select("doc_id", "n_words", "packed", "gone").mapInPandas(of, out)
+    cut = docs.filter("packed is not null").join(gone, list(TEXT)).select("doc_id", "n_words", "packed", "gone").mapInPandas(of, out)
     whole = F.col("copy") & (F.col("n_words") >= WINDOW)
-    rest = docs.drop("packed", "runs").join(gone.select("key"), "key", "left_anti").select(
+    rest = docs.drop("packed", "runs").join(gone.select(*TEXT), list(TEXT), "left_anti").select(
         "doc_id", "n_words", F.when(whole, F.col("n_words")).otherwise(0).alias("n_removed"),
         F.when(whole, F.lit("")).alias("kept"), F.when(whole, F.sha2(F.lit(""), 256)).otherwise(F.col("digest")).alias("kept_sha256"),
     )
@@ -186,10 +189,9 @@ def remove_repeated(docs: DataFrame, gone: DataFrame) -> DataFrame:
 
 
 def substring_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    rows = keyed(docs, key, text)
-    copied = copies(rows)
-    few = copied.count() <= MOST_COPIES
-    distinct = rows.join(F.broadcast(copied) if few else copied, "key", "left_anti")
+    rows, once = turned(keyed(docs, key, text))
+    copied = copies(once)
+    distinct = once.join(few(copied), list(TEXT), "left_anti")
     hits = durable(repeated_extensions(durable(find_anchors(distinct), "anchors")), "extensions")
     runs = durable(candidate_runs(rows, hits, copied), "runs")
     return remove_repeated(runs, durable(repeated_windows(runs), "repeated"))

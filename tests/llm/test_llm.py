@@ -60,7 +60,7 @@ def test_quality(docs, texts):
 def test_quality_keeps_columns(docs, empty):
     assert quality.keep_good(docs).columns == docs.columns
     clash = docs.selectExpr("*", "1 as n_words", "2 as _w")
-    assert quality.quality_rules(clash.select("doc_id", "text", "n_words")).count() == clash.count()
+    assert quality.quality_rules(clash).count() == clash.count()
     assert quality.quality_rules(empty).count() == 0
 
 
@@ -205,7 +205,7 @@ def test_passages_with_changed_words_are_found(spark):
 
 def test_decontamination(spark, docs, empty):
     item = " ".join(prose(2, 90).split()[10:40])
-    items = spark.createDataFrame([(1, item.upper()), (2, prose(77, 30)), (3, "too short"), (4, None), (5, item)], "item_id long, text string")
+    items = spark.createDataFrame([(1, item.upper()), (2, prose(77, 30)), (3, "too short"), (4, None), (6, " "), (5, item)], "item_id long, text string")
     got = {(r.doc_id, r.item_id, r.similarity) for r in decontaminate.contaminated(docs, items).collect()}
     assert got == {(k, i, 1.0) for k in (2, 9, 10) for i in (1, 5)}
     clean = decontaminate.clean_documents(docs, items)
@@ -418,3 +418,45 @@ def test_stages_keep_columns_whatever_their_names(spark, docs):
         out = stage(spark, out, "/root/testdata/sf0.001")
         assert name == "bpe" or out.columns == names, name
     assert {r.doc_id for r in out.collect()} <= kept
+
+
+def test_rows_that_share_a_doc_id(spark, texts):
+    """Different texts of one doc_id, the same row twice, null doc_ids, and columns with the names of helpers."""
+    a, b, c = prose(1, 120), prose(2, 90), prose(3, 60)
+    names = "_key _w _l _s _row _lines _stay key turn text2 row stay cut w l s code deal first component".split()
+    rows = [(5, a), (5, b), (5, a), (7, f"{b}\n{c}"), (None, c), (None, c), (8, None), (5, c + " x y"), (9, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", *[f"concat('{k}', doc_id) as `{n}`" for k, n in enumerate(names)])
+    for stage in (lines.dedup_lines, quality.keep_good, simhash.first_of_each, lambda x: decontaminate.clean_documents(x, spark.createDataFrame([(1, "not there at all in it")], "item_id long, text string"))):
+        out = stage(df)
+        assert out.columns == df.columns
+        for r in out.collect():
+            assert all(r[n] == (None if r.doc_id is None else f"{k}{r.doc_id}") for k, n in enumerate(names))
+    assert quality.quality_rules(df).count() == len(rows)
+    kept = simhash.first_of_each(df).collect()
+    assert collections.Counter(r.doc_id for r in kept) == {5: 2, 7: 1, None: 1, 8: 1}  # c + " x y" is a near copy of c
+    cut = {(r.doc_id, r.text) for r in lines.dedup_lines(df).collect()}
+    assert {(None, c), (8, None), (7, ""), (9, "")} <= cut
+    item = " ".join(b.split()[10:50])
+    found = decontaminate.contaminated(df, spark.createDataFrame([(1, item), (2, "y"), (3, "x y")], "item_id long, text string")).collect()
+    assert sorted((r.doc_id, r.item_id) for r in found) == [(5, 1), (5, 2), (5, 3), (7, 1)]
+    # substring: texts of one doc_id one after the other, in the order of their hash
+    got = collections.Counter((r.doc_id, r.n_words, r.n_removed) for r in substring.substring_dedup(df).collect())
+    assert sum(got.values()) == len(rows) and got[(None, 60, 0)] == 2 and got[(5, 62, 60)] == 1 and got[(7, 150, 150)] == 1 and got[(5, 120, 0)] == 2 and got[(5, 90, 0)] == 1
+
+
+def test_queries_give_the_contract(spark):
+    """op3, op4, op5, op7, op8 and op10 through their registered queries on the smallest tables."""
+    d = "/root/testdata/sf0.001"
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{d}/documents.parquet").collect()}
+    items = {r.item_id: r.text for r in spark.read.parquet(f"{d}/benchmark.parquet").collect()}
+    four = {r.doc_id: r for r in simhash.op4_simhash(spark, d).collect()}
+    assert {k: r.fingerprint for k, r in four.items()} == {k: f"{fp(t):016x}" for k, t in texts.items()}
+    assert {k for k, r in four.items() if r.component_id == k} == set(plain_groups(texts))
+    gone = {r.doc_id: r.removed for r in lines.op7_lines(spark, d).collect()}
+    kept = {k: "\n".join(x for i, x in enumerate(t.split("\n")) if str(i) not in gone[k].split(",")) for k, t in texts.items()}
+    assert kept == plain_lines(texts)
+    hit = {(r.doc_id, r.item_id) for r in decontaminate.op3_decontaminate(spark, d).collect()}
+    assert hit and {k for k, _ in hit} == set(texts) - set(plain_clean(texts, list(items.values())))
+    assert {r.doc_id for r in quality.op8_quality(spark, d).collect() if r.kept} == {k for k, t in texts.items() if plain_kept(t)}
+    assert {(r.law, r.doc_id is not None) for r in sharding.op10_sharding(spark, d).collect()} == {("bytes", True)}
+    assert {r.doc_id: r.n_words for r in substring.op5_substring(spark, d).collect()} == {k: len(WORDS.findall(t)) for k, t in texts.items()}
