@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tautline.operators.ranges import spans_containing
 from tautline.functions import text as T
 
 
@@ -73,9 +74,9 @@ def lookup_by_file(files: DataFrame, endpoints: DataFrame) -> DataFrame:
 
 def lens_counts(endpoints: DataFrame, lines: DataFrame) -> DataFrame:
     """layer, file, line, links, uuids: how many links begin on each line."""
-    hit = endpoints.filter("kind = 'structural' and range_start is not null").alias("e").join(
-        lines.alias("l"), (F.col("e.layer") == F.col("l.layer")) & (F.col("e.file") == F.col("l.file")) & (F.col("e.range_start") >= F.col("l.start")) & (F.col("e.range_start") <= F.col("l.end")))
-    return hit.groupBy("l.layer", "l.file", "l.line").agg(F.count("*").alias("links"), F.array_join(F.array_sort(F.collect_list("e.uuid")), ",").alias("uuids"))
+    points = endpoints.filter("kind = 'structural' and range_start is not null").select("layer", "file", "uuid", F.col("range_start").alias("at"))
+    hit = spans_containing(points, lines.select("layer", "file", "line", "start", (F.col("end") + 1).alias("end")), ["layer", "file"])
+    return hit.groupBy("layer", "file", "line").agg(F.count("*").alias("links"), F.array_join(F.array_sort(F.collect_list("uuid")), ",").alias("uuids"))
 
 
 def status_report(endpoints: DataFrame, states: DataFrame) -> DataFrame:
@@ -84,5 +85,5 @@ def status_report(endpoints: DataFrame, states: DataFrame) -> DataFrame:
     per = endpoints.groupBy("layer", "uuid").agg(file.alias("file")).join(states, ["layer", "uuid"])
     folder = F.when(F.col("file").isNull(), "(layer)").otherwise(F.coalesce(F.nullif(F.regexp_extract("file", "^(.*)/[^/]*$", 1), F.lit("")), F.lit(".")))
     per = per.withColumn("dir", folder).withColumn("name", F.coalesce(F.regexp_extract("file", "([^/]*)$", 1), F.lit("")))
-    above = F.lag("name").over(Window.partitionBy("dir").orderBy("name", "uuid", "layer"))
-    return per.select("dir", "layer", "uuid", F.when(F.col("name") == above, "").otherwise(F.col("name")).alias("name"), "state0", "state1")
+    same = Window.partitionBy("dir", "name", F.when(F.col("name") == "", F.col("uuid"))).orderBy("uuid", "layer")  # records without a file: one each
+    return per.select("dir", "layer", "uuid", F.when(F.row_number().over(same) > 1, "").otherwise(F.col("name")).alias("name"), "state0", "state1")

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tautline.functions import text as T
+from tautline.functions.durable import durable
 
 
 def prune_unchanged(endpoints: DataFrame, commits: DataFrame) -> DataFrame:
@@ -23,17 +24,26 @@ def detect_moved(missing: DataFrame, sources: DataFrame) -> DataFrame:
 
 def detect_moved_similar(missing: DataFrame, added: DataFrame, threshold: float = 0.5) -> DataFrame:
     """missing (uuid, text), added (file, text): for each missing one the added file with the most similar set of lines (Jaccard) from the threshold
-    on. Lines meet by their hash; sets of lines that are equal fold into one first."""
-    def sets(df: DataFrame, name: str) -> DataFrame:
-        rows = df.select(F.col(name), F.array_sort(F.array_distinct(F.transform(F.split("text", "\n"), lambda x: F.xxhash64(x)))).alias("ls"))
-        return rows.groupBy("ls").agg(F.min(name).alias(name), F.collect_set(name).alias("all")) if name == "uuid" else rows.groupBy("ls").agg(F.min(name).alias(name))
-
-    a, b = sets(missing, "uuid"), sets(added, "file")
-    pairs = a.select("uuid", F.explode("ls").alias("h")).join(b.select("file", F.explode("ls").alias("h")), "h").groupBy("uuid", "file").agg(F.count("*").alias("common"))
-    sized = pairs.join(a.select("uuid", "all", F.size("ls").alias("na")), "uuid").join(b.select("file", F.size("ls").alias("nb")), "file")
-    j = F.round(F.col("common") / (F.col("na") + F.col("nb") - F.col("common")), 6)
-    best = sized.withColumn("similarity", j).filter(F.col("similarity") >= threshold).groupBy("uuid", "all").agg(F.min_by(F.struct("file", "similarity"), F.struct(-F.col("similarity"), F.col("file"))).alias("b"))
-    return best.select(F.explode("all").alias("uuid"), F.col("b.file").alias("new_file"), F.col("b.similarity").alias("similarity"))
+    on. Equal sets fold into one first. A set's lines are ordered by how many sets have them; two sets that are similar share one of so
+    many of their rarest lines that they meet by these alone, so that a line which many files have makes no pairs. Pairs whose sizes
+    allow it are compared on their whole sets."""
+    least = threshold - 1e-6  # similarities are rounded
+    lines = F.array_sort(F.array_distinct(F.transform(F.split("text", "\n"), lambda x: F.xxhash64(x))))
+    sid = F.struct(F.xxhash64("ls").alias("a"), F.hash("ls").alias("b"))
+    rows = missing.select(F.lit(0).alias("side"), F.col("uuid").alias("name"), lines.alias("ls")).union(added.select(F.lit(1), "file", lines)).withColumn("sid", sid)
+    sets = durable(rows.groupBy("side", "sid").agg(F.min("name").alias("name"), F.first("ls").alias("ls")), "line-sets")
+    posts = sets.select("side", "sid", F.size("ls").alias("n"), F.explode("ls").alias("h"))
+    held = posts.groupBy("h").agg(F.count("*").alias("sets"), F.countDistinct("side").alias("sides"))
+    ranked = posts.join(held, "h").withColumn("pos", F.row_number().over(Window.partitionBy("side", "sid").orderBy("sets", "h")) - 1)
+    prefix = durable(ranked.filter((F.col("sides") == 2) & (F.col("pos") <= F.col("n") - F.ceil(least * F.col("n")))).select("side", "sid", "n", "h"), "line-prefixes")
+    of = lambda side, s: prefix.filter(F.col("side") == side).select(F.col("sid").alias(s), F.col("n").alias("n" + s), "h")
+    met = of(0, "x").join(of(1, "y"), "h").filter((F.col("nx") >= least * F.col("ny")) & (F.col("ny") >= least * F.col("nx"))).select("x", "y").distinct()
+    side = lambda k, s: sets.filter(F.col("side") == k).select(F.col("sid").alias(s), F.col("ls").alias("l" + s), F.col("name").alias("name" + s))
+    both = met.join(side(0, "x"), "x").join(side(1, "y"), "y").withColumn("common", F.size(F.array_intersect("lx", "ly")))
+    j = F.round(F.col("common") / (F.size("lx") + F.size("ly") - F.col("common")), 6)
+    best = both.withColumn("similarity", j).filter(F.col("similarity") >= threshold).groupBy("x").agg(F.min_by(F.struct(F.col("namey").alias("file"), "similarity"), F.struct(-F.col("similarity"), F.col("namey"))).alias("b"))
+    members = rows.filter("side = 0").select(F.col("name").alias("uuid"), F.col("sid").alias("x"))
+    return members.join(best, "x").select("uuid", F.col("b.file").alias("new_file"), F.col("b.similarity").alias("similarity"))
 
 
 def detect_reanchored(unanchored: DataFrame, fragments: DataFrame) -> DataFrame:

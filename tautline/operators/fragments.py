@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tautline.functions import text as T
+from tautline.operators.ranges import spans_around, spans_containing, spans_overlapping
 
 #: Rules: language, kind of anchor, a line that opens one (group 1: its name). They are data; more rows add more anchors.
 RULES = [
@@ -16,11 +17,11 @@ RULES = [
 
 
 def line_offsets(sources: DataFrame) -> DataFrame:
-    """layer, file, line (from 1), start, end (bytes, without the line break), text."""
-    lines = sources.select("layer", "file", F.posexplode(F.split("text", "\n")).alias("i", "text"))
-    size = F.octet_length("text")
-    upto = F.sum(size + 1).over(Window.partitionBy("layer", "file").orderBy("i").rowsBetween(Window.unboundedPreceding, 0))
-    return lines.select("layer", "file", (F.col("i") + 1).alias("line"), (upto - size - 1).alias("start"), (upto - 1).alias("end"), "text")
+    """layer, file, line (from 1), start, end (bytes, without the line break), text. Worked out within each row: texts are not shuffled."""
+    lines = F.split("text", "\n")
+    starts = T.running_starts(F.transform(lines, lambda x: F.octet_length(x).cast("long") + 1))
+    each = sources.select("layer", "file", F.posexplode(F.zip_with(lines, starts, lambda x, a: F.struct(x.alias("text"), a.alias("start")))).alias("i", "l"))
+    return each.select("layer", "file", (F.col("i") + 1).alias("line"), "l.start", (F.col("l.start") + F.octet_length("l.text")).alias("end"), "l.text")
 
 
 def fragments_extract(sources: DataFrame, kinds: tuple[str, ...] = ("line", "paragraph", "element")) -> DataFrame:
@@ -83,8 +84,10 @@ def subrange_slice(resolved: DataFrame) -> DataFrame:
 def anchor_capture(selections: DataFrame, fragments: DataFrame) -> DataFrame:
     """selections (layer, file, sel_start, sel_end) with the innermost anchor around each, the next larger one, the range relative to
     the innermost (null for a point or an exact fit) and the digest of what is selected."""
-    inside = (F.col("start") <= F.col("sel_start")) & (F.col("sel_end") <= F.col("end"))
-    around = selections.join(fragments, ["layer", "file"]).filter(inside)
+    inner = selections.select("layer", "file", F.col("sel_start").alias("start"), F.col("sel_end").alias("end"))
+    outer = fragments.select("layer", "file", "kind", "name", "text", F.col("start").alias("o_start"), (F.col("end") + 1).alias("o_end"))  # a point at the end is inside
+    around = spans_around(inner, outer, ["layer", "file"]).filter("end < o_end")
+    around = around.select("layer", "file", F.col("start").alias("sel_start"), F.col("end").alias("sel_end"), "kind", "name", "text", F.col("o_start").alias("start"), (F.col("o_end") - 1).alias("end"))
     size = F.struct((F.col("end") - F.col("start")).alias("size"), "kind", "name", "start", "end", "text")
     two = around.groupBy("layer", "file", "sel_start", "sel_end").agg(F.min(size).alias("a"), F.sort_array(F.collect_list(F.struct((F.col("end") - F.col("start")).alias("size"), "kind", "name"))).alias("all"))
     exact = (F.col("sel_start") == F.col("sel_end")) | ((F.col("sel_start") == F.col("a.start")) & (F.col("sel_end") == F.col("a.end")))
@@ -96,10 +99,10 @@ def anchor_capture(selections: DataFrame, fragments: DataFrame) -> DataFrame:
 def fragment_get(spans: DataFrame, lines: DataFrame, before: int = 0, after: int = 0) -> DataFrame:
     """spans (layer, file, id, start, end) -> id, first_line, last_line, content: the whole lines that the span touches, with
     `before` and `after` more lines, clamped to the file."""
-    touch = (F.col("l.start") <= F.greatest("s.start", F.col("s.end") - 1)) & (F.col("l.end") >= F.col("s.start"))
-    hit = spans.alias("s").join(lines.alias("l"), (F.col("s.layer") == F.col("l.layer")) & (F.col("s.file") == F.col("l.file")) & touch)
-    at = hit.groupBy("s.id", "s.layer", "s.file").agg((F.min("l.line") - before).alias("lo"), (F.max("l.line") + after).alias("hi"))
-    got = at.join(lines, ["layer", "file"]).filter((F.col("line") >= F.col("lo")) & (F.col("line") <= F.col("hi")))
+    touched = spans.select("layer", "file", "id", "start", F.greatest(F.col("start") + 1, "end").alias("end"))
+    hit = spans_overlapping(touched, lines.select("layer", "file", "line", F.col("start").alias("o_start"), (F.col("end") + 1).alias("o_end")), ["layer", "file"])
+    at = hit.groupBy("id", "layer", "file").agg((F.min("line") - before).alias("start"), (F.max("line") + after + 1).alias("end"))
+    got = spans_containing(lines.select("layer", "file", "line", "text"), at, ["layer", "file"], at="line", width=64)
     return got.groupBy("id").agg(F.min("line").alias("first_line"), F.max("line").alias("last_line"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "text"))), lambda x: x["text"]), "\n").alias("content"))
 
 

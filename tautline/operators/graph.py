@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tautline.functions import text as T
 from tautline.operators.closure import closure
+from tautline.operators.ranges import spans_overlapping
 
 
 def node_id(uuid="uuid", layer="layer"):
@@ -24,15 +25,15 @@ def graph_starts(selectors: DataFrame, endpoints: DataFrame) -> DataFrame:
     characters, or a file."""
     e = endpoints.select("uuid", "layer", F.when(F.col("kind") == "structural", F.col("file")).alias("file")).distinct()
     records = e.select("uuid", "layer").distinct()
-    root = selectors.filter("selector = '.'").withColumn("layer", F.lit(".")).join(records, "layer").select("selector", "uuid", "layer")
-    whole = selectors.filter("selector = '*'").withColumn("_k", F.lit(1)).join(records.withColumn("_k", F.lit(1)), "_k").select("selector", "uuid", "layer")
+    asked = {r.selector for r in selectors.filter("selector in ('.', '*')").distinct().collect()}  # two at most
+    root, whole = (records.filter(c if x in asked else "false").select(F.lit(x).alias("selector"), "uuid", "layer") for x, c in ((".", "layer = '.'"), ("*", "true")))
     by_id = selectors.withColumn("p", F.substring("selector", 1, 8)).join(records.withColumn("p", F.substring("uuid", 1, 8)), "p").filter(F.col("uuid").startswith(F.col("selector"))).select("selector", "uuid", "layer")
     by_file = selectors.join(e, F.col("selector") == F.col("file")).select("selector", "uuid", "layer")
     return root.union(whole).union(by_id).union(by_file).distinct()
 
 
-def graph_traverse(starts: DataFrame, adjacency: DataFrame, max_depth: int) -> DataFrame:
-    """starts (uuid, layer) -> root, uuid, layer, depth of every record within max_depth steps of each start."""
+def graph_traverse(starts: DataFrame, adjacency: DataFrame, max_depth: int | None = None) -> DataFrame:
+    """starts (uuid, layer) -> root, uuid, layer, depth of every record within max_depth steps (none: any number) of each start."""
     edges = adjacency.select(node_id().alias("src"), node_id("uuid", "to_layer").alias("dst"))
     got = closure(starts.select(node_id().alias("root"), node_id().alias("node")), edges, max_depth)
     return got.select("root", F.substring_index("node", "@", 1).alias("uuid"), F.substring_index("node", "@", -1).alias("layer"), "depth")
@@ -41,9 +42,11 @@ def graph_traverse(starts: DataFrame, adjacency: DataFrame, max_depth: int) -> D
 def graph_nodes(spans: DataFrame, lines: DataFrame, most_lines: int = 100) -> DataFrame:
     """spans (layer, file, uuid, start, end) -> one node for each id file@layer#Lline: id, file, layer, start_line, content (the first
     most_lines lines: a limit of the display), uuid (the smallest)."""
-    hit = spans.alias("s").join(lines.alias("l"), (F.col("s.layer") == F.col("l.layer")) & (F.col("s.file") == F.col("l.file")) & (F.col("l.start") < F.greatest(F.col("s.end"), F.col("s.start") + 1)) & (F.col("l.end") >= F.col("s.start")))
-    per = hit.groupBy("s.layer", "s.file", "s.uuid").agg(F.min("l.line").alias("start_line"), F.array_sort(F.collect_list(F.struct("l.line", "l.text"))).alias("ls"))
-    content = F.array_join(F.transform(F.slice("ls", 1, most_lines), lambda x: x["text"]), "\n")
+    touched = spans.select("layer", "file", "uuid", "start", F.greatest(F.col("start") + 1, "end").alias("end"))
+    hit = spans_overlapping(touched, lines.select("layer", "file", "line", "text", F.col("start").alias("o_start"), (F.col("end") + 1).alias("o_end")), ["layer", "file"])
+    hit = hit.withColumn("k", F.row_number().over(Window.partitionBy("layer", "file", "uuid").orderBy("line"))).filter(F.col("k") <= most_lines)
+    per = hit.groupBy("layer", "file", "uuid").agg(F.min("line").alias("start_line"), F.array_sort(F.collect_list(F.struct("line", "text"))).alias("ls"))
+    content = F.array_join(F.transform("ls", lambda x: x["text"]), "\n")
     per = per.select(F.concat(F.col("file"), F.lit("@"), "layer", F.lit("#L"), F.col("start_line").cast("string")).alias("id"), "file", "layer", "start_line", content.alias("content"), "uuid")
     return per.groupBy("id", "file", "layer", "start_line").agg(F.min_by("content", "uuid").alias("content"), F.min("uuid").alias("uuid"))
 
@@ -70,7 +73,17 @@ def graph_layout(nodes: DataFrame) -> DataFrame:
     tidy = lambda c: F.regexp_replace(c, "[/.-]", "_")
     n = nodes.withColumn("x", T.layer_depth(F.col("layer"))).withColumn("group", F.concat_ws("_", F.lit("fg"), tidy("file"), tidy("layer")))
     n = n.withColumn("dir", F.regexp_extract("file", "^(.*)/[^/]*$", 1)).withColumn("name", F.regexp_extract("file", "([^/]*)$", 1))
-    w = Window.partitionBy("x").orderBy("layer", "dir", "name", "start_line", "id")
-    n = n.withColumn("gap", F.coalesce((F.col("group") != F.lag("group").over(w)).cast("int"), F.lit(0)))
-    y = F.row_number().over(w) - 1 + F.sum("gap").over(w.rowsBetween(Window.unboundedPreceding, 0))
-    return n.select("id", "x", y.alias("y"), "group")
+    folder = ["x", "layer", "dir"]
+    zero = lambda c: F.coalesce(c.cast("int"), F.lit(0))
+    # rows within a file, files within a folder, folders within a column: each level sums up the one below
+    files = n.groupBy(*folder, "name", "group").agg(F.count("*").alias("rows"))
+    w = Window.partitionBy(*folder).orderBy("name")
+    files = files.withColumn("gap", zero(F.col("group") != F.lag("group").over(w)))
+    files = files.withColumn("above", F.coalesce(F.sum(F.col("rows") + F.col("gap")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + F.col("gap"))
+    folders = files.groupBy(*folder).agg(F.sum(F.col("rows") + F.col("gap")).alias("size"), F.min_by("group", "name").alias("first"), F.max_by("group", "name").alias("last"))
+    w = Window.partitionBy("x").orderBy("layer", "dir")
+    folders = folders.withColumn("gap", zero(F.col("first") != F.lag("last").over(w)))
+    folders = folders.select(*folder, (F.sum(F.col("size") + F.col("gap")).over(w.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")).alias("begin"))
+    n = n.withColumn("k", F.row_number().over(Window.partitionBy(*folder, "name").orderBy("start_line", "id")))
+    n = n.join(files.select(*folder, "name", "above"), [*folder, "name"]).join(folders, folder)
+    return n.select("id", "x", (F.col("begin") + F.col("above") + F.col("k") - 1).alias("y"), "group")

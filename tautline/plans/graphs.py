@@ -145,7 +145,7 @@ def graph_starts(spark, d):
 @query("graph_traverse", f"WITH {CHAINS} SELECT uuid || '@.' AS root, uuid, layer, turn::INT AS depth FROM cl")
 def graph_traverse(spark, d):
     e = chain_ends(spark, d)
-    return graph.graph_traverse(e.filter("layer = '.'").select("uuid", "layer").distinct(), graph.graph_adjacency(e), 64)
+    return graph.graph_traverse(e.filter("layer = '.'").select("uuid", "layer").distinct(), graph.graph_adjacency(e))
 
 
 @query("graph_nodes", f"WITH {DOC_STATES} SELECT file || '@.#L' || ln AS id, file, '.' AS layer, ln::INT AS start_line, sha256(frag) AS content_hash, uuid FROM dr WHERE r1a IS NOT NULL")
