@@ -10,8 +10,8 @@ that one stays or not, has a set with a Jaccard similarity of at least SIMILAR;
 - Sets of so few words that only an equal set is similar need no more than that fold.
 - Prefix filter: the rarest words of each set, so many that similar sets share one of them, are listed by code. Pairs from one list pass the length and the positional filter and a bound from parity
   signatures of 64 bits, of long lines 128.
-- First every set is compared with the earliest set of the lists of its LEADING rarest words, which settles most members of
-  large groups of near copies at a linear cost; sets that are still undecided then meet all earlier sets of their lists.
+- First every set is compared with the earliest set of its lists, which settles most members of large groups of
+  near copies at a linear cost; sets that are still undecided then meet all earlier sets of their lists.
 - Each candidate pair is verified on the words of its two lines.
 
 Lists are written once in buckets of their code. A word that could fill a bucket (by its count one of LISTS at most) is
@@ -43,8 +43,6 @@ BUCKETS = 1 << 18
 HASH_BITS = 55
 #: A word with more than one in so many of all words is dealt by line; parts in which such words are joined.
 LISTS, SALTS = 1024, 8
-#: Words of each set in whose lists it is compared with the earliest set first.
-LEADING = 3
 #: Sets of more words have a longer signature.
 LONG = 48
 #: One in so many words, by hash, is compared before all of them are.
@@ -177,7 +175,6 @@ def verified(pairs: DataFrame, rows: DataFrame, name: str) -> DataFrame:
 
 def _with_leaders(posted: DataFrame, by: str, broadcast: bool = False) -> DataFrame:
     """x, y: postings with the earliest posting of their list, where that is another one."""
-    posted = posted.filter(F.col("pos") < LEADING)
     leaders = posted.groupBy(by).agg(F.min(F.struct(*PLACE, "n", "pos", "sig", "sig2")).alias("y"), F.count("*").alias("members")).filter("members > 1").select(by, "y")
     return posted.alias("x").join(F.broadcast(leaders) if broadcast else leaders, by).filter(_near("x", "y") & _earlier("y", "x"))
 
@@ -220,8 +217,8 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     """docs with the removed lines cut from their text; other columns and the number of rows stay."""
     rows, once = turned(carried(docs, key, text))
     stay = F.coalesce("stay", F.array().cast("array<int>"))
-    cut = let(F.split("text", "\n"), lambda x: F.array_join(F.transform(stay, lambda i: x[i]), "\n"))
-    out = rows.join(kept_lines(once), ["key", "turn"], "left").withColumn("cut", cut)
+    cut = let(F.split(F.coalesce(F.col(f"row.`{text}`"), F.lit("")), "\n"), lambda x: F.array_join(F.transform(stay, lambda i: x[i]), "\n"))
+    out = rows.select("row", "key", "turn").join(kept_lines(once), ["key", "turn"], "left").withColumn("cut", cut)
     return out.select(*[(F.when(F.col(f"row.`{c}`").isNotNull(), F.col("cut")) if c == text else F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 
 
