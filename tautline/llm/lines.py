@@ -14,7 +14,7 @@ that one stays or not, has a set with a Jaccard similarity of at least SIMILAR;
   near copies at a linear cost; sets that are still undecided then meet all earlier sets of their lists.
 - Each candidate pair is verified on the words of its two lines.
 
-Lists are written once in buckets of their code. A word that could fill a bucket (by its count one of LISTS at most) is
+Lists are written once in buckets of their code, sorted by it. A word that could fill a bucket (by its count one of LISTS at most) is
 dealt by line instead and joined in SALTS parts. Of two similar sets the shorter one has the first common word among even
 fewer words than its prefix, its index words; postings of such a frequent word meet only if one is an index word's.
 
@@ -27,9 +27,11 @@ of one set in one document the first stays; an empty table gives no rows; dedup_
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tautline.functions.durable import durable, forget, shared_dir, shuffles_removed
@@ -119,10 +121,25 @@ def postings(sets: DataFrame, common: int) -> tuple[str, str]:
     name = f"postings_{uuid.uuid4().hex}"
     path = f"{shared_dir(spark)}/{name}"
     with shuffles_removed(spark):
-        rows.repartition(parts, "deal").write.bucketBy(parts, "deal").option("path", path).saveAsTable(name)
+        rows.repartition(parts, "deal").write.bucketBy(parts, "deal").sortBy("deal").option("path", path).saveAsTable(name)
     return name, path
 
 
+#: Whether a scan of buckets of one file each is taken as sorted the way they were written.
+SORTED = "spark.sql.legacy.bucketedTableScan.outputOrdering"
+
+
+@contextmanager
+def sorted_buckets(spark: SparkSession) -> Iterator[None]:
+    """Within it joins and groups by deal don't sort the postings again."""
+    before = spark.conf.get(SORTED, "false")
+    spark.conf.set(SORTED, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(SORTED, before)
+
+
 def _earlier(y: str, x: str) -> Column:
     return F.struct(*[F.col(f"{y}.{c}") for c in PLACE]) < F.struct(*[F.col(f"{x}.{c}") for c in PLACE])
 
@@ -205,7 +222,8 @@ def kept_lines(rows: DataFrame) -> DataFrame:
     rarity, common = rarities(rows)
     name, path = postings(line_sets(rows, rarity), common)
     posted = spark.table(name)
-    later = later_lines(posted, rows)
+    with sorted_buckets(spark):
+        later = later_lines(posted, rows)
     stay = posted.filter("pos = 0").select(*PLACE).join(few(later), list(PLACE), "left_anti")
     out = durable(stay.groupBy("key", "turn").agg(F.sort_array(F.collect_list("line")).alias("stay")), "kept")
     spark.sql(f"DROP TABLE {name}")
