@@ -236,7 +236,8 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     rows, once = turned(carried(docs, key, text))
     stay = F.coalesce("stay", F.array().cast("array<int>"))
     cut = let(F.split(F.coalesce(F.col(f"row.`{text}`"), F.lit("")), "\n"), lambda x: F.array_join(F.transform(stay, lambda i: x[i]), "\n"))
-    out = rows.select("row", "key", "turn").join(kept_lines(once), ["key", "turn"], "left").withColumn("cut", cut)
+    kept = kept_lines(once).hint("shuffle_hash")  # lists are far smaller than texts: hashed, so that texts aren't sorted; the same plan at every size
+    out = rows.select("row", "key", "turn").join(kept, ["key", "turn"], "left").withColumn("cut", cut)
     return out.select(*[(F.when(F.col(f"row.`{c}`").isNotNull(), F.col("cut")) if c == text else F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 
 
