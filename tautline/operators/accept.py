@@ -6,23 +6,50 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tautline.functions import text as T
-from tautline.operators.check import KEY, structural_digests
+from tautline.operators.check import KEY
+from tautline.operators.detect import latest_commit
 from tautline.operators.fragments import anchor_resolve, first_of, subrange_slice
 
 
-def accept_endpoints(endpoints: DataFrame, sources: DataFrame, fragments: DataFrame, tasks: DataFrame) -> DataFrame:
-    """layer, uuid, n, new_hash, error: what accepting each endpoint stores, or why it can't be."""
+def accept_endpoints(endpoints: DataFrame, sources: DataFrame, fragments: DataFrame, tasks: DataFrame, commits: DataFrame | None = None, overrides: DataFrame | None = None) -> DataFrame:
+    """layer, uuid, n, new_hash, new_shape, new_commit, error: what accepting each endpoint stores, or why it can't be.
+
+    A structural end gets the digest of its text, of an anchor also that of its shape, and the latest of `commits` (layer, file, commit, seq) on
+    its file; a task the latest commit on its file in the root layer; a layer end what the structural side of its neighbour has accepted (side
+    0 first). `overrides` (layer, uuid, n, hash, commit) replace digest or commit where they have a value."""
+    spark, none = endpoints.sparkSession, F.lit(None).cast("string")
+    head = spark.createDataFrame([], "layer string, file string, head string") if commits is None else latest_commit(commits).withColumnRenamed("commit", "head")
     whole = endpoints.filter("kind = 'structural' and anchor_name is null").join(sources.select("layer", "file", F.col("hash").alias("new_hash")), ["layer", "file"], "left")
-    whole = whole.select(*KEY, "new_hash", F.when(F.col("new_hash").isNull(), "no such file").alias("error"))
+    whole = whole.select(*KEY, "file", "new_hash", none.alias("new_shape"), F.when(F.col("new_hash").isNull(), "no such file").alias("error"))
     there = sources.select("layer", "file", F.lit(True).alias("there"))
     part = subrange_slice(anchor_resolve(endpoints, fragments)).join(there, ["layer", "file"], "left")
-    part = part.select(*KEY, F.when(F.col("there"), T.digest(F.col("frag"))).alias("new_hash"), F.when(F.col("there").isNull(), "no such file").when(F.col("frag").isNull(), "anchor not found").alias("error"))
-    other = structural_digests(endpoints).select(F.col("layer").alias("target_layer"), "uuid", F.col("side_hash").alias("new_hash"))
+    found = lambda c: F.when(F.col("there"), T.digest(c))
+    error = F.when(F.col("there").isNull(), "no such file").when(F.col("frag").isNull(), "anchor not found")
+    part = part.select(*KEY, "file", found(F.col("frag")).alias("new_hash"), found(T.shape(F.col("node_text"))).alias("new_shape"), error.alias("error"))
+    structural = whole.unionByName(part).join(head, ["layer", "file"], "left").select(*KEY, "new_hash", "new_shape", F.when(F.col("error").isNull(), F.col("head")).alias("new_commit"), "error")
+    side = F.when((F.col("kind") == "structural") & F.col("hash").isNotNull(), F.col("n"))
+    other = endpoints.groupBy(F.col("layer").alias("target_layer"), "uuid").agg(F.min_by(F.struct("hash", "commit"), side).alias("s"))
     layer = endpoints.filter("kind = 'layer'").select(*KEY, "target_layer").join(other, ["target_layer", "uuid"], "left")
-    layer = layer.select(*KEY, "new_hash", F.when(F.col("new_hash").isNull(), "neighbour has no digest").alias("error"))
-    task = endpoints.filter("kind = 'task'").select(*KEY, "task_id").join(tasks.select("task_id", T.digest(F.col("text")).alias("new_hash")), "task_id", "left")
-    task = task.select(*KEY, "new_hash", F.when(F.col("new_hash").isNull(), "no such task").alias("error"))
-    return whole.unionByName(part).unionByName(layer).unionByName(task)
+    layer = layer.select(*KEY, F.col("s.hash").alias("new_hash"), none.alias("new_shape"), F.col("s.commit").alias("new_commit"), F.when(F.col("s.hash").isNull(), "neighbour has no digest").alias("error"))
+    file = F.concat(F.lit(".stratum/worklist/"), "task_id", F.lit(".task"))
+    task = endpoints.filter("kind = 'task'").select(*KEY, "task_id", file.alias("file")).join(tasks.select("task_id", T.digest(F.col("text")).alias("new_hash")), "task_id", "left")
+    task = task.join(head.filter("layer = '.'").select("file", "head"), "file", "left")
+    gone = F.when(F.col("new_hash").isNull(), "no such task")
+    task = task.select(*KEY, "new_hash", none.alias("new_shape"), F.when(gone.isNull(), F.col("head")).alias("new_commit"), gone.alias("error"))
+    out = structural.unionByName(layer).unionByName(task)
+    if overrides is None:
+        return out
+    given = out.join(overrides.select(*KEY, F.col("hash").alias("by_hash"), F.col("commit").alias("by_commit")), KEY, "left")
+    pick = lambda by, c: F.when(F.col("error").isNull(), F.coalesce(by, c)).alias(c)
+    return given.select(*KEY, pick("by_hash", "new_hash"), "new_shape", pick("by_commit", "new_commit"), "error")
+
+
+def apply_fixes(endpoints: DataFrame, fixes: DataFrame) -> DataFrame:
+    """endpoints with the proposals fixes (layer, uuid, n, field, old, new) stored: a file, an anchor's name, a range (start~end)."""
+    of = lambda field: F.max(F.when(F.col("field") == field, F.col("new")))
+    new = fixes.groupBy(*KEY).agg(of("file").alias("file"), of("anchor").alias("anchor_name"), of("range").alias("range"))
+    span = F.split("range", "~")
+    return upsert_links(endpoints, new.select(*KEY, "file", "anchor_name", span[0].cast("long").alias("range_start"), span[1].cast("long").alias("range_end")))
 
 
 def accept_bulk(endpoints: DataFrame, prefix: str | None = None) -> DataFrame:

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from tautline.functions import text as T
 from tautline.functions.durable import durable
+from tautline.operators.check import KEY
+from tautline.operators.fragments import anchor_resolve, fragment_get, line_offsets, subrange_slice
 
 
 def prune_unchanged(endpoints: DataFrame, commits: DataFrame) -> DataFrame:
@@ -54,9 +56,32 @@ def detect_reanchored(unanchored: DataFrame, fragments: DataFrame) -> DataFrame:
 
 
 def detect_expanded(altered: DataFrame) -> DataFrame:
-    """altered (uuid, n, accepted, node_text): EXPANDED where the anchor still holds the accepted text, else ALTERED."""
-    held = F.col("accepted").isNotNull() & (F.col("accepted") != "") & F.col("node_text").contains(F.col("accepted"))
-    return altered.select("uuid", "n", F.when(held, "EXPANDED").otherwise("ALTERED").alias("state"))
+    """altered (uuid, n, accepted, node_text): EXPANDED where the anchor still holds the accepted text with its shape, that is, no word or number of it has
+    grown together with what stands around it; else ALTERED."""
+    at = F.position(F.col("accepted"), F.col("node_text"))
+    held = F.col("accepted").isNotNull() & (F.col("accepted") != "") & (at > 0)
+    around = [F.left("node_text", at - 1), F.substring("node_text", at + F.length("accepted"), F.length("node_text"))]
+    same = F.concat(T.shape(around[0]), T.shape(F.col("accepted")), T.shape(around[1])) == T.shape(F.col("node_text"))
+    return altered.select("uuid", "n", F.when(held & same, "EXPANDED").otherwise("ALTERED").alias("state"))
+
+
+def fragment_diff(endpoints: DataFrame, sources: DataFrame, fragments: DataFrame) -> DataFrame:
+    """layer, uuid, n, file, commit, changed, first_line, last_line: the accepted text of each end against the current one (white space at the
+    end doesn't count), the lines it stands on now and the commit it was accepted at. A layer end shows the structural side (side 0 first) of the
+    record it points to. Ends without an accepted commit, a file or an anchor are left out."""
+    ready = endpoints.filter("kind = 'structural' and accepted is not null and commit is not null")
+    rows = [*KEY, "file", "commit"]
+    trim = lambda c: F.regexp_replace(c, r"\s+$", "")
+    changed = lambda now: (trim("accepted") != trim(now)).alias("changed")
+    last = F.size(F.split("text", "\n"))
+    whole = ready.filter("anchor_name is null").join(sources.select("layer", "file", "text"), ["layer", "file"]).select(*rows, changed("text"), F.lit(1).alias("first_line"), last.alias("last_line"))
+    part = subrange_slice(anchor_resolve(ready, fragments)).filter("node_start is not null").withColumn("id", F.concat_ws("@", "uuid", "layer", F.col("n").cast("string")))
+    on = fragment_get(part.select("layer", "file", "id", F.col("frag_start").alias("start"), F.col("frag_end").alias("end")), line_offsets(sources)).select("id", "first_line", "last_line")
+    own = whole.unionByName(part.select("id", *rows, changed("frag")).join(on, "id").drop("id"))
+    sides = endpoints.filter("kind = 'structural'").groupBy("layer", "uuid").agg(F.min("n").alias("n"))
+    there = own.join(sides, KEY).drop("n").withColumnRenamed("layer", "target_layer")
+    hop = endpoints.filter("kind = 'layer'").select(*KEY, "target_layer").join(there, ["target_layer", "uuid"]).drop("target_layer")
+    return own.unionByName(hop)
 
 
 def detect_deleted(missing: DataFrame, sources: DataFrame, versions: DataFrame) -> DataFrame:

@@ -15,6 +15,9 @@ RULES = [
     ("rust", "declaration", r"^ *(?:pub(?:\([^)]*\))? +)?(?:fn|struct|enum|trait|impl|mod) +(\w+)"),
 ]
 
+#: A heading of HTML at the start of a text: its tag's name, what stands in it.
+HEADING = r"(?is)^<(h[1-6])(?:\s[^>]*)?>(.*?)</h[1-6]\s*>"
+
 
 def line_offsets(sources: DataFrame) -> DataFrame:
     """layer, file, line (from 1), start, end (bytes, without the line break), text. Worked out within each row: texts are not shuffled."""
@@ -24,40 +27,63 @@ def line_offsets(sources: DataFrame) -> DataFrame:
     return each.select("layer", "file", (F.col("i") + 1).alias("line"), "l.start", (F.col("l.start") + F.octet_length("l.text")).alias("end"), "l.text")
 
 
-def fragments_extract(sources: DataFrame, kinds: tuple[str, ...] = ("line", "paragraph", "element")) -> DataFrame:
-    """layer, file, kind, name, ord, start, end, text: lines (L1, L2, ...), paragraphs (P1, ...: runs of lines with text),
-    headings of HTML (the tag's name)."""
+def headings(sources: DataFrame) -> DataFrame:
+    """All headings of HTML sources as anchors: name (h1 to h6), ord among the file's headings, depth (its level), the span and text between the tags."""
+    cut = F.split("text", r"(?i)(?=<h[1-6][\s>])")
+    starts = T.running_starts(F.transform(cut, lambda x: F.octet_length(x).cast("long")))
+    pieces = F.zip_with(cut, starts, lambda p, at: F.struct(p.alias("p"), at.alias("at")))
+    inside = lambda p, g: F.regexp_extract(p, HEADING, g)
+    found = F.filter(pieces, lambda x: inside(x["p"], 1) != "")
+    each = sources.filter("lang = 'html'").select("layer", "file", F.posexplode(found).alias("i", "x")).select("layer", "file", "i", F.col("x.p").alias("p"), F.col("x.at").alias("at"))
+    name, start = F.lower(inside(F.col("p"), 1)), F.col("at") + F.octet_length(F.regexp_extract("p", r"(?i)^<h[1-6](?:\s[^>]*)?>", 0))
+    each = each.select("layer", "file", F.lit("element").alias("kind"), name.alias("name"), (F.col("i") + 1).alias("ord"), start.alias("start"), inside(F.col("p"), 2).alias("text"))
+    return each.withColumn("end", F.col("start") + F.octet_length("text")).withColumn("depth", F.substring("name", 2, 1).cast("int"))
+
+
+def fragments_extract(sources: DataFrame, kinds: tuple[str, ...] = ("line", "paragraph", "element"), rules: list[tuple[str, str, str]] = RULES) -> DataFrame:
+    """layer, file, kind, name, ord, depth, start, end, text: lines (L1, L2, ...), paragraphs (P1, ...: runs of lines with text), headings of
+    HTML (the tag's name) and, with kind declaration, what the rules find. depth: how deep an anchor is nested, 0 for lines and paragraphs."""
     lines = line_offsets(sources)
     out = []
     if "line" in kinds:
-        out.append(lines.select("layer", "file", F.lit("line").alias("kind"), F.concat(F.lit("L"), F.col("line").cast("string")).alias("name"), F.col("line").alias("ord"), "start", "end", "text"))
+        out.append(lines.select("layer", "file", F.lit("line").alias("kind"), F.concat(F.lit("L"), F.col("line").cast("string")).alias("name"), F.col("line").alias("ord"), F.lit(0).alias("depth"), "start", "end", "text"))
     if "paragraph" in kinds:
         w = Window.partitionBy("layer", "file").orderBy("line")
         full = lines.withColumn("run", F.sum((F.trim("text") == "").cast("int")).over(w)).filter(F.trim("text") != "")
         runs = full.groupBy("layer", "file", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "text"))), lambda x: x["text"]), "\n").alias("text"))
         ord_ = F.row_number().over(Window.partitionBy("layer", "file").orderBy("start"))
-        out.append(runs.withColumn("ord", ord_).select("layer", "file", F.lit("paragraph").alias("kind"), F.concat(F.lit("P"), F.col("ord").cast("string")).alias("name"), "ord", "start", "end", "text"))
+        out.append(runs.withColumn("ord", ord_).select("layer", "file", F.lit("paragraph").alias("kind"), F.concat(F.lit("P"), F.col("ord").cast("string")).alias("name"), "ord", F.lit(0).alias("depth"), "start", "end", "text"))
     if "element" in kinds:
-        tag = sources.filter("lang = 'html'").select("layer", "file", "text", F.regexp_extract("text", r"<(h[1-6])>", 1).alias("name")).filter("name <> ''")
-        at = F.position(F.concat(F.lit("<"), "name", F.lit(">")), F.col("text"))
-        inner = F.regexp_extract("text", r"<h[1-6]>([^<]*)</h[1-6]>", 1)
-        start = F.octet_length(F.left("text", at - 1)) + 4
-        out.append(tag.select("layer", "file", F.lit("element").alias("kind"), "name", F.lit(1).alias("ord"), start.cast("long").alias("start"), (start + F.octet_length(inner)).cast("long").alias("end"), inner.alias("text")))
+        out.append(headings(sources))
+    if "declaration" in kinds:
+        out.append(declarations(sources, rules))
     first, *rest = out
     for x in rest:
         first = first.unionByName(x)
-    return first.select("layer", "file", "kind", "name", F.col("ord").cast("int").alias("ord"), F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), "text")
+    return first.select("layer", "file", "kind", "name", F.col("ord").cast("int").alias("ord"), F.col("depth").cast("int").alias("depth"), F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), "text")
 
 
 def declarations(sources: DataFrame, rules: list[tuple[str, str, str]] = RULES) -> DataFrame:
-    """layer, file, kind, name, ord, start, end: anchors opened by a rule's line, up to the next one of the file."""
-    lines = line_offsets(sources).join(sources.select("layer", "file", "lang", "n_bytes"), ["layer", "file"])
-    found = None
-    for lang, kind, pattern in rules:
-        part = lines.filter(F.col("lang") == lang).withColumn("name", F.regexp_extract("text", pattern, 1)).filter("name <> ''").withColumn("kind", F.lit(kind))
-        found = part if found is None else found.unionByName(part)
-    w = Window.partitionBy("layer", "file").orderBy("start")
-    return found.select("layer", "file", "kind", "name", F.row_number().over(w).alias("ord"), "start", F.coalesce(F.lead("start").over(w) - 1, "n_bytes").alias("end"))
+    """layer, file, kind, name, ord, depth, start, end, text: anchors opened by a rule's line, up to the next one that is nested no deeper.
+    depth: open braces before the line, in Markdown the heading's level less one. Worked out within each row."""
+    lines = F.split("text", "\n")
+    kind, name = F.lit(None).cast("string"), F.lit(None).cast("array<string>")
+    for lang, k, pattern in rules:
+        here = F.col("lang") == lang
+        kind = F.when(here, F.lit(k)).otherwise(kind)
+        name = F.when(here, F.transform(lines, lambda x: F.regexp_extract(x, pattern, 1))).otherwise(name)  # noqa: B023
+    count = lambda x, c: F.length(x) - F.length(F.replace(x, F.lit(c), F.lit("")))
+    open_ = T.running_starts(F.transform(lines, lambda x: (count(x, "{") - count(x, "}")).cast("long")))
+    level = F.transform(lines, lambda x: (F.length(F.regexp_extract(x, "^#+", 0)) - 1).cast("long"))
+    starts = T.running_starts(F.transform(lines, lambda x: F.octet_length(x).cast("long") + 1))
+    wanted = sources.filter(F.col("lang").isin([r[0] for r in rules])).withColumns({"kind": kind, "names": name, "starts": starts, "depths": F.when(F.col("lang") == "markdown", level).otherwise(open_)})
+    found = F.filter(F.arrays_zip("names", "starts", "depths"), lambda x: x["names"] != "")
+    wanted = wanted.withColumn("found", found)
+    each = wanted.select("layer", "file", "kind", "text", "n_bytes", "found", F.posexplode("found").alias("i", "x"))
+    after = F.filter("found", lambda y: (y["starts"] > F.col("x.starts")) & (y["depths"] <= F.col("x.depths")))
+    end = F.coalesce(F.get(after, F.lit(0))["starts"] - 1, "n_bytes")
+    each = each.select("layer", "file", "kind", F.col("x.names").alias("name"), (F.col("i") + 1).alias("ord"), F.col("x.depths").cast("int").alias("depth"), F.col("x.starts").alias("start"), end.alias("end"), "text")
+    return each.withColumn("text", T.byte_slice(F.col("text"), F.col("start"), F.col("end")))
 
 
 def fingerprint(fragments: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tautline.functions import text as T
+from tautline.operators.check import rank, worst_state
 from tautline.operators.closure import closure
 from tautline.operators.ranges import spans_overlapping
 
@@ -39,6 +40,15 @@ def graph_traverse(starts: DataFrame, adjacency: DataFrame, max_depth: int | Non
     return got.select("root", F.substring_index("node", "@", 1).alias("uuid"), F.substring_index("node", "@", -1).alias("layer"), "depth")
 
 
+def graph_flat(reached: DataFrame, records: DataFrame, states: DataFrame) -> DataFrame:
+    """Rows of graph_traverse() with link0, link1 (the ends as written, from records: layer, uuid, link0, link1) and state0, state1 (from
+    states: layer, uuid, n, state)."""
+    at = lambda n: F.max(F.when(F.col("n") == n, F.col("state")))
+    both = states.groupBy("layer", "uuid").agg(at(0).alias("state0"), at(1).alias("state1"))
+    full = records.select("layer", "uuid", "link0", "link1").join(both, ["layer", "uuid"], "left")
+    return reached.join(full, ["layer", "uuid"], "left").select("root", "uuid", "layer", "depth", "link0", "link1", "state0", "state1")
+
+
 def graph_nodes(spans: DataFrame, lines: DataFrame, most_lines: int = 100) -> DataFrame:
     """spans (layer, file, uuid, start, end) -> one node for each id file@layer#Lline: id, file, layer, start_line, content (the first
     most_lines lines: a limit of the display), uuid (the smallest)."""
@@ -52,11 +62,21 @@ def graph_nodes(spans: DataFrame, lines: DataFrame, most_lines: int = 100) -> Da
 
 
 def graph_edges(links: DataFrame) -> DataFrame:
-    """links (a, b, uuid, state_a, state_b) -> one undirected edge for each pair of nodes and label (short uuid), worst-first states aside: those of the
-    smallest uuid."""
+    """links (a, b, uuid, state_a, state_b) -> one undirected edge for each pair of nodes and label (short uuid), with the worst state of each
+    side; of states of one rank the greater name."""
     flip = F.col("a") > F.col("b")
     e = links.select(F.least("a", "b").alias("source"), F.greatest("a", "b").alias("target"), F.substring("uuid", 1, 8).alias("label"), "uuid", F.when(flip, F.col("state_b")).otherwise(F.col("state_a")).alias("s"), F.when(flip, F.col("state_a")).otherwise(F.col("state_b")).alias("t"))
-    return e.groupBy("source", "target", "label").agg(F.min_by("s", "uuid").alias("source_state"), F.min_by("t", "uuid").alias("target_state"))
+    worst = lambda c: F.max(F.struct(rank(F.col(c)).alias("rank"), F.coalesce(c, F.lit("NONE")).alias("state")))["state"]
+    return e.groupBy("source", "target", "label").agg(worst("s").alias("source_state"), worst("t").alias("target_state"))
+
+
+def layer_edges(endpoints: DataFrame, states: DataFrame) -> DataFrame:
+    """a, b, uuid, state_a, state_b for graph_edges(): the structural sides (side 0 first) of neighbouring records of a chain, each with the worse
+    state of its record; states: layer, uuid, n, state."""
+    node = endpoints.filter("kind = 'structural'").groupBy("layer", "uuid").agg(F.min_by(F.concat("file", F.lit("@"), "layer", F.lit("#L1")), "n").alias("id"))
+    side = node.join(worst_state(states, "layer", "uuid"), ["layer", "uuid"])
+    there = side.select(F.col("layer").alias("to_layer"), "uuid", F.col("id").alias("b"), F.col("worst").alias("state_b"))
+    return graph_adjacency(endpoints).join(side, ["layer", "uuid"]).join(there, ["to_layer", "uuid"]).select(F.col("id").alias("a"), "b", "uuid", F.col("worst").alias("state_a"), "state_b")
 
 
 def graph_bipartite(endpoints: DataFrame, adjacency: DataFrame) -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tautline.functions import text as T
+from tautline.operators.closure import closure
+from tautline.operators.fragments import fragment_get
 from tautline.operators.ranges import spans_around, spans_overlapping
 
 
@@ -91,6 +93,32 @@ def symbol_renames(recorded: DataFrame, definitions: DataFrame) -> DataFrame:
     return gone.join(new, "symbol", "left").select("symbol", F.when(F.col("new_symbol").isNull(), "DELETED").otherwise("RENAMED").alias("state"), "new_symbol")
 
 
+def subgraph_check(roots: DataFrame, callees: DataFrame, checked: DataFrame, renamed: DataFrame) -> DataFrame:
+    """roots (root) -> root, symbol, state of every symbol reached along callees (caller, callee), cycles included. States are those of
+    symbol_check(); a recorded symbol that the index has no more has that of symbol_renames() and leads no further."""
+    edges = callees.select(F.col("caller").alias("src"), F.col("callee").alias("dst"))
+    reached = closure(roots.select("root", F.col("root").alias("node")), edges)
+    states = checked.select(F.col("symbol").alias("node"), "state").unionByName(renamed.select(F.col("symbol").alias("node"), "state"))
+    return reached.join(states, "node").select("root", F.col("node").alias("symbol"), "state")
+
+
+def subgraph_health(roots: DataFrame, callees: DataFrame, states: DataFrame) -> DataFrame:
+    """roots (root) with healthy: whether all symbols reached from each are OK or PENDING (unknown ones count as PENDING). Trouble is spread backwards
+    from where it is, so that the work of all roots together is one closure."""
+    edges = callees.select(F.col("callee").alias("src"), F.col("caller").alias("dst"))
+    bad = states.filter(~F.col("state").isin("OK", "PENDING")).select(F.lit("bad").alias("root"), F.col("symbol").alias("node"))
+    spoilt = closure(bad, edges).select(F.col("node").alias("root"), F.lit(False).alias("healthy"))
+    return roots.join(spoilt, "root", "left").select("root", F.coalesce("healthy", F.lit(True)).alias("healthy"))
+
+
+def callee_tree(reached: DataFrame, definitions: DataFrame, lines: DataFrame) -> DataFrame:
+    """reached (symbol, depth) with file, body_start, body_end, the lines that the body stands on (first_line, last_line) and their text (content);
+    lines (file, line, start, end, text)."""
+    at = reached.join(definitions, "symbol").select("symbol", "depth", "file", "body_start", "body_end")
+    spans = at.select(F.lit(".").alias("layer"), "file", F.col("symbol").alias("id"), F.col("body_start").alias("start"), F.col("body_end").alias("end"))
+    return at.join(fragment_get(spans, lines).withColumnRenamed("id", "symbol"), "symbol", "left").select("symbol", "depth", "file", "body_start", "body_end", "first_line", "last_line", "content")
+
+
 def link_symbol_retrofit(ends: DataFrame, definitions: DataFrame) -> DataFrame:
     """ends (id, file, start, end, subgraph) with missing subgraph symbols filled: from the range where there is one, else from the file."""
     by_range = callable_at(ends.filter("subgraph is null and start is not null").select("file", "start", "end").distinct(), definitions).withColumnRenamed("symbol", "r")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from tautline.operators.check import RANK
+
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
 
@@ -24,6 +26,12 @@ def shape(e: str) -> str:
     return f"regexp_replace(regexp_replace(regexp_replace({e}, '\\p{{L}}+', 'w', 'g'), '[0-9]+', 'n', 'g'), '[ \\t\\r\\n]+', '', 'g')"
 
 
+def ranked(e: str) -> str:
+    """A text that orders states from best to worst, then by name."""
+    ranks = {s: r for s, r in RANK.items() if s != "NONE"}
+    return f"(CASE {e} {' '.join(f"WHEN '{s}' THEN '{r}'" for s, r in ranks.items())} ELSE '1' END || coalesce({e}, 'NONE'))"
+
+
 LAYER = "CASE WHEN {0} = 0 THEN '.' ELSE array_to_string(list_transform(range(1, CAST({0} AS BIGINT) + 1), lambda t: '.stratum/t' || t), '/') END"
 DOC_FILE = "'docs/' || source || '/' || doc_id || '.txt'"
 LANG = "CASE regexp_extract(file, '\\.([A-Za-z0-9]+)$', 1) WHEN 'html' THEN 'html' WHEN 'java' THEN 'java' WHEN 'rs' THEN 'rust' WHEN 'md' THEN 'markdown' ELSE 'text' END"

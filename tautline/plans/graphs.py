@@ -7,14 +7,14 @@ from pyspark.sql import functions as F
 from tautline.functions import text as T
 from tautline.operators import chain, check, fragments, graph
 from tautline.operators.ranges import spans_containing
-from tautline.plans.base import DOC_ENDPOINTS, DOC_LINKS, DOC_STATES, LAYER, LINES, PAIRS, TASKS, query, uid
+from tautline.plans.base import DOC_ENDPOINTS, DOC_LINKS, DOC_STATES, LAYER, LINES, PAIRS, TASKS, query, ranked, uid
 from tautline.plans.links import KEYS, doc_lines
 from tautline.sources import tables as S
 from tautline.sources.records import parse_endpoints
 
 #: A chain for each conversation: its turns are nested layers, the first and the last one tips.
 CHAINS = f"""
-cc AS (SELECT conv_id, turn, {uid("'conv:' || conv_id")} AS uuid, {LAYER.format("turn")} AS layer, 'chat/' || conv_id || '.txt' AS file, max(turn) OVER (PARTITION BY conv_id) AS last FROM conversations),
+cc AS (SELECT conv_id, turn, text, {uid("'conv:' || conv_id")} AS uuid, {LAYER.format("turn")} AS layer, 'chat/' || conv_id || '.txt' AS file, max(turn) OVER (PARTITION BY conv_id) AS last FROM conversations),
 cl AS (SELECT *, CASE WHEN turn = 0 THEN file ELSE '<' END AS link0, CASE WHEN turn = last THEN file ELSE '>t' || (turn + 1) END AS link1 FROM cc)"""
 
 
@@ -142,10 +142,22 @@ def graph_starts(spark, d):
     return graph.graph_starts(selectors, S.pair_endpoints(spark, d))
 
 
-@query("graph_traverse", f"WITH {CHAINS} SELECT uuid || '@.' AS root, uuid, layer, turn::INT AS depth FROM cl")
+@query("graph_traverse", f"""WITH {CHAINS}, tips AS (SELECT *, CASE conv_id % 3 WHEN 0 THEN sha256(text || ' old') WHEN 2 THEN sha256(text) END AS tip, CASE WHEN conv_id % 3 = 2 THEN sha256('old') END AS mine FROM cl),
+sides AS (SELECT *, CASE WHEN turn IN (0, last) THEN tip END AS side FROM tips), near AS (SELECT *, lag(side) OVER w AS up, lead(side) OVER w AS down FROM sides WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+st AS (SELECT *, CASE WHEN tip IS NULL THEN 'PENDING' WHEN tip = sha256(text) THEN 'OK' ELSE 'ALTERED' END AS st_tip,
+  CASE WHEN up IS NULL OR mine IS NULL THEN 'PENDING' WHEN up = mine THEN 'OK' ELSE 'CHAIN_DIRTY' END AS st_up, CASE WHEN down IS NULL OR mine IS NULL THEN 'PENDING' WHEN down = mine THEN 'OK' ELSE 'CHAIN_DIRTY' END AS st_down FROM near)
+SELECT uuid || '@.' AS root, uuid, layer, turn::INT AS depth, link0, link1, CASE WHEN turn = 0 THEN st_tip ELSE st_up END AS state0, CASE WHEN turn = last THEN st_tip ELSE st_down END AS state1 FROM st""")
 def graph_traverse(spark, d):
-    e = chain_ends(spark, d)
-    return graph.graph_traverse(e.filter("layer = '.'").select("uuid", "layer").distinct(), graph.graph_adjacency(e))
+    """Every conversation's chain from the root layer on: the tips of a third of them hold the current digest, of a third an old one; where
+    they hold the current one, the ends that point to layers hold an old digest."""
+    e, src = chain_ends(spark, d), S.chat_sources(spark, d)
+    conv = S.table(spark, d, "conversations").select(T.link_id(F.lit("conv"), F.col("conv_id").cast("string")).alias("uuid"), T.turn_layer(F.col("turn")).alias("layer"), (F.col("conv_id") % 3).alias("third"), "text")
+    tip = F.when(F.col("third") == 0, T.digest(F.concat("text", F.lit(" old")))).when(F.col("third") == 2, T.digest(F.col("text")))
+    held = F.when(F.col("kind") == "structural", tip).when(F.col("third") == 2, T.digest(F.lit("old")))
+    ends = e.join(conv, ["layer", "uuid"]).withColumn("hash", held).withColumn("anchor_name", F.col("query"))
+    states = check.check_whole_file(ends, src).unionByName(check.check_layer(ends))
+    reached = graph.graph_traverse(e.filter("layer = '.'").select("uuid", "layer").distinct(), graph.graph_adjacency(e))
+    return graph.graph_flat(reached, chain.chain_create(chat_chains(spark, d)), states)
 
 
 @query("graph_nodes", f"WITH {DOC_STATES} SELECT file || '@.#L' || ln AS id, file, '.' AS layer, ln::INT AS start_line, sha256(frag) AS content_hash, uuid FROM dr WHERE r1a IS NOT NULL")
@@ -155,8 +167,10 @@ def graph_nodes(spark, d):
     return n.select("id", "file", "layer", "start_line", T.digest(F.col("content")).alias("content_hash"), "uuid")
 
 
-@query("graph_edges", f"""WITH {DOC_STATES}, e AS (SELECT file || '@.#L1' AS a, file || '@.#L' || ln AS b, uuid, st0, st1 FROM dr)
-SELECT least(a, b) AS source, greatest(a, b) AS target, substr(uuid, 1, 8) AS label, CASE WHEN a > b THEN st1 ELSE st0 END AS source_state, CASE WHEN a > b THEN st0 ELSE st1 END AS target_state FROM e""")
+@query("graph_edges", f"""WITH {DOC_STATES}, {PAIRS.strip()}, e AS (SELECT file || '@.#L1' AS a, file || '@.#L' || ln AS b, uuid, st0, st1 FROM dr
+  UNION ALL SELECT file || '@' || upper || '#L1', file || '@' || lower || '#L1', uuid, st, 'OK' FROM ps WHERE NOT removed),
+f AS (SELECT least(a, b) AS source, greatest(a, b) AS target, substr(uuid, 1, 8) AS label, CASE WHEN a > b THEN st1 ELSE st0 END AS s, CASE WHEN a > b THEN st0 ELSE st1 END AS t FROM e)
+SELECT source, target, label, arg_max(s, {ranked("s")}) AS source_state, arg_max(t, {ranked("t")}) AS target_state FROM f GROUP BY source, target, label""")
 def graph_edges(spark, d):
     r = ranged(spark, d)
     line = F.coalesce(F.regexp_extract("anchor_name", r"([0-9]+)$", 1), F.lit("1"))
@@ -164,7 +178,9 @@ def graph_edges(spark, d):
     node = F.concat("file", F.lit("@"), "layer", F.lit("#L"), line)
     both = r.groupBy("uuid").agg(at(0, node).alias("a"), at(1, node).alias("b"), at(0, F.col("state")).alias("state_a"), at(1, F.col("state")).alias("state_b"))
     turned = both.select(F.col("b").alias("a"), F.col("a").alias("b"), "uuid", F.col("state_b").alias("state_a"), F.col("state_a").alias("state_b")).filter("a <> b")
-    return graph.graph_edges(both.unionByName(turned))
+    e = S.pair_endpoints(spark, d)
+    layers = graph.layer_edges(e, check.check_whole_file(e, S.chat_sources(spark, d)).unionByName(check.check_layer(e)))
+    return graph.graph_edges(both.unionByName(turned).select("a", "b", "uuid", "state_a", "state_b").unionByName(layers))
 
 
 @query("graph_bipartite", f"""WITH {PAIRS}, {TASKS.strip()}

@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 
 from tautline.functions import text as T
 from tautline.functions.durable import durable, shared_dir
-from tautline.operators import check, detect, fragments, symbols
+from tautline.operators import accept, check, detect, fragments, symbols
 from tautline.operators.closure import closure
-from tautline.plans.base import COMMITS, DOC_LINKS, DOC_STATES, EDGES, LINES, SYMBOLS, query
+from tautline.plans.base import COMMITS, DOC_LINKS, DOC_STATES, EDGES, PAIRS, SYMBOLS, query, shape
 from tautline.plans.links import KEYS, doc_lines
 from tautline.sources import records
 from tautline.sources import tables as S
@@ -100,8 +100,11 @@ def symbol_check(spark, d):
     return symbols.symbol_check(bodies(spark, d), recorded(spark, d))
 
 
-@query("symbol_renames", """SELECT 'old' || p_partkey || '/fn().' AS symbol, CASE WHEN p_partkey % 5 = 1 THEN 'RENAMED' ELSE 'DELETED' END AS state,
-  CASE WHEN p_partkey % 5 = 1 THEN 'p' || p_partkey || '/fn().' END AS new_symbol FROM part WHERE p_partkey % 5 IN (1, 2)""")
+RENAMES = """rn AS (SELECT 'old' || p_partkey || '/fn().' AS symbol, CASE WHEN p_partkey % 5 = 1 THEN 'RENAMED' ELSE 'DELETED' END AS state,
+  CASE WHEN p_partkey % 5 = 1 THEN 'p' || p_partkey || '/fn().' END AS new_symbol FROM part WHERE p_partkey % 5 IN (1, 2))"""
+
+
+@query("symbol_renames", f"WITH {RENAMES} SELECT * FROM rn")
 def symbol_renames(spark, d):
     """Records of two fifths of the symbols have other names: half of them at the symbol's place, half where nothing is defined."""
     defs, key = S.definitions(spark, d), F.regexp_extract("symbol", "([0-9]+)", 1).cast("long")
@@ -110,38 +113,42 @@ def symbol_renames(spark, d):
     return symbols.symbol_renames(rec, defs)
 
 
-@query("subgraph_check", f"""WITH RECURSIVE {EDGES}, {BODIES}, r AS (SELECT {ROOT} AS symbol UNION SELECT callee FROM r JOIN edges ON caller = symbol) SELECT symbol, state FROM r JOIN st USING (symbol)""")
+@query("subgraph_check", f"""WITH RECURSIVE {EDGES}, {BODIES}, {RENAMES}, r AS (SELECT {ROOT} AS symbol UNION SELECT callee FROM r JOIN edges ON caller = symbol)
+SELECT {ROOT} AS root, symbol, state FROM r JOIN st USING (symbol) UNION ALL SELECT symbol, symbol, state FROM rn""")
 def subgraph_check(spark, d):
-    r = reached(spark, d).select(F.col("node").alias("symbol"))
-    return r.join(symbols.symbol_check(bodies(spark, d), recorded(spark, d)), "symbol").select("symbol", "state")
+    """From the smallest symbol, and from every recorded symbol that has another name or none now."""
+    renamed = symbol_renames(spark, d)
+    roots = S.definitions(spark, d).agg(F.min("symbol").alias("root")).union(renamed.select("symbol"))
+    return symbols.subgraph_check(roots, callees(spark, d), symbols.symbol_check(bodies(spark, d), recorded(spark, d)), renamed)
 
 
 DEPTHS = f"""{EDGES}, w AS (SELECT {ROOT} AS symbol, 0 AS depth UNION SELECT callee, depth + 1 FROM w JOIN edges ON caller = symbol WHERE depth < 3), mn AS (SELECT symbol, min(depth) AS depth FROM w GROUP BY symbol)"""
 
 
-@query("callee_tree", f"WITH RECURSIVE {DEPTHS} SELECT symbol, depth, file, body_start, body_end FROM mn JOIN defs USING (symbol)")
+@query("callee_tree", f"""WITH RECURSIVE {DEPTHS}, {BODIES} SELECT symbol, depth, file, body_start, body_end, (body_start // 1000 + 1)::INT AS first_line, (body_start // 1000 + 1)::INT AS last_line, sha256(rpad(text, 999, ' ')) AS hash
+FROM mn JOIN defs USING (symbol) JOIN bodies USING (symbol)""")
 def callee_tree(spark, d):
+    """Three steps from the smallest symbol."""
     r = reached(spark, d, 3).select(F.col("node").alias("symbol"), "depth")
-    return r.join(S.definitions(spark, d), "symbol").select("symbol", "depth", "file", "body_start", "body_end")
+    t = symbols.callee_tree(r, S.definitions(spark, d), S.symbol_lines(spark, d))
+    return t.select("symbol", "depth", "file", "body_start", "body_end", F.col("first_line").cast("int").alias("first_line"), F.col("last_line").cast("int").alias("last_line"), T.digest(F.col("content")).alias("hash"))
 
 
-@query("callee_diff", f"WITH RECURSIVE {DEPTHS}, {BODIES} SELECT symbol, CASE WHEN s = 1 THEN 'ALTERED' ELSE 'OK' END AS state FROM mn JOIN bodies USING (symbol)")
+@query("callee_diff", f"""WITH RECURSIVE {EDGES}, {BODIES}, r AS (SELECT {ROOT} AS symbol UNION SELECT callee FROM r JOIN edges ON caller = symbol)
+SELECT symbol, CASE WHEN s = 1 THEN 'ALTERED' ELSE 'OK' END AS state FROM r JOIN bodies USING (symbol)""")
 def callee_diff(spark, d):
-    """Bodies then and now; white space at the end doesn't count."""
+    """Bodies then and now of every symbol reached; white space at the end doesn't count."""
     then = bodies(spark, d).select("symbol", F.when(F.col("s") == 1, F.concat("text", F.lit(" old"))).otherwise(F.concat("text", F.lit("  "))).alias("then"))
-    r = reached(spark, d, 3).select(F.col("node").alias("symbol")).join(then, "symbol").join(bodies(spark, d), "symbol")
+    r = reached(spark, d).select(F.col("node").alias("symbol")).join(then, "symbol").join(bodies(spark, d), "symbol")
     return r.select("symbol", F.when(F.rtrim("then") == F.rtrim("text"), "OK").otherwise("ALTERED").alias("state"))
 
 
-@query("subgraph_health", f"""WITH {EDGES}, {BODIES}, roots AS (SELECT symbol AS root FROM defs), one AS (SELECT root, root AS symbol FROM roots UNION SELECT root, callee FROM roots JOIN edges ON caller = root)
-SELECT root, bool_and(coalesce(state, 'PENDING') IN ('OK', 'PENDING')) AS healthy, count(*) AS symbols FROM one LEFT JOIN st USING (symbol) GROUP BY root""")
+@query("subgraph_health", f"""WITH RECURSIVE {EDGES}, {BODIES}, bad AS (SELECT symbol FROM st WHERE state NOT IN ('OK', 'PENDING') UNION SELECT caller FROM bad JOIN edges ON callee = symbol)
+SELECT symbol AS root, symbol NOT IN (SELECT symbol FROM bad) AS healthy FROM defs""")
 def subgraph_health(spark, d):
-    """Each symbol as the root of a link's subgraph of one step."""
-    edges = callees(spark, d).select(F.col("caller").alias("src"), F.col("callee").alias("dst"))
-    starts = S.definitions(spark, d).select(F.col("symbol").alias("root"), F.col("symbol").alias("node"))
-    state = symbols.symbol_check(bodies(spark, d), recorded(spark, d)).select(F.col("symbol").alias("node"), "state")
-    r = closure(starts, durable(edges, "edges"), 1).join(state, "node", "left")
-    return r.groupBy("root").agg(F.min(F.coalesce("state", F.lit("PENDING")).isin("OK", "PENDING")).alias("healthy"), F.count("*").alias("symbols"))
+    """Each symbol as the root of a link's subgraph."""
+    states = symbols.symbol_check(bodies(spark, d), recorded(spark, d))
+    return symbols.subgraph_health(S.definitions(spark, d).select(F.col("symbol").alias("root")), callees(spark, d), states)
 
 
 @query("link_symbol_retrofit", f"""WITH {SYMBOLS}, ff AS (SELECT file, min(symbol) AS f FROM defs GROUP BY file), o AS (SELECT file, l_linenumber AS k, "start", "end" FROM
@@ -186,11 +193,21 @@ def prune_unchanged(spark, d):
     return detect.prune_unchanged(accepted(spark, d), S.commits(spark, d).filter("event_type = 'purchase'"))
 
 
-@query("fragment_diff", f"WITH {DOC_LINKS} SELECT uuid, rtrim(base1, ' ') <> rtrim(frag, ' ') AS changed, ln AS first_line FROM dl WHERE s NOT IN (0, 3, 5)")
+def _trim(e: str) -> str:
+    return f"regexp_replace({e}, '\\s+$', '')"
+
+
+@query("fragment_diff", f"""WITH {DOC_LINKS}, {PAIRS.strip()}, ends AS (
+  SELECT upper AS layer, uuid, 0 AS n, file, up AS t FROM pp UNION ALL SELECT lower, uuid, 1, file, low FROM pp WHERE NOT removed
+  UNION ALL SELECT upper, uuid, 1, file, low FROM pp WHERE NOT removed UNION ALL SELECT lower, uuid, 0, file, up FROM pp WHERE NOT removed)
+SELECT '.' AS layer, uuid, 0 AS n, file, substr(sha256(base0), 1, 12) AS "commit", {_trim("base0")} <> {_trim("text")} AS changed, 1 AS first_line, len(ls)::INT AS last_line FROM dl WHERE s NOT IN (0, 3)
+UNION ALL SELECT '.', uuid, 1, file, substr(sha256(base1), 1, 12), {_trim("base1")} <> {_trim("frag")}, ln::INT, ln::INT FROM dl WHERE s NOT IN (0, 3, 5)
+UNION ALL SELECT layer, uuid, n, file, substr(sha256(t), 1, 12), FALSE, 1, len(string_split(t, chr(10)))::INT FROM ends""")
 def fragment_diff(spark, d):
-    """Accepted and current fragment of each line link; white space at the end doesn't count."""
-    r = fragments.subrange_slice(fragments.anchor_resolve(S.doc_endpoints(spark, d), doc_lines(spark, d))).filter("node_start is not null and accepted is not null")
-    return r.select("uuid", (F.rtrim("accepted") != F.rtrim("frag")).alias("changed"), F.regexp_extract("anchor_name", "([0-9]+)", 1).cast("long").alias("first_line"))
+    """Accepted and current fragment of the ends of document links and of pairs of turns."""
+    e = S.doc_endpoints(spark, d).unionByName(S.pair_endpoints(spark, d))
+    r = detect.fragment_diff(e, S.doc_sources(spark, d).unionByName(S.chat_sources(spark, d)), doc_lines(spark, d))
+    return r.withColumns({c: F.col(c).cast("int") for c in ("first_line", "last_line")})
 
 
 @query("line_delta", f"""WITH {DOC_LINKS}, b AS (SELECT uuid AS id, unnest(string_split(base0, chr(10))) AS t FROM dl WHERE s NOT IN (0, 3)), a AS (SELECT uuid AS id, unnest(ls) AS t FROM dl WHERE s NOT IN (0, 3)),
@@ -227,7 +244,11 @@ def detect_reanchored(spark, d):
     return detect.detect_reanchored(r.filter("node_start is null").select("uuid", "n", "layer", "file", "anchor_kind", "anchor_name", "hash"), doc_lines(spark, d))
 
 
-@query("detect_expanded", f"""WITH {DOC_LINKS} SELECT uuid, 1 AS n, CASE WHEN base1 <> '' AND contains(frag, base1) THEN 'EXPANDED' ELSE 'ALTERED' END AS state FROM dl WHERE s NOT IN (0, 3, 5) AND base1 <> frag""")
+#: Whether the line of a link still holds what was accepted of it, with its shape.
+GROWN = f"""base1 <> '' AND contains(frag, base1) AND {shape("substr(frag, 1, instr(frag, base1) - 1)")} || {shape("base1")} || {shape("substr(frag, instr(frag, base1) + length(base1))")} = {shape("frag")}"""
+
+
+@query("detect_expanded", f"WITH {DOC_LINKS} SELECT uuid, 1 AS n, CASE WHEN {GROWN} THEN 'EXPANDED' ELSE 'ALTERED' END AS state FROM dl WHERE s NOT IN (0, 3, 5) AND base1 <> frag")
 def detect_expanded(spark, d):
     r = fragments.subrange_slice(fragments.anchor_resolve(S.doc_endpoints(spark, d), doc_lines(spark, d))).filter("node_start is not null and hash is not null and hash <> sha2(frag, 256)")
     return detect.detect_expanded(r)
@@ -247,20 +268,37 @@ def hunk_overlap(spark, d):
     return detect.hunk_overlap(hunks, links.select("file", "uuid", F.col("ln").alias("first"), F.col("ln").alias("last")))
 
 
-@query("pending_fixes", f"""WITH {DOC_STATES}, cur AS (SELECT * FROM dl WHERE s <> 3)
-SELECT m.uuid, 0 AS n, 'file' AS field, m.file AS old, min(c.file) AS "new" FROM dl m JOIN cur c ON c.text = m.text WHERE m.s = 3 GROUP BY m.uuid, m.file
-UNION ALL SELECT uuid, 1, 'range', fstart || '~' || (fstart + flen), r1a || '~' || r1b FROM dr WHERE st1 = 'DISPLACED'
-UNION ALL SELECT uuid, 1, 'anchor', 'XL' || ln, 'L' || min(i) FROM (SELECT uuid, ln, base1, unnest(ls) AS t, generate_subscripts(ls, 1) AS i FROM dl WHERE s = 5) WHERE t = base1 GROUP BY uuid, ln""")
+FIXES = f"""{DOC_STATES}, cur AS (SELECT * FROM dl WHERE s <> 3), fx AS (
+SELECT m.uuid, 0 AS n, 'MOVED' AS state, 'file' AS field, m.file AS old, min(c.file) AS "new" FROM dl m JOIN cur c ON c.text = m.text WHERE m.s = 3 GROUP BY m.uuid, m.file
+UNION ALL SELECT uuid, 1, CASE WHEN {GROWN} THEN 'EXPANDED' ELSE 'DISPLACED' END, 'range', CASE WHEN {GROWN} THEN r1a || '~' || r1b ELSE fstart || '~' || (fstart + flen) END,
+  CASE WHEN {GROWN} THEN fstart || '~' || (fstart + flen) ELSE r1a || '~' || r1b END FROM dr WHERE st1 = 'DISPLACED'
+UNION ALL SELECT uuid, 1, 'REANCHORED', 'anchor', 'XL' || ln, 'L' || min(i) FROM (SELECT uuid, ln, base1, unnest(ls) AS t, generate_subscripts(ls, 1) AS i FROM dl WHERE s = 5) WHERE t = base1 GROUP BY uuid, ln)"""
+
+
+@query("pending_fixes", f"WITH {FIXES} SELECT * FROM fx")
 def pending_fixes(spark, d):
-    """uuid, n, field, old, new of what moved, displaced and reanchored ends would store."""
-    e = S.doc_endpoints(spark, d)
-    file = detect_moved(spark, d).join(e.select("uuid", "n", "file"), ["uuid", "n"]).select("uuid", "n", F.lit("file").alias("field"), F.col("file").alias("old"), F.col("new_file").alias("new"))
-    r = fragments.subrange_slice(fragments.anchor_resolve(e, doc_lines(spark, d)))
-    state = check.check_fragment(e, doc_lines(spark, d), S.doc_sources(spark, d)).filter("state = 'DISPLACED'").select(*KEYS)
+    """uuid, n, state, field, old, new of what moved, displaced, expanded and reanchored ends would store. An anchor without a range of its own
+    whose accepted text has only grown is widened to what it is now; any other place of the accepted text is where the end was displaced to."""
+    e, lines = S.doc_endpoints(spark, d), doc_lines(spark, d)
+    fix = lambda df, state, field, old, new: df.select("uuid", "n", F.lit(state).alias("state"), F.lit(field).alias("field"), old.alias("old"), new.alias("new"))
     span = lambda a, b: F.concat_ws("~", F.col(a).cast("string"), F.col(b).cast("string"))
-    moved = check.find_displaced(r.join(state, KEYS, "left_semi")).select("uuid", "n", F.lit("range").alias("field"), span("frag_start", "frag_end").alias("old"), span("new_start", "new_end").alias("new"))
-    anchor = detect_reanchored(spark, d).join(e.select("uuid", "n", "anchor_name"), ["uuid", "n"]).select("uuid", "n", F.lit("anchor").alias("field"), F.col("anchor_name").alias("old"), F.col("new_name").alias("new"))
-    return file.unionByName(moved).unionByName(anchor)
+    file = fix(detect_moved(spark, d).join(e.select("uuid", "n", "file"), ["uuid", "n"]), "MOVED", "file", F.col("file"), F.col("new_file"))
+    state = check.check_fragment(e, lines, S.doc_sources(spark, d)).filter("state = 'DISPLACED'").select(*KEYS)
+    found = check.find_displaced(fragments.subrange_slice(fragments.anchor_resolve(e, lines)).join(state, KEYS, "left_semi"))
+    found = found.join(detect.detect_expanded(found).withColumnRenamed("state", "grown"), ["uuid", "n"])
+    wider = (F.col("grown") == "EXPANDED") & F.col("rel_start").isNull() & F.col("rel_end").isNull()
+    ranges = fix(found.filter(wider), "EXPANDED", "range", span("new_start", "new_end"), span("node_start", "node_end")).unionByName(fix(found.filter(~wider), "DISPLACED", "range", span("frag_start", "frag_end"), span("new_start", "new_end")))
+    anchor = fix(detect_reanchored(spark, d).join(e.select("uuid", "n", "anchor_name"), ["uuid", "n"]), "REANCHORED", "anchor", F.col("anchor_name"), F.col("new_name"))
+    return file.unionByName(ranges).unionByName(anchor)
+
+
+@query("apply_fixes", f"""WITH {FIXES}, e AS (SELECT uuid, 0 AS n, file, NULL AS name FROM dl UNION ALL SELECT uuid, 1, file, (CASE WHEN s = 5 THEN 'X' ELSE '' END) || 'L' || ln FROM dl)
+SELECT e.uuid, e.n, coalesce(f."new", e.file) AS file, coalesce(a."new", e.name) AS anchor_name, split_part(r."new", '~', 1)::BIGINT AS range_start, split_part(r."new", '~', 2)::BIGINT AS range_end FROM e
+LEFT JOIN fx f ON f.uuid = e.uuid AND f.n = e.n AND f.field = 'file' LEFT JOIN fx a ON a.uuid = e.uuid AND a.n = e.n AND a.field = 'anchor' LEFT JOIN fx r ON r.uuid = e.uuid AND r.n = e.n AND r.field = 'range'""")
+def apply_fixes(spark, d):
+    """The document links' ends with all pending fixes stored."""
+    fixed = accept.apply_fixes(S.doc_endpoints(spark, d), pending_fixes(spark, d).withColumn("layer", F.lit(".")))
+    return fixed.select("uuid", "n", "file", "anchor_name", "range_start", "range_end")
 
 
 @query("opposite_fragment", """WITH c AS (SELECT 'chat/' || conv_id || '.txt' AS file, conv_id, turn, text FROM conversations)
@@ -307,26 +345,22 @@ def watch_transitions(spark, d):
     return spark.read.parquet(f"{out}/rows").drop("batch")
 
 
-def _written(spark, df, name: str) -> str:
-    out = f"{shared_dir(spark)}/{name}-{_uuid.uuid4().hex}"
-    df.write.partitionBy(*[c for c in df.columns if c != "value"]).text(out)
-    return out
-
-
-@query("scan_links")
+@query("scan_links", f"WITH {DOC_LINKS} SELECT '.' AS layer, uuid, file AS link0, file || ' :: L' || ln AS link1, sha256(base0) AS hash0, 'OK' AS state0, NULL::VARCHAR AS error FROM dl")
 def scan_links(spark, d):
-    """Document links as records in text form, a folder for each, read back."""
+    """Document links as records in text form, many to a file, read back."""
     links = S.doc_links(spark, d)
     value = F.concat_ws("\n", F.lit("# a link"), F.concat(F.lit("link.0 = "), "file"), F.concat(F.lit("link.1 = "), "file", F.lit(" ::")), F.concat(F.lit("  L"), F.col("ln").cast("string")), F.concat(F.lit("hash.0 = "), T.digest(F.col("base0"))), F.lit("state.0 = OK"))
-    return records.scan_links(spark, _written(spark, links.select(F.lit(".").alias("layer"), "uuid", value.alias("value")), "links")).select("layer", "uuid", "link0", "link1", "hash0", "state0", "error")
+    texts = durable(links.select(F.lit(".").alias("layer"), "uuid", value.alias("value")), "link-texts")
+    return records.link_records(texts).select("layer", "uuid", "link0", "link1", "hash0", "state0", "error")
 
 
-@query("scan_symbol_links")
+@query("scan_symbol_links", f"""WITH {SYMBOLS}, {BODIES} SELECT symbol, file, name_start AS range_start, name_end AS range_end, sha256(CASE WHEN s = 1 THEN text || ' old' ELSE text END) AS hash, NULL::VARCHAR AS error
+FROM defs JOIN bodies USING (symbol) WHERE s <> 0""")
 def scan_symbol_links(spark, d):
     r = S.definitions(spark, d).join(recorded(spark, d), "symbol")
     value = F.concat_ws("\n", F.concat(F.lit("symbol = "), "symbol"), F.concat(F.lit("file = "), "file"), F.concat(F.lit("range = "), F.col("name_start").cast("string"), F.lit("~"), F.col("name_end").cast("string")), F.concat(F.lit("hash = "), "hash"))
-    key = F.pmod(F.xxhash64("symbol"), F.lit(1 << 40)).alias("key")
-    return records.scan_symbol_links(spark, _written(spark, r.select(key, value.alias("value")), "symbols")).drop("commit", "state")
+    texts = durable(r.select(symbols.symbol_key(F.col("symbol")).alias("record"), value.alias("value")), "symbol-texts")
+    return records.symbol_records(texts).select("symbol", "file", "range_start", "range_end", "hash", "error")
 
 
 @query("write_links", f"WITH {DOC_LINKS} SELECT uuid, sha256(base0) AS hash0, sha256(base1) AS hash1 FROM dl")

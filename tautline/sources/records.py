@@ -35,40 +35,52 @@ def parse_endpoints(records: DataFrame) -> DataFrame:
     return ends.withColumn("e", parse_endpoint(F.col("written"))).select(*keep, "n", "e.*")
 
 
-def _values(spark: SparkSession, path: str, suffix: str, continued: list[str]) -> DataFrame:
-    """path, key, value of the key/value lines of all records under a folder; lines without a key continue the one above where that
-    key may be continued. Blank lines and # comments go; what is under .pending is left out."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", suffix).load(path)
-    text = files.select("path", F.decode("content", "UTF-8").alias("value"))
-    lines = text.filter(~F.col("path").contains("/.pending/")).select("path", F.explode(F.transform(F.split("value", "\n"), lambda x, i: F.struct(i.alias("pos"), x.alias("line")))).alias("l")).select("path", "l.*")
+def _texts(spark: SparkSession, path: str, files: str) -> DataFrame:
+    """path, value (the text) of all record files under a folder, but those under .pending."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", files).load(path)
+    return found.filter(~F.col("path").contains("/.pending/")).select("path", F.decode("content", "UTF-8").alias("value"))
+
+
+def _wide(texts: DataFrame, by: list[str], keys: list[str], continued: list[str]) -> DataFrame:
+    """One row for each of `by`, which names a record, with a column for each key (dots as nothing) of its key/value lines; lines without a key
+    continue the one above where that key may be continued. Blank lines and # comments go."""
+    lines = texts.select(*by, F.explode(F.transform(F.split("value", "\n"), lambda x, i: F.struct(i.alias("pos"), x.alias("line")))).alias("l")).select(*by, "l.*")
     lines = lines.filter((F.trim("line") != "") & ~F.ltrim("line").startswith("#"))
     key = F.regexp_extract("line", r"^([a-z_]+(?:\.[01])?)\s*=\s*", 1)
     lines = lines.withColumn("k", F.when(key != "", key))
-    run = F.sum(F.col("k").isNotNull().cast("int")).over(Window.partitionBy("path").orderBy("pos"))
+    run = F.sum(F.col("k").isNotNull().cast("int")).over(Window.partitionBy(*by).orderBy("pos"))
     lines = lines.withColumn("run", run)
     value = F.when(F.col("k").isNotNull(), F.regexp_replace("line", r"^[a-z_]+(?:\.[01])?\s*=\s*", "")).otherwise(F.trim("line"))
-    got = lines.withColumn("v", value).groupBy("path", "run").agg(F.max("k").alias("key"), F.array_sort(F.collect_list(F.struct("pos", "v"))).alias("vs"))
+    got = lines.withColumn("v", value).groupBy(*by, "run").agg(F.max("k").alias("key"), F.array_sort(F.collect_list(F.struct("pos", "v"))).alias("vs"))
     joined = F.array_join(F.transform("vs", lambda x: x["v"]), " ")
-    return got.select("path", "key", F.when(F.col("key").isin(continued), joined).otherwise(F.element_at("vs", 1)["v"]).alias("value"))
+    got = got.select(*by, "key", F.when(F.col("key").isin(continued), joined).otherwise(F.element_at("vs", 1)["v"]).alias("value"))
+    wide = got.groupBy(*by).pivot("key", keys).agg(F.first("value"))
+    return wide.select(*by, *[F.col(f"`{k}`").alias(k.replace(".", "")) for k in keys])
 
 
-def scan_links(spark: SparkSession, path: str, files: str = "*") -> DataFrame:
-    """layer, uuid, error and one column for each key (dots as nothing) of all link records under a folder of layers."""
-    v = _values(spark, path, files, ["link.0", "link.1"])
-    wide = v.groupBy("path").pivot("key", LINK_KEYS).agg(F.first("value"))
-    out = wide.select("path", *[F.col(f"`{k}`").alias(k.replace(".", "")) for k in LINK_KEYS])
-    uuid = F.regexp_extract("path", r"([0-9a-f]{8}-[0-9a-f-]{27})[^/]*(?:/[^/]*)?$", 1)
-    layer = F.regexp_extract("path", r"layer=([^/]+)/", 1)
+def link_records(texts: DataFrame) -> DataFrame:
+    """texts (layer, uuid, value: a record as text) -> layer, uuid, one column for each key, error."""
     error = F.when(F.col("link0").isNull() | F.col("link1").isNull(), "a link is missing")
-    return out.select(F.url_decode(layer).alias("layer"), uuid.alias("uuid"), *[k.replace(".", "") for k in LINK_KEYS], error.alias("error"))
+    return _wide(texts, ["layer", "uuid"], LINK_KEYS, ["link.0", "link.1"]).withColumn("error", error)
 
 
-def scan_symbol_links(spark: SparkSession, path: str, files: str = "*") -> DataFrame:
-    """One column for each key, and error, of all symbol records under a folder."""
-    wide = _values(spark, path, files, []).groupBy("path").pivot("key", SYMBOL_KEYS).agg(F.first("value"))
+def symbol_records(texts: DataFrame) -> DataFrame:
+    """texts (record: what names it, value: a symbol record as text) -> its keys, error."""
     span = F.split("range", "~")
     error = F.when(F.col("symbol").isNull() | F.col("file").isNull() | F.col("range").isNull(), "symbol, file or range is missing")
-    return wide.select("symbol", "file", F.get(span, F.lit(0)).try_cast("long").alias("range_start"), F.get(span, F.lit(1)).try_cast("long").alias("range_end"), "hash", "commit", "state", error.alias("error"))
+    return _wide(texts, ["record"], SYMBOL_KEYS, []).select("symbol", "file", F.get(span, F.lit(0)).try_cast("long").alias("range_start"), F.get(span, F.lit(1)).try_cast("long").alias("range_end"), "hash", "commit", "state", error.alias("error"))
+
+
+def scan_links(spark: SparkSession, path: str, files: str = "*") -> DataFrame:
+    """link_records() of all record files under a folder of layers."""
+    uuid = F.regexp_extract("path", r"([0-9a-f]{8}-[0-9a-f-]{27})[^/]*(?:/[^/]*)?$", 1)
+    layer = F.url_decode(F.regexp_extract("path", r"layer=([^/]+)/", 1))
+    return link_records(_texts(spark, path, files).select(layer.alias("layer"), uuid.alias("uuid"), "value"))
+
+
+def scan_symbol_links(spark: SparkSession, path: str, files: str = "*") -> DataFrame:
+    """symbol_records() of all record files under a folder."""
+    return symbol_records(_texts(spark, path, files).withColumnRenamed("path", "record"))
 
 
 def write_links(links: DataFrame, path: str) -> None:

@@ -2,7 +2,7 @@
 
 sources    layer, file, lang, n_bytes, text, hash
 endpoints  layer, uuid, n, kind, file, anchor_kind, anchor_name, rel_start, rel_end, target_layer, task_id,
-           hash, shape_hash, accepted, accepted_len, state, range_start, range_end
+           hash, shape_hash, accepted, accepted_len, state, range_start, range_end, commit
 lines      layer, file, line (from 1), start, end, text
 commits    layer, file, commit, seq, ts
 definitions symbol, file, name_start, name_end, body_start, body_end;  occurrences symbol, file, roles, start, end, doc_seq
@@ -17,7 +17,7 @@ from tautline.functions import text as T
 
 ENDPOINT = (
     "layer string, uuid string, n int, kind string, file string, anchor_kind string, anchor_name string, rel_start long, rel_end long, "
-    "target_layer string, task_id string, hash string, shape_hash string, accepted string, accepted_len long, state string, range_start long, range_end long"
+    "target_layer string, task_id string, hash string, shape_hash string, accepted string, accepted_len long, state string, range_start long, range_end long, commit string"
 )
 
 
@@ -66,13 +66,17 @@ def _endpoints(df: DataFrame, **columns: Column) -> DataFrame:
     return df.select(*[columns.get(n, F.lit(None)).cast(t).alias(n) for n, t in names])
 
 
+def _short(digest: Column) -> Column:
+    return F.substring(digest, 1, 12)
+
+
 def doc_endpoints(spark: SparkSession, d: str) -> DataFrame:
     links = doc_links(spark, d)
-    whole = _endpoints(links, layer=F.lit("."), uuid=F.col("uuid"), n=F.lit(0), kind=F.lit("structural"), file=F.col("file"), hash=T.digest(F.col("base0")), accepted=F.col("base0"), accepted_len=F.octet_length("base0"))
+    whole = _endpoints(links, layer=F.lit("."), uuid=F.col("uuid"), n=F.lit(0), kind=F.lit("structural"), file=F.col("file"), hash=T.digest(F.col("base0")), accepted=F.col("base0"), accepted_len=F.octet_length("base0"), commit=_short(T.digest(F.col("base0"))))
     name = F.concat(F.when(F.col("s") == 5, "X").otherwise(""), F.lit("L"), F.col("ln").cast("string"))
     line = _endpoints(
         links, layer=F.lit("."), uuid=F.col("uuid"), n=F.lit(1), kind=F.lit("structural"), file=F.col("file"), anchor_kind=F.lit("line"), anchor_name=name,
-        hash=T.digest(F.col("base1")), shape_hash=T.digest(T.shape(F.col("base1"))), accepted=F.col("base1"), accepted_len=F.octet_length("base1"),
+        hash=T.digest(F.col("base1")), shape_hash=T.digest(T.shape(F.col("base1"))), accepted=F.col("base1"), accepted_len=F.octet_length("base1"), commit=_short(T.digest(F.col("base1"))),
     )
     return whole.unionByName(line)
 
@@ -95,10 +99,10 @@ def pair_endpoints(spark: SparkSession, d: str) -> DataFrame:
     both = p.filter("not removed")
     up, low = T.digest(F.col("up")), T.digest(F.col("low"))
     return (
-        _endpoints(p, layer=upper, uuid=F.col("uuid"), n=F.lit(0), kind=F.lit("structural"), file=F.col("file"), hash=up, accepted=F.col("up"), accepted_len=F.octet_length("up"))
+        _endpoints(p, layer=upper, uuid=F.col("uuid"), n=F.lit(0), kind=F.lit("structural"), file=F.col("file"), hash=up, accepted=F.col("up"), accepted_len=F.octet_length("up"), commit=_short(up))
         .unionByName(_endpoints(p, layer=upper, uuid=F.col("uuid"), n=F.lit(1), kind=F.lit("layer"), target_layer=lower, hash=F.col("stored")))
         .unionByName(_endpoints(both, layer=lower, uuid=F.col("uuid"), n=F.lit(0), kind=F.lit("layer"), target_layer=upper, hash=up))
-        .unionByName(_endpoints(both, layer=lower, uuid=F.col("uuid"), n=F.lit(1), kind=F.lit("structural"), file=F.col("file"), hash=low, accepted=F.col("low"), accepted_len=F.octet_length("low")))
+        .unionByName(_endpoints(both, layer=lower, uuid=F.col("uuid"), n=F.lit(1), kind=F.lit("structural"), file=F.col("file"), hash=low, accepted=F.col("low"), accepted_len=F.octet_length("low"), commit=_short(low)))
     )
 
 
@@ -122,6 +126,30 @@ def commits(spark: SparkSession, d: str) -> DataFrame:
     return e.select(F.lit(".").alias("layer"), F.concat(F.lit("src/u"), F.col("user_id").cast("string"), F.lit(".txt")).alias("file"), F.substring(F.sha2(F.col("event_id").cast("string"), 256), 1, 12).alias("commit"), F.col("event_id").alias("seq"), "ts", "event_type", "value")
 
 
+def link_commits(spark: SparkSession, d: str) -> DataFrame:
+    """Two commits of the files of documents and tasks; every fourth document's file has none."""
+    docs = table(spark, d, "documents").filter("doc_id % 4 <> 3").select(doc_file().alias("file"))
+    done = table(spark, d, "labels").select(F.concat(F.lit(".stratum/worklist/"), F.col("doc_id").cast("string"), F.lit(".task")).alias("file"))
+    each = docs.union(done).select(F.lit(".").alias("layer"), "file", F.explode(F.array(F.lit(1), F.lit(2))).alias("seq"))
+    return each.select("layer", "file", _short(T.digest(F.concat_ws(":", "file", F.col("seq").cast("string")))).alias("commit"), "seq")
+
+
+def part_sources(spark: SparkSession, d: str) -> DataFrame:
+    """Parts as source files: a Rust module with one function, and a Markdown page with a section in another."""
+    p = table(spark, d, "part").select(F.col("p_partkey").cast("string").alias("k"), "p_name", "p_type")
+    rust = F.concat(F.lit("pub mod m"), "k", F.lit(" {\n    pub fn p"), "k", F.lit("() {\n        // "), "p_name", F.lit("\n    }\n}\n"))
+    page = F.concat(F.lit("# Part "), "k", F.lit("\n"), "p_type", F.lit("\n## Name\n"), "p_name", F.lit("\n# End\n"))
+    file = lambda ext: F.concat(F.lit("parts/p"), "k", F.lit(ext))
+    return _source(p, F.lit("."), file(".rs"), rust).unionByName(_source(p, F.lit("."), file(".md"), page))
+
+
+def symbol_lines(spark: SparkSession, d: str) -> DataFrame:
+    """The lines of the files that definitions() names: one of 999 bytes for each symbol, what its body says."""
+    slot = F.expr("p_partkey div 50")
+    p = table(spark, d, "part").select(F.concat(F.lit("src/f"), (F.col("p_partkey") % 50).cast("string"), F.lit(".rs")).alias("file"), slot.alias("slot"), F.rpad(F.concat_ws(" ", "p_name", "p_type"), 999, " ").alias("text"))
+    return p.select(F.lit(".").alias("layer"), "file", (F.col("slot") + 1).alias("line"), (F.col("slot") * 1000).alias("start"), (F.col("slot") * 1000 + 999).alias("end"), "text")
+
+
 def definitions(spark: SparkSession, d: str) -> DataFrame:
     start = F.expr("(p_partkey div 50) * 1000")
     return table(spark, d, "part").select(

@@ -158,3 +158,52 @@ def test_plans_have_no_python_and_no_cartesian_product(spark):
 def test_graph_layout(spark):
     n = spark.createDataFrame([("1", "a/x.md", ".", 1), ("2", "a/x.md", ".", 5), ("3", "b/y.md", ".", 1), ("4", "z.md", ".stratum/i", 1)], "id string, file string, layer string, start_line int")
     assert {r.id: (r.x, r.y) for r in graph.graph_layout(n).collect()} == {"1": (0, 0), "2": (0, 1), "3": (0, 3), "4": (1, 0)}
+
+
+def test_headings_with_attributes_and_markup(spark):
+    html = '<h1 class="t">a<b>é</b></h1>\n<p>x</p><H2>c\nd</H2><h3>open'
+    src = sources(spark, [(".", "p.html", html)])
+    rows = fragments.fragments_extract(src, ("element",)).orderBy("ord").collect()
+    raw = html.encode()
+    assert [(r.name, r.ord, r.depth, r.text) for r in rows] == [("h1", 1, 1, "a<b>é</b>"), ("h2", 2, 2, "c\nd")]
+    assert all(raw[r.start : r.end].decode() == r.text for r in rows)
+
+
+def test_declarations_end_at_the_next_of_their_depth(spark):
+    text = "mod a {\n    fn é() {\n    }\n    fn g() {\n    }\n}\nfn h() {\n}\n".replace("é", "f")
+    src = sources(spark, [(".", "a.rs", text), (".", "a.md", "# One\n## Two\ntext\n# Three\n")])
+    got = {(r.file, r.name): (r.depth, r.text) for r in fragments.declarations(src).collect()}
+    assert got["a.rs", "a"] == (0, text[: text.index("fn h") - 1]) and got["a.rs", "f"] == (1, "    fn f() {\n    }") and got["a.rs", "h"] == (0, "fn h() {\n}\n")
+    assert got["a.md", "One"] == (0, "# One\n## Two\ntext") and got["a.md", "Two"] == (1, "## Two\ntext") and got["a.md", "Three"] == (0, "# Three\n")
+
+
+def test_edges_carry_the_worst_state_of_each_side(spark):
+    links = spark.createDataFrame([("x", "y", "aaaaaaaa-1", "OK", "ALTERED"), ("y", "x", "aaaaaaaa-2", "PENDING", "BROKEN"), ("x", "y", "aaaaaaaa-3", None, "OK")], "a string, b string, uuid string, state_a string, state_b string")
+    assert [tuple(r) for r in graph.graph_edges(links).collect()] == [("x", "y", "aaaaaaaa", "BROKEN", "ALTERED")]
+
+
+def test_expanded_needs_whole_words(spark):
+    df = spark.createDataFrame([("1", 0, "b c", "a b c d"), ("2", 0, "b c", "ab c"), ("3", 0, "", "a"), ("4", 0, "x", "a")], "uuid string, n int, accepted string, node_text string")
+    assert {r.uuid: r.state for r in detect.detect_expanded(df).collect()} == {"1": "EXPANDED", "2": "ALTERED", "3": "ALTERED", "4": "ALTERED"}
+
+
+def test_accept_with_commits_and_overrides(spark):
+    src = sources(spark, [(".", "a.txt", "one\ntwo 2"), ("b", "b.txt", "x")])
+    e = endpoints(
+        spark, dict(layer=".", uuid="1", n=0, kind="structural", file="a.txt", anchor_kind="line", anchor_name="L2"), dict(layer=".", uuid="1", n=1, kind="layer", target_layer="b"),
+        dict(layer="b", uuid="1", n=0, kind="structural", file="b.txt", hash="h", commit="c9"), dict(layer=".", uuid="2", n=0, kind="structural", file="gone.txt"),
+    )
+    commits = spark.createDataFrame([(".", "a.txt", "c1", 1), (".", "a.txt", "c2", 2), (".", "gone.txt", "c3", 3)], "layer string, file string, commit string, seq int")
+    given = spark.createDataFrame([("b", "1", 0, "mine", "pinned"), (".", "2", 0, "mine", "pinned")], "layer string, uuid string, n int, hash string, commit string")
+    tasks = spark.createDataFrame([], "task_id string, text string")
+    got = {(r.layer, r.uuid, r.n): r for r in accept.accept_endpoints(e, src, fragments.fragments_extract(src, ("line",)), tasks, commits, given).collect()}
+    assert got[".", "1", 0][3:] == (sha(spark, "two 2"), sha(spark, "wn"), "c2", None)
+    assert got[".", "1", 1][3:] == ("h", None, "c9", None) and got["b", "1", 0][3:] == ("mine", None, "pinned", None)
+    assert got[".", "2", 0][3:] == (None, None, None, "no such file")
+
+
+def test_health_reaches_beyond_direct_callees(spark):
+    calls = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "b"), ("d", "d")], "caller string, callee string")
+    states = spark.createDataFrame([("c", "ALTERED"), ("a", "OK"), ("d", "PENDING")], "symbol string, state string")
+    roots = spark.createDataFrame([("a",), ("b",), ("c",), ("d",), ("e",)], "root string")
+    assert {r.root: r.healthy for r in symbols.subgraph_health(roots, calls, states).collect()} == {"a": False, "b": False, "c": False, "d": True, "e": True}

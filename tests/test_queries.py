@@ -7,8 +7,6 @@ from tautline.plans import catalog
 
 D = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-#: Two that write a folder for each record; tests/test_operators.py holds their parsing.
-SLOW = {"scan_links", "scan_symbol_links"}
 
 
 @pytest.fixture(scope="module")
@@ -20,7 +18,7 @@ def duck():
     return con
 
 
-@pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - SLOW))
+@pytest.mark.parametrize("name", sorted(catalog.QUERIES))
 def test_query(spark, duck, name):
     df = catalog.QUERIES[name](spark, D)
     rows = df.collect()
