@@ -91,7 +91,7 @@ def anchor_capture(spark, d):
     links = S.doc_links(spark, d).filter("s <> 3 and size(split(text, '\n')) > 1")
     lines = doc_lines(spark, d)
     sel = links.select(F.col("file"), F.concat(F.lit("L"), F.col("ln").cast("string")).alias("name")).join(lines, ["file", "name"]).select("layer", "file", F.col("start").alias("sel_start"), F.col("end").alias("sel_end"))
-    whole = src.select("layer", "file", F.lit("text").alias("kind"), F.lit("all").alias("name"), F.lit(0).alias("ord"), F.lit(0).cast("long").alias("start"), F.col("n_bytes").alias("end"), "text")
+    whole = src.select("layer", "file", F.lit("text").alias("kind"), F.lit("all").alias("name"), F.lit(0).alias("ord"), F.lit(0).alias("depth"), F.lit(0).cast("long").alias("start"), F.col("n_bytes").alias("end"), "text")
     mine = lines.join(sel.select("layer", "file", F.col("sel_start").alias("start"), F.col("sel_end").alias("end")), ["layer", "file", "start", "end"], "left_semi")
     return fragments.anchor_capture(sel, mine.unionByName(whole))
 
