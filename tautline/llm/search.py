@@ -41,7 +41,7 @@ from tautline.functions.durable import durable
 from tautline.llm.keys import column
 
 #: Documents of an item, bytes of a block of items, cells of a treap, ranges opened at once, parts of an item before its last ranking.
-TOP, ITEM_BYTES, CELLS, AT_ONCE, SALTS = 50, 4_000_000, 3_000_000, 64, 16
+TOP, ITEM_BYTES, CELLS, AT_ONCE, SALTS = 50, 4_000_000, 1_000_000, 64, 16
 #: Stands for a null doc_id.
 NO_ID = -(1 << 63)
 
@@ -116,18 +116,19 @@ class Treap:
             z |= (r >> k & 1) << (2 * k + 1) | (c >> k & 1) << (2 * k)
         order = np.argsort(z)
         code, most = z[order], values[order].astype(np.int64)
-        levels = [(np.zeros(len(code), np.uint8), most, code)]
+        levels: list[tuple[np.ndarray, np.ndarray]] = []
+        parts = np.zeros(len(code), np.uint8)
         for _ in range(h):
             start = np.flatnonzero(np.append(True, (code[1:] >> 2) != (code[:-1] >> 2)))
-            parts = np.bitwise_or.reduceat(np.left_shift(1, code & 3), start).astype(np.uint8)
-            around = np.repeat(np.maximum.reduceat(most, start), np.diff(np.append(start, len(code))))
-            levels[-1] = (levels[-1][0], around - most, code)
-            code, most = code[start] >> 2, np.maximum.reduceat(most, start)
-            levels.append((parts, most, code))
-        parts = np.concatenate([*[x[0] for x in reversed(levels)], np.zeros(1, np.uint8)])
-        below = np.concatenate([np.zeros(1, np.int64), *[x[1] for x in reversed(levels[:-1])], np.zeros(1, np.int64)])
-        if below.max() < 1 << 32:
-            below = below.astype(np.uint32)
+            around = np.maximum.reduceat(most, start)
+            below = np.repeat(around, np.diff(np.append(start, len(code)))) - most
+            levels.append((parts, below.astype(np.uint32) if below.max() < 1 << 32 else below))
+            parts = np.bitwise_or.reduceat(np.left_shift(1, code & 3).astype(np.uint8), start)
+            code, most = code[start] >> 2, around
+        levels.append((parts, np.zeros(1, np.uint32)))
+        levels.reverse()
+        parts = np.concatenate([*[x for x, _ in levels], np.zeros(1, np.uint8)])
+        below = np.concatenate([*[x for _, x in levels], np.zeros(1, np.uint32)])
         n = BITS[parts]
         return Treap(h, h - high, h - wide, parts, (1 + np.cumsum(n) - n).astype(np.int32), below, int(most[0]), np.bincount(rows, minlength=n_rows) > 0)
 
