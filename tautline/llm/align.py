@@ -36,15 +36,18 @@ from tautline.llm.keys import column
 from tautline.llm.pretokens import SPACE, encode_pretokens, load_pieces, piece_path, pretokens, read_file, worker_held
 
 #: Pre-tokens that a worker keeps, characters of texts that are aligned at once, id pairs that a worker adds up at once, those of a slice of the table.
-CACHED, CHARS, HELD, PAIRS = 400_000, 2_000_000, 4_000_000, 4_000_000
+CACHED, CHARS, HELD, PAIRS = 400_000, 2_000_000, 1_000_000, 4_000_000
 #: Bits of an id of B in an id pair.
 B_BITS = 16
 
 
-def token_bytes_a(model: bytes) -> dict[int, bytes]:
-    """The bytes of each id of a byte-level BPE model."""
-    d, at = json.loads(model), byte_symbols()
-    return {i: bytes(at[c] for c in t) for t, i in d["model"]["vocab"].items() if all(c in at for c in t)}
+def token_bytes_a(model: bytes) -> list[bytes]:
+    """The bytes of each id of a byte-level BPE model (of special ones: none)."""
+    vocabulary, at = json.loads(model)["model"]["vocab"], byte_symbols()
+    out = [b""] * (max(vocabulary.values()) + 1)
+    for t, i in vocabulary.items():
+        out[i] = bytes(at[c] for c in t) if all(c in at for c in t) else b""
+    return out
 
 
 def token_bytes_b(sp) -> list[bytes]:
@@ -52,23 +55,33 @@ def token_bytes_b(sp) -> list[bytes]:
     return [bytes([int(p[3:5], 16)]) if sp.is_byte(k) else p.replace(SPACE, " ").encode() for k in range(sp.get_piece_size()) for p in [sp.id_to_piece(k)]]
 
 
-def aligned(a: list[int], ends_a: list[int], b: list[int], ends_b: list[int]) -> tuple[list[str], list[int]]:
-    """The groups of two id lists with their cumulative ends, as text, and the id pairs of their links."""
+def aligned(a: list[int], ends_a: list[int], b: list[int], ends_b: list[int]) -> tuple[list[int], list[str], list[int]]:
+    """The groups of two id lists with their cumulative ends: where each ends, as text, and the id pairs of the links."""
     at_a, at_b = dict(zip(ends_a, range(1, len(a) + 1))), dict(zip(ends_b, range(1, len(b) + 1)))
+    common = sorted(at_a.keys() & at_b.keys())
+    name_a, name_b = list(map(str, a)), list(map(str, b))
     groups, links, i, j = [], [], 0, 0
-    for end in sorted(at_a.keys() & at_b.keys()):
+    for end in common:
         p, q = at_a[end], at_b[end]
-        x, y = a[i:p], b[j:q]
-        if len(x) == 1 or len(y) == 1:
-            links += [u << B_BITS | v for u in x for v in y]
+        if p - i == 1 == q - j:
+            groups.append(f"{name_a[i]}|{name_b[j]}")
+            links.append(a[i] << B_BITS | b[j])
         else:
-            u, v = i, j
-            while u < p and v < q:  # the token that ends first gives way to the next one; both at once only at the group's end
-                links.append(a[u] << B_BITS | b[v])
-                u, v = u + (ends_a[u] <= ends_b[v]), v + (ends_b[v] <= ends_a[u])
-        groups.append(f"{','.join(map(str, x))}|{','.join(map(str, y))}")
+            groups.append(f"{','.join(name_a[i:p])}|{','.join(name_b[j:q])}")
+            while i < p and j < q:  # the token that ends first gives way to the next one; both at once only at the group's end
+                links.append(a[i] << B_BITS | b[j])
+                i, j = i + (ends_a[i] <= ends_b[j]), j + (ends_b[j] <= ends_a[i])
         i, j = p, q
-    return groups, links
+    return common, groups, links
+
+
+def _fitting(words: list[bytes], ids: list[list[int]], of_id: list[bytes], long: np.ndarray) -> np.ndarray:
+    """Whether the bytes of each word's ids are the word's. long: how many bytes each id has."""
+    flat = list(itertools.chain.from_iterable(ids))
+    upto, ends = np.append(0, np.cumsum(long[flat])), np.cumsum([len(x) for x in ids])
+    if (np.diff(upto[ends], prepend=0) == [len(w) for w in words]).all() and b"".join(map(of_id.__getitem__, flat)) == b"".join(words):
+        return np.ones(len(words), bool)
+    return np.array([b"".join([of_id[i] for i in x]) == w for x, w in zip(ids, words, strict=True)], bool)
 
 
 class Aligner:
@@ -84,6 +97,7 @@ class Aligner:
         self.a.no_padding()
         self.b = load_pieces(model_b)
         self.bytes_a, self.bytes_b = token_bytes_a(model_a), token_bytes_b(self.b)
+        self.long_a, self.long_b = (np.array([len(x) for x in of_id], np.int64) for of_id in (self.bytes_a, self.bytes_b))
         self.forget()
 
     def forget(self) -> None:
@@ -92,34 +106,50 @@ class Aligner:
         self.sizes = np.empty((0, 5), np.int64)  # A tokens, B tokens, groups, links, whether the bytes are the pre-token's
         self.links = np.empty(0, np.int64)
         self.begin = np.zeros(1, np.int64)  # of the links of each pre-token, and their end
+        self.used = np.empty(0, np.int64)
+
+    def thin_out(self) -> None:
+        """Keeps the half of the pre-tokens that was used most."""
+        keep = np.sort(np.argsort(-self.used, kind="stable")[: CACHED // 2])
+        words, n = list(self.number), self.sizes[keep, 3]
+        self.links = self.links[np.arange(n.sum()) + np.repeat(self.begin[keep] - (np.cumsum(n) - n), n)]
+        self.begin, self.sizes, self.used = np.append(0, np.cumsum(n)), self.sizes[keep], self.used[keep] // 2
+        self.groups = [self.groups[k] for k in keep.tolist()]
+        self.number = {words[k]: i for i, k in enumerate(keep.tolist())}
 
     def learn(self, words: list[str]) -> None:
-        coded = self.a.encode_batch(words, add_special_tokens=False)
-        sizes, found = [], []
-        for w, x, b in zip(words, coded, encode_pretokens(self.b, words), strict=True):
-            a, raw = x.ids, w.encode("utf-8", "surrogatepass")
-            in_a, in_b = [self.bytes_a.get(i, b"") for i in a], [self.bytes_b[i] for i in b]
-            fit = b"".join(in_a) == raw == b"".join(in_b)
-            groups, links = aligned(a, list(itertools.accumulate(map(len, in_a))), b, list(itertools.accumulate(map(len, in_b)))) if fit else ([], [])
-            self.number[w] = len(self.groups)
-            self.groups.append(";".join(groups))
-            sizes.append((len(a), len(b), len(groups), len(links), fit))
-            found += links
-        sizes = np.array(sizes, np.int64).reshape(-1, 5)
+        if not words:
+            return
+        a, b = [x.ids for x in self.a.encode_batch(words, add_special_tokens=False)], encode_pretokens(self.b, words)
+        raw = [w.encode("utf-8", "surrogatepass") for w in words]
+        fit = _fitting(raw, a, self.bytes_a, self.long_a) & _fitting(raw, b, self.bytes_b, self.long_b)
+        some = np.flatnonzero(fit).tolist()
+        flat = [list(itertools.chain.from_iterable(x[k] for k in some)) for x in (a, b)]
+        ends, groups, found = aligned(flat[0], np.cumsum(self.long_a[flat[0]]).tolist(), flat[1], np.cumsum(self.long_b[flat[1]]).tolist())
+        # a word's end is a group's end
+        upto = np.searchsorted(np.array(ends, np.int64), np.cumsum([len(raw[k]) for k in some]), "right")
+        sizes = np.zeros((len(words), 5), np.int64)
+        sizes[:, 0], sizes[:, 1], sizes[:, 4] = list(map(len, a)), list(map(len, b)), fit
+        sizes[some, 2] = np.diff(upto, prepend=0)
+        sizes[some, 3] = sizes[some, 0] + sizes[some, 1] - sizes[some, 2]
+        of_word = dict(zip(some, itertools.pairwise([0, *upto.tolist()]), strict=True))
+        self.number.update(zip(words, range(len(self.groups), len(self.groups) + len(words)), strict=True))
+        self.groups += [";".join(groups[slice(*of_word.get(k, (0, 0)))]) for k in range(len(words))]
         self.begin = np.append(self.begin, len(self.links) + np.cumsum(sizes[:, 3]))
-        self.sizes, self.links = np.concatenate([self.sizes, sizes]), np.append(self.links, np.array(found, np.int64))
+        self.sizes, self.links, self.used = np.concatenate([self.sizes, sizes]), np.append(self.links, np.array(found, np.int64)), np.append(self.used, np.zeros(len(words), np.int64))
 
     def align(self, texts: list[str | None]) -> tuple[np.ndarray, list[str], np.ndarray, np.ndarray, np.ndarray]:
         """Sizes of each text and the digest of its groups; the text, the id pair and the number of links of each distinct id pair of each text, by text and pair."""
         cut = [pretokens(t) if t else [] for t in texts]
         if len(self.groups) > CACHED:
-            self.forget()
+            self.thin_out()
         number = self.number
         self.learn(list({w for words in cut for w in words if w not in number}))
         numbers = [[number[w] for w in words] for words in cut]
         groups, sizes = self.groups, self.sizes
         of = np.repeat(np.arange(len(texts)), [len(x) for x in numbers])
         flat = np.fromiter(itertools.chain.from_iterable(numbers), np.int64, len(of))
+        self.used += np.bincount(flat, minlength=len(groups))
         total = np.zeros((len(texts), 5), np.int64)
         if len(of):
             begun, first = np.unique(of, return_index=True)
