@@ -2,20 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tautline.functions import text as T
 from tautline.functions.durable import durable
+from tautline.operators.asof import as_of
 from tautline.operators.check import KEY
-from tautline.operators.fragments import anchor_resolve, fragment_get, line_offsets, subrange_slice
+from tautline.operators.fragments import anchor_resolve, declarations, fragment_get, fragments_extract, line_offsets, subrange_slice
+from tautline.operators.symbols import declaration_by_name
 
 
 def prune_unchanged(endpoints: DataFrame, commits: DataFrame) -> DataFrame:
-    """endpoints (file, accepted_seq) with changed: whether a commit after the accepted one touches the file; an unknown accepted commit counts as
-    changed."""
-    last = commits.groupBy("file").agg(F.max("seq").alias("last"))
-    return endpoints.join(last, "file", "left").withColumn("changed", F.col("accepted_seq").isNull() | F.coalesce(F.col("last") > F.col("accepted_seq"), F.lit(False))).drop("last")
+    """The endpoints (layer, uuid, n, kind, file, accepted_seq, any others) to check again: structural ones whose file a commit (layer, file, seq) after
+    the accepted one touches, or whose accepted commit is unknown; and all tasks. check.recheck() does so."""
+    last = commits.groupBy("layer", "file").agg(F.max("seq").alias("last"))
+    known = endpoints.filter("kind = 'structural' and accepted_seq is not null").join(last, ["layer", "file"]).filter("last > accepted_seq")
+    unknown = endpoints.filter("kind = 'task' or (kind = 'structural' and accepted_seq is null)")
+    return known.select(*endpoints.columns).unionByName(unknown)
 
 
 def detect_moved(missing: DataFrame, sources: DataFrame) -> DataFrame:
@@ -65,25 +69,68 @@ def detect_expanded(altered: DataFrame) -> DataFrame:
     return altered.select("uuid", "n", F.when(held & same, "EXPANDED").otherwise("ALTERED").alias("state"))
 
 
-def fragment_diff(endpoints: DataFrame, sources: DataFrame, fragments: DataFrame) -> DataFrame:
-    """layer, uuid, n, file, commit, changed, first_line, last_line: the accepted text of each end against the current one (white space at the
-    end doesn't count), the lines it stands on now and the commit it was accepted at. A layer end shows the structural side (side 0 first) of the
-    record it points to. Ends without an accepted commit, a file or an anchor are left out."""
-    ready = endpoints.filter("kind = 'structural' and accepted is not null and commit is not null")
+def _trimmed(text: str) -> Column:
+    return F.regexp_replace(text, r"\s+$", "")
+
+
+def fragment_diff(endpoints: DataFrame, versions: DataFrame, sources: DataFrame, kinds: tuple[str, ...] = ("line",), commits: DataFrame | None = None) -> DataFrame:
+    """layer, uuid, n, file, commit, changed, first_line, last_line: what each end was when it was accepted against what it is now (white space at the end
+    doesn't count), the lines it stands on now and the commit it was accepted at.
+
+    versions (layer, file, commit, seq, text): the file's text then is that of its last version up to the accepted commit; its anchor is looked up
+    there and, by the same name, in `sources`. kinds: those of anchors that ends name. commits (layer, commit, seq): for accepted commits that don't touch the
+    file themselves; without it they are looked up among the file's versions. A layer end shows the structural side (side 0 first) of the record
+    it points to. Ends without a known commit, a file, or an anchor on both sides are left out."""
+    ready = endpoints.filter("kind = 'structural' and commit is not null").select(*KEY, "kind", "file", "anchor_kind", "anchor_name", "rel_start", "rel_end", "commit")
+    by = ["layer", "file", "commit"] if commits is None else ["layer", "commit"]
+    seqs = (versions if commits is None else commits).groupBy(*by).agg(F.max("seq").alias("accepted_seq"))
+    then = as_of(ready.join(seqs, by), versions.select("layer", "file", "seq"), ["layer", "file"], "accepted_seq", "seq", ["seq"])
+    then = durable(then.filter("seq is not null").withColumn("now", F.col("file")).withColumn("file", F.concat_ws("@", "file", F.col("seq").cast("string"))), "ends-then")
+    asked = then.select("layer", F.col("now").alias("file"), "seq").distinct()
+    old = versions.join(asked, ["layer", "file", "seq"], "left_semi").groupBy("layer", "file", "seq").agg(F.max_by("text", "commit").alias("text"))
+    old = old.select("layer", F.concat_ws("@", "file", F.col("seq").cast("string")).alias("file"), T.language(F.col("file")).alias("lang"), F.octet_length("text").cast("long").alias("n_bytes"), "text")
     rows = [*KEY, "file", "commit"]
-    trim = lambda c: F.regexp_replace(c, r"\s+$", "")
-    changed = lambda now: (trim("accepted") != trim(now)).alias("changed")
-    last = F.size(F.split("text", "\n"))
-    whole = ready.filter("anchor_name is null").join(sources.select("layer", "file", "text"), ["layer", "file"]).select(*rows, changed("text"), F.lit(1).alias("first_line"), last.alias("last_line"))
-    part = subrange_slice(anchor_resolve(ready, fragments)).filter("node_start is not null").withColumn("id", F.concat_ws("@", "uuid", "layer", F.col("n").cast("string")))
-    on = fragment_get(part.select("layer", "file", "id", F.col("frag_start").alias("start"), F.col("frag_end").alias("end")), line_offsets(sources)).select("id", "first_line", "last_line")
-    own = whole.unionByName(part.select("id", *rows, changed("frag")).join(on, "id").drop("id"))
+    whole, named = then.filter("anchor_name is null"), then.filter("anchor_name is not null")
+    was = whole.join(old.select("layer", "file", F.col("text").alias("was")), ["layer", "file"]).select(*KEY, F.col("now").alias("file"), "commit", "was")
+    now = was.join(sources.select("layer", "file", F.col("text").alias("is")), ["layer", "file"])
+    own = now.select(*rows, (_trimmed("was") != _trimmed("is")).alias("changed"), F.lit(1).alias("first_line"), F.size(F.split("is", "\n")).alias("last_line"))
+    part = subrange_slice(anchor_resolve(named, fragments_extract(old, kinds))).filter("node_start is not null").select(*KEY, F.col("frag").alias("was"))
+    here = named.withColumn("file", F.col("now")).drop("now", "seq", "accepted_seq")
+    here = subrange_slice(anchor_resolve(here, fragments_extract(sources, kinds))).filter("node_start is not null").select(*rows, F.col("frag").alias("is"), F.col("frag_start").alias("start"), F.col("frag_end").alias("end"))
+    both = durable(here.join(part, KEY).select(*rows, (_trimmed("was") != _trimmed("is")).alias("changed"), "start", "end", F.concat_ws("@", "uuid", "layer", F.col("n").cast("string")).alias("id")), "ends-both")
+    on = fragment_get(both.select("layer", "file", "id", "start", "end"), line_offsets(sources)).select("id", "first_line", "last_line")
+    own = durable(own.unionByName(both.drop("start", "end").join(on, "id").drop("id")), "ends-changed")
     sides = endpoints.filter("kind = 'structural'").groupBy("layer", "uuid").agg(F.min("n").alias("n"))
     there = own.join(sides, KEY).drop("n").withColumnRenamed("layer", "target_layer")
     hop = endpoints.filter("kind = 'layer'").select(*KEY, "target_layer").join(there, ["target_layer", "uuid"]).drop("target_layer")
     return own.unionByName(hop)
 
 
+def callee_diff(callees: DataFrame, versions: DataFrame, sources: DataFrame, kinds: list[str], root: str = ".") -> DataFrame:
+    """callees (symbol, layer, file, name, accepted_seq) -> symbol, state: OK where the declaration of that name in the file's last version up to accepted_seq
+    has the text of the one in `sources` (white space at the end doesn't count), ALTERED where it hasn't or there was none. kinds: of declarations, tried in order. Files outside
+    the layer `root` and symbols without a declaration now are left out."""
+    under = F.lit(True) if root == "." else (F.col("layer") == root) | F.col("layer").startswith(root + "/")
+    asked = callees.filter(under)
+    then = as_of(asked, versions.select("layer", "file", "seq"), ["layer", "file"], "accepted_seq", "seq", ["seq"])
+    old = versions.join(then.select("layer", "file", "seq").distinct(), ["layer", "file", "seq"], "left_semi")
+    key = F.concat_ws("@", "layer", "file", F.col("seq").cast("string"))
+    columns = ["layer", F.col("file"), T.language(F.col("path")).alias("lang"), F.octet_length("text").cast("long").alias("n_bytes"), "text"]
+    old = old.withColumn("path", F.col("file")).withColumn("file", key).select(*columns)
+    new = sources.join(asked.select("layer", "file").distinct(), ["layer", "file"], "left_semi").withColumn("path", F.col("file")).withColumn("file", F.concat_ws("@", "layer", "file")).select(*columns)
+
+    def texts(rows: DataFrame, names: DataFrame, text: str) -> DataFrame:
+        found = durable(declarations(rows).select("file", "kind", "name", "start", "end", "text"), "declarations")
+        first = declaration_by_name(names.distinct(), found.select("file", "kind", "name", "start", "end"), kinds)
+        return first.join(found.filter(F.col("kind").isin(kinds)).drop("kind").distinct(), ["file", "name", "start", "end"]).select("file", "name", F.col("text").alias(text))
+
+    then = then.select("symbol", "name", F.concat_ws("@", "layer", "file").alias("new_file"), key.alias("old_file"))
+    now = texts(new, then.select(F.col("new_file").alias("file"), "name"), "is").withColumnRenamed("file", "new_file")
+    was = texts(old, then.select(F.col("old_file").alias("file"), "name"), "was").withColumnRenamed("file", "old_file")
+    both = then.join(now, ["new_file", "name"]).join(was, ["old_file", "name"], "left")
+    return both.select("symbol", F.when(_trimmed("was") == _trimmed("is"), "OK").otherwise("ALTERED").alias("state"))
+
+
 def detect_deleted(missing: DataFrame, sources: DataFrame, versions: DataFrame) -> DataFrame:
     """missing (uuid, n, hash): DELETED with the last commit that holds the content if none does now, BROKEN if none ever did."""
     gone = missing.join(sources.select("hash").distinct(), "hash", "left_anti")
@@ -97,10 +144,12 @@ def hunk_overlap(hunks: DataFrame, fragments: DataFrame) -> DataFrame:
     return fragments.join(hunks, "file").select("uuid", "file", "hunk_start", "hunk_end", where.alias("place"))
 
 
-def change_source(endpoints: DataFrame, commits: DataFrame) -> DataFrame:
-    """endpoints (file, accepted_seq) with the first commit after acceptance that touches the file, or UNCOMMITTED."""
-    after = endpoints.join(commits.select("file", "commit", "seq"), "file", "left").withColumn("c", F.when(F.col("seq") > F.col("accepted_seq"), F.col("commit")))
-    return after.groupBy("file", "accepted_seq").agg(F.coalesce(F.min_by("c", F.when(F.col("c").isNotNull(), F.col("seq"))), F.lit("UNCOMMITTED")).alias("source"))
+def change_source(checked: DataFrame, commits: DataFrame) -> DataFrame:
+    """checked (layer, uuid, n, file, state, accepted_seq) that aren't OK, with the first commit (layer, file, commit, seq) on their file after the accepted one, or
+    UNCOMMITTED; of an unknown accepted commit, nothing is known."""
+    bad = checked.filter("state <> 'OK' and file is not null").select(*KEY, "file", "state", "accepted_seq")
+    found = as_of(bad, commits.select("layer", "file", "seq", "commit"), ["layer", "file"], "accepted_seq", "seq", ["commit"], after=True)
+    return found.select(*KEY, "file", "state", F.when(F.col("accepted_seq").isNotNull(), F.coalesce("commit", F.lit("UNCOMMITTED"))).alias("source"))
 
 
 def latest_commit(commits: DataFrame) -> DataFrame:
@@ -108,9 +157,9 @@ def latest_commit(commits: DataFrame) -> DataFrame:
 
 
 def file_at_version(requests: DataFrame, versions: DataFrame) -> DataFrame:
-    """requests (file, accepted_seq) with the version (commit, value) that held then: the last one not after it."""
-    held = requests.join(versions.select("file", "commit", "seq", "value"), "file").filter("seq <= accepted_seq")
-    return held.groupBy("file", "accepted_seq").agg(F.max_by(F.struct("commit", "value"), "seq").alias("v")).select("file", "accepted_seq", "v.commit", "v.value")
+    """requests (file, accepted_seq) with the version (file, commit, seq, value) that held then: the last one not after it. Requests without one are left out."""
+    held = as_of(requests.select("file", "accepted_seq"), versions, ["file"], "accepted_seq", "seq", ["commit", "value"])
+    return held.filter("commit is not null")
 
 
 def line_delta(pairs: DataFrame) -> DataFrame:

@@ -79,11 +79,13 @@ def declarations(sources: DataFrame, rules: list[tuple[str, str, str]] = RULES)
     wanted = sources.filter(F.col("lang").isin([r[0] for r in rules])).withColumns({"kind": kind, "names": name, "starts": starts, "depths": F.when(F.col("lang") == "markdown", level).otherwise(open_)})
     found = F.filter(F.arrays_zip("names", "starts", "depths"), lambda x: x["names"] != "")
     wanted = wanted.withColumn("found", found)
-    each = wanted.select("layer", "file", "kind", "text", "n_bytes", "found", F.posexplode("found").alias("i", "x"))
-    after = F.filter("found", lambda y: (y["starts"] > F.col("x.starts")) & (y["depths"] <= F.col("x.depths")))
-    end = F.coalesce(F.get(after, F.lit(0))["starts"] - 1, "n_bytes")
-    each = each.select("layer", "file", "kind", F.col("x.names").alias("name"), (F.col("i") + 1).alias("ord"), F.col("x.depths").cast("int").alias("depth"), F.col("x.starts").alias("start"), end.alias("end"), "text")
-    return each.withColumn("text", T.byte_slice(F.col("text"), F.col("start"), F.col("end")))
+    # ends and texts are worked out inside the array, so that the file is not copied for each of its declarations
+    after = lambda x, i: F.filter(F.slice("found", i + 2, F.size("found")), lambda y: y["depths"] <= x["depths"])
+    end = lambda x, i: F.coalesce(F.get(after(x, i), F.lit(0))["starts"] - 1, F.col("n_bytes"))
+    spans = F.transform("found", lambda x, i: F.struct(x["names"].alias("name"), x["depths"].alias("depth"), x["starts"].alias("start"), end(x, i).alias("end")))
+    cut = F.transform("spans", lambda x: F.struct(*[x[c].alias(c) for c in ("name", "depth", "start", "end")], T.byte_slice(F.col("text"), x["start"], x["end"]).alias("text")))
+    each = wanted.withColumn("spans", spans).select("layer", "file", "kind", F.posexplode(cut).alias("i", "x"))
+    return each.select("layer", "file", "kind", "x.name", (F.col("i") + 1).alias("ord"), F.col("x.depth").cast("int").alias("depth"), "x.start", "x.end", "x.text")
 
 
 def fingerprint(fragments: DataFrame) -> DataFrame:

@@ -49,15 +49,22 @@ de AS (
   SELECT '.' AS layer, uuid, 0 AS n, 'structural' AS kind, file, NULL AS anchor_kind, NULL AS anchor_name, NULL AS target_layer, NULL AS task_id, sha256(base0) AS hash, NULL AS shape_hash, base0 AS accepted, strlen(base0) AS accepted_len FROM dl
   UNION ALL
   SELECT '.', uuid, 1, 'structural', file, 'line', (CASE WHEN s = 5 THEN 'X' ELSE '' END) || 'L' || ln, NULL, NULL, sha256(base1), sha256({shape("base1")}), base1, strlen(base1) FROM dl)"""
+#: Current files of documents and their lines; what each document link's ends find there (rs); where the accepted digest lies in the anchor (dp).
+SNAPSHOT = f"""{DOC_ENDPOINTS},
+src AS (SELECT {DOC_FILE} AS file, text FROM documents WHERE doc_id % 10 <> 3),
+sl0 AS (SELECT file, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM src),
+sl AS (SELECT file, i, 'L' || i AS name, t, (sum(strlen(t) + 1) OVER (PARTITION BY file ORDER BY i) - strlen(t) - 1)::BIGINT AS a FROM sl0),
+rs AS (SELECT dl.*, f.file IS NOT NULL AS there, f.text AS now, l.i AS node_line, l.t AS node, l.a AS na, l.a + strlen(l.t) AS nb, w.hash AS hash0, p.hash AS hash1, p.shape_hash AS shape1, p.accepted_len AS len1
+  FROM dl JOIN de w ON w.uuid = dl.uuid AND w.n = 0 JOIN de p ON p.uuid = dl.uuid AND p.n = 1 LEFT JOIN src f ON f.file = w.file LEFT JOIN sl l ON l.file = p.file AND l.name = p.anchor_name),
+dw AS (SELECT uuid, hash1, len1, encode(node) AS b, unnest(range(0, strlen(node) - len1 + 1)) AS i FROM rs WHERE hash1 <> sha256(node) AND len1 BETWEEN 1 AND strlen(node)),
+dp AS (SELECT uuid, min(i) AS off FROM dw WHERE sha256(b[i + 1:i + len1]) = hash1 GROUP BY uuid)"""
 #: Both states of document links.
-DOC_STATES = f"""{DOC_LINKS},
-ds AS (SELECT *,
-  CASE WHEN s = 3 THEN 'BROKEN' WHEN base0 IS NULL THEN 'PENDING' WHEN base0 = text THEN 'OK' ELSE 'ALTERED' END AS st0,
-  CASE WHEN s = 3 THEN 'BROKEN' WHEN s = 5 THEN 'UNANCHORED' WHEN base1 IS NULL THEN 'PENDING' WHEN base1 = frag THEN 'OK' WHEN {shape("base1")} = {shape("frag")} THEN 'RESTYLED'
-    WHEN base1 <> '' AND contains(frag, base1) THEN 'DISPLACED' ELSE 'ALTERED' END AS st1 FROM dl),
-dr AS (SELECT *, CASE WHEN s <> 3 THEN 0 END AS r0a, CASE WHEN s <> 3 THEN strlen(text) END AS r0b,
-  CASE WHEN st1 = 'DISPLACED' THEN fstart + strlen(substr(frag, 1, instr(frag, base1) - 1)) WHEN st1 NOT IN ('BROKEN', 'UNANCHORED') THEN fstart END AS r1a,
-  CASE WHEN st1 = 'DISPLACED' THEN fstart + strlen(substr(frag, 1, instr(frag, base1) - 1)) + strlen(base1) WHEN st1 NOT IN ('BROKEN', 'UNANCHORED') THEN fstart + flen END AS r1b FROM ds)"""
+DOC_STATES = f"""{SNAPSHOT},
+ds AS (SELECT rs.*, off,
+  CASE WHEN NOT there THEN 'BROKEN' WHEN hash0 IS NULL THEN 'PENDING' WHEN hash0 = sha256(now) THEN 'OK' ELSE 'ALTERED' END AS st0,
+  CASE WHEN NOT there THEN 'BROKEN' WHEN node IS NULL THEN 'UNANCHORED' WHEN hash1 IS NULL THEN 'PENDING' WHEN hash1 = sha256(node) THEN 'OK' WHEN shape1 = sha256({shape("node")}) THEN 'RESTYLED'
+    WHEN off IS NOT NULL THEN 'DISPLACED' ELSE 'ALTERED' END AS st1 FROM rs LEFT JOIN dp USING (uuid)),
+dr AS (SELECT *, CASE WHEN there THEN 0 END AS r0a, strlen(now) AS r0b, CASE WHEN st1 = 'DISPLACED' THEN na + off ELSE na END AS r1a, CASE WHEN st1 = 'DISPLACED' THEN na + off + len1 ELSE nb END AS r1b FROM ds)"""
 #: Pairs of neighbouring turns, each a chain of two layers; states of the upper and of the lower record's layer end.
 PAIRS = f"""
 pp AS (SELECT c.conv_id, c.turn, {uid("'pair:' || c.conv_id || ':' || c.turn")} AS uuid, 'chat/' || c.conv_id || '.txt' AS file, c.text AS up, l.text AS low, c.turn % 5 = 4 AS removed,

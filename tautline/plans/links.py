@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tautline.functions import text as T
 from tautline.operators import accept, check, fragments
-from tautline.plans.base import DOC_ENDPOINTS, DOC_FILE, DOC_LINKS, DOC_STATES, LINES, PAIRS, SOURCES, TASKS, query, shape
+from tautline.plans.base import DOC_ENDPOINTS, DOC_FILE, DOC_LINKS, DOC_STATES, LINES, PAIRS, SNAPSHOT, SOURCES, TASKS, query, shape
 from tautline.sources import tables as S
 
 KEYS = ["layer", "uuid", "n"]
@@ -69,20 +69,19 @@ def fragments_extract(spark, d):
     return f.select("layer", "file", "kind", "name", "ord", "depth", "start", "end", T.digest(F.col("text")).alias("hash"))
 
 
-@query("anchor_resolve", f"WITH {DOC_LINKS} SELECT uuid, 1 AS n, CASE WHEN s NOT IN (3, 5) THEN fstart END AS node_start, CASE WHEN s NOT IN (3, 5) THEN fstart + flen END AS node_end FROM dl")
+@query("anchor_resolve", f"WITH {SNAPSHOT} SELECT uuid, 1 AS n, na AS node_start, nb AS node_end FROM rs")
 def anchor_resolve(spark, d):
     return fragments.anchor_resolve(S.doc_endpoints(spark, d), doc_lines(spark, d)).select("uuid", "n", "node_start", "node_end")
 
 
-@query("subrange_slice", f"""WITH {DOC_LINKS} SELECT uuid, CASE WHEN s NOT IN (3, 5) THEN fstart + 2 END AS frag_start,
-  CASE WHEN s NOT IN (3, 5) THEN fstart + least(12, flen) END AS frag_end, CASE WHEN s NOT IN (3, 5) THEN sha256(frag) END AS whole_hash FROM dl""")
+@query("subrange_slice", f"WITH {SNAPSHOT} SELECT uuid, na + 2 AS frag_start, CASE WHEN node IS NOT NULL THEN least(na + 12, nb) END AS frag_end, sha256(node) AS whole_hash FROM rs")
 def subrange_slice(spark, d):
     r = fragments.anchor_resolve(S.doc_endpoints(spark, d), doc_lines(spark, d))
     part = fragments.subrange_slice(r.withColumn("rel_start", F.lit(2).cast("long")).withColumn("rel_end", F.lit(12).cast("long"))).select("uuid", "frag_start", "frag_end")
     return part.join(fragments.subrange_slice(r).select("uuid", T.digest(F.col("frag")).alias("whole_hash")), "uuid")
 
 
-@query("anchor_capture", f"""WITH {DOC_LINKS}, sel AS (SELECT file, ls, doc_id, fstart, flen, frag, ln, text FROM dl WHERE s <> 3)
+@query("anchor_capture", f"""WITH {SNAPSHOT}, sel AS (SELECT file, ls, fstart, flen, frag, ln FROM rs WHERE there)
 SELECT '.' AS layer, file, fstart AS sel_start, fstart + flen AS sel_end, 'line' AS kind, 'L' || ln AS name, CASE WHEN len(ls) > 1 THEN 'all' END AS parent_name,
   NULL::BIGINT AS rel_start, NULL::BIGINT AS rel_end, sha256(frag) AS hash FROM sel WHERE len(ls) > 1""")
 def anchor_capture(spark, d):
@@ -96,8 +95,8 @@ def anchor_capture(spark, d):
     return fragments.anchor_capture(sel, mine.unionByName(whole))
 
 
-@query("fragment_get", f"""WITH {DOC_LINKS} SELECT uuid AS id, greatest(1, ln - 1)::INT AS first_line, least(len(ls), ln + 1)::INT AS last_line,
-  sha256(array_to_string(ls[greatest(1, ln - 1):least(len(ls), ln + 1)], chr(10))) AS content_hash FROM dl WHERE s NOT IN (3, 5)""")
+@query("fragment_get", f"""WITH {SNAPSHOT} SELECT uuid AS id, min(sl.i)::INT AS first_line, max(sl.i)::INT AS last_line, sha256(string_agg(t, chr(10) ORDER BY sl.i)) AS content_hash
+FROM rs JOIN sl ON sl.file = rs.file AND sl.i BETWEEN node_line - 1 AND node_line + 1 GROUP BY uuid""")
 def fragment_get(spark, d):
     r = fragments.anchor_resolve(S.doc_endpoints(spark, d), doc_lines(spark, d)).filter("node_start is not null")
     spans = r.select("layer", "file", F.col("uuid").alias("id"), F.col("node_start").alias("start"), F.col("node_end").alias("end"))
@@ -123,8 +122,7 @@ def check_fragment(spark, d):
     return check.check_fragment(S.doc_endpoints(spark, d), doc_lines(spark, d), S.doc_sources(spark, d))
 
 
-@query("find_displaced", f"""WITH {DOC_LINKS} SELECT uuid, fstart + strlen(substr(frag, 1, instr(frag, base1) - 1)) AS new_start,
-  fstart + strlen(substr(frag, 1, instr(frag, base1) - 1)) + strlen(base1) AS new_end FROM dl WHERE s NOT IN (3, 5) AND base1 <> '' AND base1 <> frag AND contains(frag, base1)""")
+@query("find_displaced", f"WITH {SNAPSHOT} SELECT uuid, na + off AS new_start, na + off + len1 AS new_end FROM rs JOIN dp USING (uuid)")
 def find_displaced(spark, d):
     r = fragments.subrange_slice(fragments.anchor_resolve(S.doc_endpoints(spark, d), doc_lines(spark, d))).filter("hash <> sha2(frag, 256)")
     return check.find_displaced(r).select("uuid", "new_start", "new_end")
@@ -168,9 +166,9 @@ def clean_report(spark, d):
 LATEST = "CASE WHEN doc_id % 4 <> 3 THEN substr(sha256(file || ':2'), 1, 12) END"
 
 
-@query("accept_endpoints", f"""WITH {DOC_LINKS}, {PAIRS.strip()}, {TASKS.strip()}, acc AS (
-SELECT '.' AS layer, uuid, 0 AS n, CASE WHEN s <> 3 THEN sha256(text) END AS new_hash, NULL AS new_shape, CASE WHEN s <> 3 THEN {LATEST} END AS new_commit, CASE WHEN s = 3 THEN 'no such file' END AS error FROM dl
-UNION ALL SELECT '.', uuid, 1, CASE WHEN s NOT IN (3, 5) THEN sha256(frag) END, CASE WHEN s NOT IN (3, 5) THEN sha256({shape("frag")}) END, CASE WHEN s NOT IN (3, 5) THEN {LATEST} END, CASE WHEN s = 3 THEN 'no such file' WHEN s = 5 THEN 'anchor not found' END FROM dl
+@query("accept_endpoints", f"""WITH {SNAPSHOT}, {PAIRS.strip()}, {TASKS.strip()}, acc AS (
+SELECT '.' AS layer, uuid, 0 AS n, sha256(now) AS new_hash, NULL AS new_shape, CASE WHEN there THEN {LATEST} END AS new_commit, CASE WHEN NOT there THEN 'no such file' END AS error FROM rs
+UNION ALL SELECT '.', uuid, 1, sha256(node), sha256({shape("node")}), CASE WHEN node IS NOT NULL THEN {LATEST} END, CASE WHEN NOT there THEN 'no such file' WHEN node IS NULL THEN 'anchor not found' END FROM rs
 UNION ALL SELECT upper, uuid, 0, sha256(up), NULL, NULL, NULL FROM pp UNION ALL SELECT lower, uuid, 1, sha256(low), NULL, NULL, NULL FROM pp WHERE NOT removed
 UNION ALL SELECT upper, uuid, 1, CASE WHEN NOT removed THEN sha256(low) END, NULL, CASE WHEN NOT removed THEN substr(sha256(low), 1, 12) END, CASE WHEN removed THEN 'neighbour has no digest' END FROM pp
 UNION ALL SELECT lower, uuid, 0, sha256(up), NULL, substr(sha256(up), 1, 12), NULL FROM pp WHERE NOT removed
@@ -186,8 +184,8 @@ def accept_endpoints(spark, d):
 
 @query("accept_bulk", f"""WITH {DOC_STATES}, {PAIRS.strip()}
 SELECT uuid, n, new_hash FROM (
-  SELECT uuid, 0 AS n, st0 AS st, base0 IS NULL AS fresh, CASE WHEN s <> 3 THEN sha256(text) END AS new_hash FROM dr
-  UNION ALL SELECT uuid, 1, st1, base1 IS NULL, CASE WHEN s NOT IN (3, 5) THEN sha256(frag) END FROM dr
+  SELECT uuid, 0 AS n, st0 AS st, hash0 IS NULL AS fresh, sha256(now) AS new_hash FROM dr
+  UNION ALL SELECT uuid, 1, st1, hash1 IS NULL, sha256(node) FROM dr
   UNION ALL SELECT uuid, 1, st, stored IS NULL, CASE WHEN NOT removed THEN sha256(low) END FROM ps)
 WHERE fresh OR st IN ('ALTERED', 'RESTYLED', 'CHAIN_DIRTY')""")
 def accept_bulk(spark, d):
@@ -198,7 +196,7 @@ def accept_bulk(spark, d):
     return picked.select(*KEYS).join(new, KEYS).select("uuid", "n", "new_hash")
 
 
-@query("upsert_links", f"""WITH {DOC_STATES} SELECT uuid, 0 AS n, st0 AS state, r0a AS range_start, sha256(base0) AS hash FROM dr UNION ALL SELECT uuid, 1, st1, r1a, sha256(base1) FROM dr""")
+@query("upsert_links", f"""WITH {DOC_STATES} SELECT uuid, 0 AS n, st0 AS state, r0a AS range_start, hash0 AS hash FROM dr UNION ALL SELECT uuid, 1, st1, r1a, hash1 FROM dr""")
 def upsert_links(spark, d):
     e = S.doc_endpoints(spark, d)
     now = check.check_whole_file(e, S.doc_sources(spark, d)).unionByName(check.check_fragment(e, doc_lines(spark, d), S.doc_sources(spark, d)))

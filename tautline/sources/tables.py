@@ -34,10 +34,12 @@ def _source(df: DataFrame, layer: Column, file: Column, text: Column) -> DataFra
     return f.select("layer", "file", T.language(F.col("file")).alias("lang"), F.octet_length("text").cast("long").alias("n_bytes"), "text", T.digest(F.col("text")).alias("hash"))
 
 
-def doc_sources(spark: SparkSession, d: str, current: bool = True) -> DataFrame:
-    """Documents as files of the root layer; current: without those dropped since their link was accepted."""
+def doc_sources(spark: SparkSession, d: str, current: bool = True, before: bool = False) -> DataFrame:
+    """Documents as files of the root layer; current: without those dropped since their link was accepted; before: as they were before a
+    quarter of them changed."""
     docs = table(spark, d, "documents")
-    return _source(docs.filter("doc_id % 10 <> 3") if current else docs, F.lit("."), doc_file(), F.col("text"))
+    text = F.when(F.col("doc_id") % 4 == 0, F.concat("text", F.lit(" before"))).otherwise(F.col("text")) if before else F.col("text")
+    return _source(docs.filter("doc_id % 10 <> 3") if current else docs, F.lit("."), doc_file(), text)
 
 
 def page_sources(spark: SparkSession, d: str) -> DataFrame:
@@ -134,6 +136,37 @@ def link_commits(spark: SparkSession, d: str) -> DataFrame:
     return each.select("layer", "file", _short(T.digest(F.concat_ws(":", "file", F.col("seq").cast("string")))).alias("commit"), "seq")
 
 
+def doc_commits(spark: SparkSession, d: str) -> DataFrame:
+    """Every event as a commit on the file of the document that has its user's number."""
+    files = table(spark, d, "documents").select(F.col("doc_id").alias("user_id"), doc_file().alias("file"))
+    e = table(spark, d, "events").join(files, "user_id")
+    return e.select(F.lit(".").alias("layer"), "file", _short(F.sha2(F.col("event_id").cast("string"), 256)).alias("commit"), F.col("event_id").alias("seq"))
+
+
+def doc_versions(spark: SparkSession, d: str) -> DataFrame:
+    """layer, file, commit, seq, text: the file of each document link as it was when its whole-file end was accepted, when its line was, and now."""
+    links = doc_links(spark, d)
+    lines = F.split("text", "\n")
+    line = F.array_join(F.transform(lines, lambda x, i: F.when(i + 1 == F.col("ln"), F.col("base1")).otherwise(x)), "\n")
+    seen = lambda seq, mark, text: F.struct(F.lit(seq).cast("long").alias("seq"), _short(T.digest(mark)).alias("commit"), text.alias("text"))
+    each = links.select("file", F.explode(F.array(seen(1, F.col("base0"), F.col("base0")), seen(2, F.col("base1"), line), seen(3, F.concat(F.lit("now:"), "file"), F.col("text")))).alias("v"))
+    return each.filter("v.commit is not null").select(F.lit(".").alias("layer"), "file", "v.commit", "v.seq", "v.text")
+
+
+def chat_versions(spark: SparkSession, d: str) -> DataFrame:
+    """Each turn's file in its one version."""
+    return chat_sources(spark, d).select("layer", "file", _short(F.col("hash")).alias("commit"), F.lit(1).cast("long").alias("seq"), "text")
+
+
+def part_versions(spark: SparkSession, d: str) -> DataFrame:
+    """The Rust files of part_sources() in two versions: in the older one a seventh has another function body, the others blanks at the end."""
+    now = part_sources(spark, d).filter("lang = 'rust'")
+    k = F.regexp_extract("file", "([0-9]+)", 1).cast("long")
+    old = F.when(k % 7 == 1, F.regexp_replace("text", "(// [^\n]*)", "$1 old")).otherwise(F.concat("text", F.lit("  \n")))
+    both = lambda seq, text: now.select("layer", "file", F.concat(F.lit("c"), F.lit(str(seq))).alias("commit"), F.lit(seq).cast("long").alias("seq"), text.alias("text"))
+    return both(1, old).unionByName(both(2, F.col("text")))
+
+
 def part_sources(spark: SparkSession, d: str) -> DataFrame:
     """Parts as source files: a Rust module with one function, and a Markdown page with a section in another."""
     p = table(spark, d, "part").select(F.col("p_partkey").cast("string").alias("k"), "p_name", "p_type")
