@@ -14,7 +14,7 @@ from tautline.plans.base import COMMITS, DOC_LINKS, DOC_STATES, EDGES, PAIRS, SN
 from tautline.plans.links import CHECKED, KEYS, doc_lines, everything
 from tautline.sources import records
 from tautline.sources import tables as S
-from tautline.streaming import watch
+from tautline.streaming import transitions, watch
 
 #: What each symbol's body says, what is recorded of it: none, an old digest, or the current one.
 BODIES = "bodies AS (SELECT 'p' || p_partkey || '/fn().' AS symbol, p_name || ' ' || p_type AS text, p_partkey % 7 AS s FROM part), st AS (SELECT symbol, CASE WHEN s = 1 THEN 'ALTERED' ELSE 'OK' END AS state, s = 0 AS is_new FROM bodies)"
@@ -356,18 +356,40 @@ def watch_alerts(spark, d):
     return spark.read.schema(alerts.schema).parquet(f"{out}/rows")
 
 
-@query("watch_transitions")
+#: What an event makes of the text of its user's document; the states of its ends for each of these texts; an acceptance in the first pair of the user's conversation.
+VARIANTS = """CASE k WHEN 0 THEN now WHEN 1 THEN now || ' 0' WHEN 2 THEN replace(now, ' ', '  ') END"""
+
+
+@query("watch_transitions", f"""WITH {SNAPSHOT}, {PAIRS.strip()},
+vt AS (SELECT uuid, doc_id, k, hash0, hash1, shape1, len1, {VARIANTS.replace("now", "text")} AS t, ln, s FROM (SELECT rs.*, unnest(range(0, 4)) AS k FROM rs WHERE doc_id IN (SELECT user_id FROM events))),
+vn AS (SELECT vt.*, CASE WHEN e.anchor_name = 'L' || ln THEN string_split(t, chr(10))[ln] END AS nd FROM vt JOIN de e ON e.uuid = vt.uuid AND e.n = 1),
+vw AS (SELECT uuid, k, hash1, len1, encode(nd) AS b, unnest(range(0, strlen(nd) - len1 + 1)) AS i FROM vn WHERE hash1 <> sha256(nd) AND len1 BETWEEN 1 AND strlen(nd)),
+vd AS (SELECT DISTINCT uuid, k, TRUE AS hit FROM vw WHERE sha256(b[i + 1:i + len1]) = hash1),
+vs AS (SELECT uuid, doc_id, k, CASE WHEN t IS NULL THEN 'BROKEN' WHEN hash0 IS NULL THEN 'PENDING' WHEN hash0 = sha256(t) THEN 'OK' ELSE 'ALTERED' END AS st0,
+  CASE WHEN t IS NULL THEN 'BROKEN' WHEN nd IS NULL THEN 'UNANCHORED' WHEN hash1 IS NULL THEN 'PENDING' WHEN hash1 = sha256(nd) THEN 'OK' WHEN shape1 = sha256({shape("nd")}) THEN 'RESTYLED' WHEN hit THEN 'DISPLACED' ELSE 'ALTERED' END AS st1 FROM vn LEFT JOIN vd USING (uuid, k)),
+pa AS (SELECT uuid, upper, lower, stored, event_id, CASE WHEN event_id % 2 = 0 THEN sha256(low) ELSE sha256(low || ' x') END AS hash FROM pp JOIN events ON user_id = conv_id WHERE turn = 0 AND event_type = 'purchase'),
+tr AS (SELECT uuid, '.' AS layer, 0 AS n, event_id, st0 AS st FROM events JOIN vs ON doc_id = user_id AND k = event_id % 4 UNION ALL SELECT uuid, '.', 1, event_id, st1 FROM events JOIN vs ON doc_id = user_id AND k = event_id % 4
+  UNION ALL SELECT uuid, upper, 1, event_id, CASE WHEN stored IS NULL THEN 'PENDING' WHEN stored = hash THEN 'OK' ELSE 'CHAIN_DIRTY' END FROM pa UNION ALL SELECT uuid, lower, 1, event_id, 'OK' FROM pa),
+tc AS (SELECT *, lag(st) OVER (PARTITION BY uuid, layer, n ORDER BY event_id) AS was FROM tr)
+SELECT uuid, layer, n, event_id, was AS state, st AS new_state FROM tc WHERE was IS NULL OR was <> st""")
 def watch_transitions(spark, d):
-    """A user's file has the digest of its last event's value; half of the links have accepted it."""
+    """Every event gives the document with its user's number another text, or takes its file away; purchases also accept a digest in the lower record of
+    the first pair of turns of the conversation with that number."""
     schema = S.table(spark, d, "events").schema
-    digest = T.digest(F.col("value").cast("string"))
-    file = F.concat(F.lit("src/u"), F.col("user_id").cast("string"), F.lit(".txt"))
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d).select("event_id", file.alias("file"), digest.alias("hash"))
-    last = S.table(spark, d, "events").groupBy("user_id").agg(F.max_by("value", "event_id").alias("value")).withColumn("file", file)
-    ends = last.select(T.link_id(F.col("file")).alias("uuid"), "file", F.when(F.col("user_id") % 2 == 0, digest).otherwise(F.lit("old")).alias("hash"), F.lit("OK").alias("state"))
+    e = S.doc_endpoints(spark, d).unionByName(S.pair_endpoints(spark, d))
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d).select("event_id", "user_id", "event_type")
+    docs = S.table(spark, d, "documents").select(F.col("doc_id").alias("user_id"), S.doc_file().alias("file"), "text")
+    k = F.col("event_id") % 4
+    text = F.when(k == 0, F.col("text")).when(k == 1, F.concat("text", F.lit(" 0"))).when(k == 2, F.replace("text", F.lit(" "), F.lit("  ")))
+    none = lambda t, c: F.lit(None).cast(t).alias(c)
+    files = stream.join(docs, "user_id").select("event_id", F.lit("file").alias("what"), F.lit(".").alias("layer"), "file", text.alias("text"), none("string", "uuid"), none("int", "n"), none("string", "hash"), none("string", "shape_hash"), none("long", "accepted_len"))
+    pairs = S.chat_pairs(spark, d).filter("turn = 0").select(F.col("conv_id").alias("user_id"), "uuid", "low")
+    low = F.when(F.col("event_id") % 2 == 0, F.col("low")).otherwise(F.concat("low", F.lit(" x")))
+    accepts = stream.filter("event_type = 'purchase'").join(pairs, "user_id").select("event_id", F.lit("accept").alias("what"), T.turn_layer(F.lit(1)).alias("layer"), none("string", "file"), none("string", "text"), "uuid", F.lit(1).alias("n"), T.digest(low).alias("hash"), none("string", "shape_hash"), F.octet_length(low).cast("long").alias("accepted_len"))
     out = f"{shared_dir(spark)}/transitions-{_uuid.uuid4().hex}"
-    watch.watch_transitions(stream, ends, f"{out}/rows", f"{out}/checkpoint")
-    return spark.read.parquet(f"{out}/rows").drop("batch")
+    found = transitions.transitions(files.unionByName(accepts), e)
+    watch.run_available(found, f"{out}/rows", f"{out}/checkpoint")
+    return spark.read.schema(found.schema).parquet(f"{out}/rows").drop("step")
 
 
 @query("scan_links", f"WITH {DOC_LINKS} SELECT '.' AS layer, uuid, file AS link0, file || ' :: L' || ln AS link1, sha256(base0) AS hash0, 'OK' AS state0, NULL::VARCHAR AS error FROM dl")

@@ -25,27 +25,3 @@ def watch_alerts(changes: DataFrame, endpoints: DataFrame, store: str = ".links/
 def run_available(stream: DataFrame, path: str, checkpoint: str) -> None:
     """Everything that the stream holds now, appended to Parquet files."""
     stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
-
-
-def watch_transitions(stream: DataFrame, endpoints: DataFrame, path: str, checkpoint: str) -> None:
-    """endpoints (uuid, file, hash, state); stream (event_id, file, hash): for each batch the last change of a file decides the state of its ends; a row is
-    written where it differs from the state before, which is that of the last batch that changed the end, or the stored one. A
-    change that is older than the end's last one (by event_id) is late and changes nothing. Each batch has a folder of its own for its rows
-    and one for the ends touched so far, so that a repeated batch replaces itself."""
-    spark = stream.sparkSession
-    schema = "uuid string, file string, state string, event_id long"
-    states = f"{path}-states"
-
-    def each(batch: DataFrame, batch_id: int) -> None:
-        touched = spark.read.schema(schema).parquet(f"{states}/batch={batch_id - 1}") if batch_id else spark.createDataFrame([], schema)
-        last = batch.groupBy("file").agg(F.max_by("hash", "event_id").alias("now"), F.max("event_id").alias("event_id"))
-        before = touched.select("uuid", "file", F.col("state").alias("last_state"), F.col("event_id").alias("last_id"))
-        out = endpoints.join(last, "file").join(before, ["uuid", "file"], "left").filter(F.col("last_id").isNull() | (F.col("event_id") > F.col("last_id")))
-        new = F.when(F.col("hash").isNull(), "PENDING").when(F.col("hash") == F.col("now"), "OK").otherwise("ALTERED")
-        state = F.when(F.col("last_id").isNull(), F.col("state")).otherwise(F.col("last_state"))
-        out = out.select("uuid", "file", "event_id", state.alias("state"), new.alias("new_state"))
-        out.filter(~F.col("new_state").eqNullSafe(F.col("state"))).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
-        now = out.select("uuid", "file", F.col("new_state").alias("state"), "event_id")
-        now.unionByName(touched.join(out, ["uuid", "file"], "left_anti")).write.mode("overwrite").parquet(f"{states}/batch={batch_id}")
-
-    stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
