@@ -342,13 +342,19 @@ def _modified():
     return F.when(F.col("event_type") == "click", "modify").otherwise(F.col("event_type"))
 
 
-@query("watch_alerts", """SELECT event_id, 'src/u' || user_id || '.txt' AS file, 'c' || c_custkey AS uuid FROM events JOIN customer ON c_custkey = user_id WHERE event_type = 'click'""")
+@query("watch_alerts", """WITH ch AS (SELECT event_id, 'src/u' || user_id || '.txt' AS file FROM events WHERE event_type = 'click'),
+li AS (SELECT 'c' || c_custkey AS uuid, CASE c_custkey % 4 WHEN 0 THEN 'repo/src/u' || c_custkey || '.txt' WHEN 1 THEN 'src/u' || c_custkey || '.txt' WHEN 2 THEN c_custkey || '.txt' ELSE 'src/u' || c_custkey || '.txt.bak' END AS linked FROM customer),
+fp AS (SELECT file, uuid FROM (SELECT DISTINCT file FROM ch) JOIN li ON contains(file, linked) OR contains(linked, file))
+SELECT event_id, file, uuid FROM ch JOIN fp USING (file)""")
 def watch_alerts(spark, d):
-    """Clicks are changes of a user's file; every customer's file is linked, half of them by a path within the repository."""
+    """Clicks are changes of a user's file; every customer's file is linked: by a path within the repository, by the same one, by the end of one that
+    other files have as well, or by that of a copy beside it."""
     schema = S.table(spark, d, "events").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
     changes = stream.select("event_id", F.concat(F.lit("src/u"), F.col("user_id").cast("string"), F.lit(".txt")).alias("file"), _modified().alias("event_type"))
-    path = F.concat(F.when(F.col("c_custkey") % 2 == 0, "repo/src/u").otherwise("src/u"), F.col("c_custkey").cast("string"), F.lit(".txt"))
+    name = F.concat(F.col("c_custkey").cast("string"), F.lit(".txt"))
+    form = F.col("c_custkey") % 4
+    path = F.when(form == 0, F.concat(F.lit("repo/src/u"), name)).when(form == 1, F.concat(F.lit("src/u"), name)).when(form == 2, name).otherwise(F.concat(F.lit("src/u"), name, F.lit(".bak")))
     linked = S.table(spark, d, "customer").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("uuid"), path.alias("file"))
     out = f"{shared_dir(spark)}/alerts-{_uuid.uuid4().hex}"
     alerts = watch.watch_alerts(changes, linked)
