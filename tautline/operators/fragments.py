@@ -109,19 +109,51 @@ def subrange_slice(resolved: DataFrame) -> DataFrame:
     return out.withColumn("frag", F.when(whole, F.col("node_text")).otherwise(T.byte_slice(F.col("node_text"), F.col("frag_start") - F.col("node_start"), F.col("frag_end") - F.col("node_start"))))
 
 
+def positions(points: DataFrame, lines: DataFrame, unit: str = "char") -> DataFrame:
+    """points (layer, file, line, col: both from 1, any others) with `at`, the byte in the file; col counts characters or, with unit 'byte', bytes of the
+    line. The place after a line's last character counts as its end; one further on, or a line that the file hasn't, is null."""
+    width = F.length("_text") if unit == "char" else F.octet_length("_text")
+    before = F.octet_length(F.left("_text", F.col("col") - 1)) if unit == "char" else F.col("col") - 1
+    there = lines.select("layer", "file", "line", F.col("start").alias("_start"), F.col("text").alias("_text"))
+    at = F.when((F.col("col") >= 1) & (F.col("col") - 1 <= width), F.col("_start") + before)
+    return points.join(there, ["layer", "file", "line"], "left").withColumn("at", at.cast("long")).drop("_start", "_text")
+
+
+def selection_spans(selections: DataFrame, lines: DataFrame, unit: str = "char") -> DataFrame:
+    """selections (id, layer, file, from_line, from_col, to_line, to_col) as bytes: id, layer, file, sel_start, sel_end. Both ends are looked up in the line
+    table in one join; selections with an end outside the file are left out."""
+    end = lambda which, line, col: F.struct(F.lit(which).alias("which"), F.col(line).cast("int").alias("line"), F.col(col).cast("int").alias("col"))
+    both = selections.select("id", "layer", "file", F.explode(F.array(end(0, "from_line", "from_col"), end(1, "to_line", "to_col"))).alias("e")).select("id", "layer", "file", "e.*")
+    at = lambda which: F.max(F.when(F.col("which") == which, F.col("at")))
+    found = positions(both, lines, unit).groupBy("id", "layer", "file").agg(at(0).alias("sel_start"), at(1).alias("sel_end"))
+    return found.filter("sel_start is not null and sel_end >= sel_start")
+
+
+#: Selections in one anchor whose digests are worked out together.
+TOGETHER = 1000
+
+
 def anchor_capture(selections: DataFrame, fragments: DataFrame) -> DataFrame:
     """selections (layer, file, sel_start, sel_end) with the innermost anchor around each, the next larger one, the range relative to
-    the innermost (null for a point or an exact fit) and the digest of what is selected."""
-    inner = selections.select("layer", "file", F.col("sel_start").alias("start"), F.col("sel_end").alias("end"))
-    outer = fragments.select("layer", "file", "kind", "name", "text", F.col("start").alias("o_start"), (F.col("end") + 1).alias("o_end"))  # a point at the end is inside
+    the innermost (null for a point or an exact fit) and the digest of what is selected. Anchors are found by their spans alone; an anchor's text then
+    meets its selections once, TOGETHER of them at a time."""
+    inner = selections.select("layer", "file", F.col("sel_start").alias("start"), F.col("sel_end").alias("end")).distinct()
+    outer = fragments.select("layer", "file", "kind", "name", F.col("start").alias("o_start"), (F.col("end") + 1).alias("o_end"))  # a point at the end is inside
     around = spans_around(inner, outer, ["layer", "file"]).filter("end < o_end")
-    around = around.select("layer", "file", F.col("start").alias("sel_start"), F.col("end").alias("sel_end"), "kind", "name", "text", F.col("o_start").alias("start"), (F.col("o_end") - 1).alias("end"))
-    size = F.struct((F.col("end") - F.col("start")).alias("size"), "kind", "name", "start", "end", "text")
-    two = around.groupBy("layer", "file", "sel_start", "sel_end").agg(F.min(size).alias("a"), F.sort_array(F.collect_list(F.struct((F.col("end") - F.col("start")).alias("size"), "kind", "name"))).alias("all"))
-    exact = (F.col("sel_start") == F.col("sel_end")) | ((F.col("sel_start") == F.col("a.start")) & (F.col("sel_end") == F.col("a.end")))
-    rel = lambda c: F.when(~exact, F.col(c) - F.col("a.start"))
-    text = F.when(exact, F.col("a.text")).otherwise(T.byte_slice(F.col("a.text"), F.col("sel_start") - F.col("a.start"), F.col("sel_end") - F.col("a.start")))
-    return two.select("layer", "file", "sel_start", "sel_end", F.col("a.kind").alias("kind"), F.col("a.name").alias("name"), F.get("all", F.lit(1))["name"].alias("parent_name"), rel("sel_start").alias("rel_start"), rel("sel_end").alias("rel_end"), T.digest(text).alias("hash"))
+    size = F.struct((F.col("o_end") - 1 - F.col("o_start")).alias("size"), "kind", "name", F.col("o_start").alias("start"), (F.col("o_end") - 1).alias("end"))
+    two = around.groupBy("layer", "file", F.col("start").alias("sel_start"), F.col("end").alias("sel_end")).agg(F.slice(F.sort_array(F.collect_list(size)), 1, 2).alias("two"))
+    anchor = ["layer", "file", "kind", "name", "start", "end"]
+    two = two.select("layer", "file", "sel_start", "sel_end", "two", F.get("two", F.lit(0)).alias("a")).select("layer", "file", "sel_start", "sel_end", F.get("two", F.lit(1))["name"].alias("parent_name"), *[f"a.{c}" for c in anchor[2:]])
+    exact = (F.col("sel_start") == F.col("sel_end")) | ((F.col("sel_start") == F.col("start")) & (F.col("sel_end") == F.col("end")))
+    rel = lambda c: F.when(~exact, F.col(c) - F.col("start"))
+    each = two.select(*anchor, "sel_start", "sel_end", "parent_name", rel("sel_start").alias("rel_start"), rel("sel_end").alias("rel_end"))
+    turn = F.floor((F.row_number().over(Window.partitionBy(*anchor).orderBy("sel_start", "sel_end")) - 1) / TOGETHER)
+    held = each.withColumn("turn", turn).groupBy(*anchor, "turn").agg(F.collect_list(F.struct("sel_start", "sel_end", "parent_name", "rel_start", "rel_end")).alias("held"))
+    texts = fragments.select(*anchor, "text").join(each.select(*anchor).distinct(), anchor, "left_semi").dropDuplicates(anchor)
+    whole = lambda x: x["rel_start"].isNull()
+    digest = lambda x: T.digest(F.when(whole(x), F.col("text")).otherwise(T.byte_slice(F.col("text"), x["rel_start"], x["rel_end"])))
+    out = held.join(texts, anchor).select("layer", "file", "kind", "name", F.explode(F.transform("held", lambda x: F.struct(x.alias("s"), digest(x).alias("hash")))).alias("x"))
+    return out.select("layer", "file", "x.s.sel_start", "x.s.sel_end", "kind", "name", "x.s.parent_name", "x.s.rel_start", "x.s.rel_end", "x.hash")
 
 
 def fragment_get(spans: DataFrame, lines: DataFrame, before: int = 0, after: int = 0) -> DataFrame:
@@ -134,6 +166,29 @@ def fragment_get(spans: DataFrame, lines: DataFrame, before: int = 0, after: int
     return got.groupBy("id").agg(F.min("line").alias("first_line"), F.max("line").alias("last_line"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "text"))), lambda x: x["text"]), "\n").alias("content"))
 
 
+def opposite_fragment(asked: DataFrame, endpoints: DataFrame, sources: DataFrame, fragments: DataFrame, before: int = 0, after: int = 0) -> DataFrame:
+    """asked (layer, uuid, n) -> layer, uuid, n, route, file, first_line, last_line, content: what stands at the other end of each end's record. Where that
+    end is structural, it is that (route: side); where it points to a layer, the structural side (side 0 first) of the record there (route: layer).
+    An end that names an anchor gives its whole lines with `before` and `after` more, one that names a file the whole of it. Ends whose other
+    side has no text now are left out."""
+    place = ["layer", "file", "anchor_kind", "anchor_name", "rel_start", "rel_end"]
+    to = F.struct(*place)
+    other = asked.select("layer", "uuid", F.col("n").alias("from_n"), (1 - F.col("n")).alias("n")).join(endpoints.select("layer", "uuid", "n", "kind", "target_layer", to.alias("to")), ["layer", "uuid", "n"])
+    key = [F.col("layer").alias("from_layer"), "uuid", "from_n"]
+    side = other.filter("kind = 'structural'").select(*key, F.lit("side").alias("route"), "to")
+    first = endpoints.filter("kind = 'structural'").groupBy(F.col("layer").alias("target_layer"), "uuid").agg(F.min_by(to, "n").alias("to"))
+    hop = other.filter("kind = 'layer'").drop("to").join(first, ["target_layer", "uuid"]).select(*key, F.lit("layer").alias("route"), "to")
+    dest = side.unionByName(hop).select("from_layer", "uuid", "from_n", "route", "to.*").withColumn("kind", F.lit("structural"))
+    out = [F.col("from_layer").alias("layer"), "uuid", F.col("from_n").alias("n"), "route", "file", "first_line", "last_line", "content"]
+    whole = dest.filter("anchor_name is null").join(sources.select("layer", "file", F.col("text").alias("content")), ["layer", "file"])
+    whole = whole.withColumns({"first_line": F.lit(1), "last_line": F.size(F.split("content", "\n"))}).select(*out)
+    ident = F.concat_ws("@", "uuid", "from_layer", F.col("from_n").cast("string"))
+    found = subrange_slice(anchor_resolve(dest, fragments)).filter("node_start is not null").select("from_layer", "uuid", "from_n", "route", "layer", "file", ident.alias("id"), F.col("frag_start").alias("start"), F.col("frag_end").alias("end"))
+    got = fragment_get(found.select("layer", "file", "id", "start", "end"), line_offsets(sources), before, after)
+    part = found.drop("layer", "start", "end").join(got, "id").select(*out)
+    return whole.unionByName(part)
+
+
 def fragment_label(fragments: DataFrame) -> DataFrame:
     """fragments (file, query, start, end, text) with a label: file, first six words of the query, span, first and last line with text."""
     lines = F.transform(F.filter(F.split("text", "\n"), lambda x: F.trim(x) != ""), lambda x: F.trim(x))

@@ -53,12 +53,14 @@ def graph_nodes(spans: DataFrame, lines: DataFrame, most_lines: int = 100) -> Da
     """spans (layer, file, uuid, start, end) -> one node for each id file@layer#Lline: id, file, layer, start_line, content (the first
     most_lines lines: a limit of the display), uuid (the smallest)."""
     touched = spans.select("layer", "file", "uuid", "start", F.greatest(F.col("start") + 1, "end").alias("end"))
-    hit = spans_overlapping(touched, lines.select("layer", "file", "line", "text", F.col("start").alias("o_start"), (F.col("end") + 1).alias("o_end")), ["layer", "file"])
+    hit = spans_overlapping(touched, lines.select("layer", "file", "line", F.col("start").alias("o_start"), (F.col("end") + 1).alias("o_end")), ["layer", "file"])
     hit = hit.withColumn("k", F.row_number().over(Window.partitionBy("layer", "file", "uuid").orderBy("line"))).filter(F.col("k") <= most_lines)
+    first = hit.groupBy("layer", "file", "uuid").agg(F.min("line").alias("start_line"))
+    shown = first.groupBy("layer", "file", "start_line").agg(F.min("uuid").alias("uuid"))  # one link of each node, before any text is read
+    hit = hit.join(shown, ["layer", "file", "uuid"], "left_semi").select("layer", "file", "uuid", "line").join(lines.select("layer", "file", "line", "text"), ["layer", "file", "line"])
     per = hit.groupBy("layer", "file", "uuid").agg(F.min("line").alias("start_line"), F.array_sort(F.collect_list(F.struct("line", "text"))).alias("ls"))
     content = F.array_join(F.transform("ls", lambda x: x["text"]), "\n")
-    per = per.select(F.concat(F.col("file"), F.lit("@"), "layer", F.lit("#L"), F.col("start_line").cast("string")).alias("id"), "file", "layer", "start_line", content.alias("content"), "uuid")
-    return per.groupBy("id", "file", "layer", "start_line").agg(F.min_by("content", "uuid").alias("content"), F.min("uuid").alias("uuid"))
+    return per.select(F.concat(F.col("file"), F.lit("@"), "layer", F.lit("#L"), F.col("start_line").cast("string")).alias("id"), "file", "layer", "start_line", content.alias("content"), "uuid")
 
 
 def graph_edges(links: DataFrame) -> DataFrame:

@@ -101,14 +101,21 @@ def lookup_by_file(spark, d):
     return chain.lookup_by_file(labelled, ranged(spark, d))
 
 
-@query("lookup_by_position", f"""WITH {DOC_STATES}, p AS (SELECT event_id, user_id, event_id * 37 % 2000 AS pos FROM events),
+@query("lookup_by_position", f"""WITH {DOC_STATES}, p0 AS (SELECT event_id, user_id, event_id * 37 % 2000 AS byte, 1 + event_id % 41 AS col FROM events),
+p AS (SELECT event_id, doc_id AS user_id, CASE WHEN event_id % 2 = 0 THEN byte WHEN col - 1 <= length(l.t) THEN l.a + strlen(substr(l.t, 1, col - 1)) END AS pos FROM p0 JOIN dl ON doc_id = user_id LEFT JOIN sl l ON l.file = dl.file AND l.i = 1 + event_id % len(ls)),
 r AS (SELECT doc_id, uuid, 0 AS n, r0a AS a, r0b AS b FROM dr UNION ALL SELECT doc_id, uuid, 1, r1a, r1b FROM dr)
 SELECT event_id, uuid, n FROM p JOIN r ON r.doc_id = p.user_id AND a <= pos AND pos < b""")
 def lookup_by_position(spark, d):
-    file = S.table(spark, d, "documents").select(F.col("doc_id").alias("user_id"), S.doc_file().alias("file"))
-    points = S.table(spark, d, "events").select("event_id", "user_id", (F.col("event_id") * 37 % 2000).alias("at")).join(file, "user_id")
-    spans = ranged(spark, d).filter("range_start is not null").select("file", "uuid", "n", F.col("range_start").alias("start"), F.col("range_end").alias("end"))
-    return spans_containing(points, spans, ["file"]).select("event_id", "uuid", "n")
+    """Half of the points are bytes, half lines and columns (in characters)."""
+    docs = S.table(spark, d, "documents").select(F.col("doc_id").alias("user_id"), S.doc_file().alias("file"), F.size(F.split("text", "\n")).alias("lines"))
+    e = S.table(spark, d, "events").select("event_id", "user_id").join(docs, "user_id").withColumn("layer", F.lit("."))
+    by_byte = e.filter("event_id % 2 = 0").select("event_id", "layer", "file", (F.col("event_id") * 37 % 2000).alias("at"))
+    by_line = e.filter("event_id % 2 <> 0").select("event_id", "layer", "file", (1 + F.col("event_id") % F.col("lines")).cast("int").alias("line"), (1 + F.col("event_id") % 41).cast("int").alias("col"))
+    asked = by_line.select("layer", "file").distinct()
+    table = fragments.line_offsets(S.doc_sources(spark, d).join(asked, ["layer", "file"], "left_semi"))
+    points = by_byte.unionByName(fragments.positions(by_line, table).filter("at is not null").select("event_id", "layer", "file", "at"))
+    spans = ranged(spark, d).filter("range_start is not null").select("layer", "file", "uuid", "n", F.col("range_start").alias("start"), F.col("range_end").alias("end"))
+    return spans_containing(points, spans, ["layer", "file"]).select("event_id", "uuid", "n")
 
 
 @query("lens_counts", f"""WITH {DOC_STATES}, x AS (SELECT file, 1 AS line, uuid FROM dr WHERE r0a IS NOT NULL UNION ALL SELECT file, ln, uuid FROM dr WHERE r1a IS NOT NULL)

@@ -326,16 +326,18 @@ def apply_fixes(spark, d):
     return fixed.select("uuid", "n", "file", "anchor_name", "range_start", "range_end")
 
 
-@query("opposite_fragment", """WITH c AS (SELECT 'chat/' || conv_id || '.txt' AS file, conv_id, turn, text FROM conversations)
-SELECT a.file, a.turn, sha256(b.text) AS other_hash FROM c a JOIN c b ON b.conv_id = a.conv_id AND b.turn = a.turn + 1 WHERE a.turn % 5 <> 4""")
+@query("opposite_fragment", f"""WITH {SNAPSHOT}, {PAIRS.strip()}, op AS (
+  SELECT '.' AS layer, uuid, 0 AS n, 'side' AS route, file, node_line AS first_line, node_line AS last_line, node AS t FROM rs WHERE node IS NOT NULL
+  UNION ALL SELECT '.', uuid, 1, 'side', file, 1, len(string_split(now, chr(10))), now FROM rs WHERE there
+  UNION ALL SELECT upper, uuid, 0, 'layer', file, 1, len(string_split(low, chr(10))), low FROM pp WHERE NOT removed UNION ALL SELECT upper, uuid, 1, 'side', file, 1, len(string_split(up, chr(10))), up FROM pp
+  UNION ALL SELECT lower, uuid, 0, 'side', file, 1, len(string_split(low, chr(10))), low FROM pp WHERE NOT removed UNION ALL SELECT lower, uuid, 1, 'layer', file, 1, len(string_split(up, chr(10))), up FROM pp WHERE NOT removed)
+SELECT layer, uuid, n, route, file, first_line::INT AS first_line, last_line::INT AS last_line, sha256(t) AS other_hash FROM op""")
 def opposite_fragment(spark, d):
-    """What the structural side of the layer below says, for the upper record of each pair."""
-    e, src = S.pair_endpoints(spark, d), S.chat_sources(spark, d)
-    up = e.filter("kind = 'layer'").select("uuid", F.col("layer").alias("from_layer"), F.col("target_layer").alias("layer"))
-    other = e.filter("kind = 'structural'").select("uuid", "layer", "file")
-    hop = up.join(other, ["uuid", "layer"]).filter(F.length("layer") > F.length("from_layer"))
-    turn = F.when(F.col("from_layer") == ".", 0).otherwise(F.regexp_extract("from_layer", "t([0-9]+)$", 1).cast("long")).cast("long")
-    return hop.join(src.select("layer", "file", "hash"), ["layer", "file"]).select("file", turn.alias("turn"), F.col("hash").alias("other_hash"))
+    """What stands opposite every end of the document links and of the pairs of turns."""
+    e = S.doc_endpoints(spark, d).unionByName(S.pair_endpoints(spark, d))
+    src = S.doc_sources(spark, d).unionByName(S.chat_sources(spark, d))
+    got = fragments.opposite_fragment(e.select(*KEYS), e, src, doc_lines(spark, d))
+    return got.select(*KEYS, "route", "file", F.col("first_line").cast("int").alias("first_line"), F.col("last_line").cast("int").alias("last_line"), T.digest(F.col("content")).alias("other_hash"))
 
 
 def _modified():

@@ -81,18 +81,28 @@ def subrange_slice(spark, d):
     return part.join(fragments.subrange_slice(r).select("uuid", T.digest(F.col("frag")).alias("whole_hash")), "uuid")
 
 
-@query("anchor_capture", f"""WITH {SNAPSHOT}, sel AS (SELECT file, ls, fstart, flen, frag, ln FROM rs WHERE there)
-SELECT '.' AS layer, file, fstart AS sel_start, fstart + flen AS sel_end, 'line' AS kind, 'L' || ln AS name, CASE WHEN len(ls) > 1 THEN 'all' END AS parent_name,
-  NULL::BIGINT AS rel_start, NULL::BIGINT AS rel_end, sha256(frag) AS hash FROM sel WHERE len(ls) > 1""")
+@query("anchor_capture", f"""WITH {SNAPSHOT}, sel AS (SELECT file, ls, fstart, frag, ln, doc_id FROM rs WHERE there AND len(ls) > 1),
+cs AS (SELECT file, ln, fstart, frag, unnest([0, 1, 2, 3]) AS k, ls FROM sel),
+cp AS (SELECT *, CASE WHEN k = 1 THEN least(2, length(frag)) ELSE 0 END AS c0, CASE k WHEN 0 THEN length(frag) WHEN 1 THEN least(9, length(frag)) ELSE 0 END AS c1 FROM cs WHERE k < 3 OR ln < len(ls)),
+cb AS (SELECT *, fstart + strlen(substr(frag, 1, c0)) AS a, CASE WHEN k = 3 THEN fstart + strlen(frag) + 1 ELSE fstart + strlen(substr(frag, 1, c1)) END AS b FROM cp),
+cd AS (SELECT DISTINCT ON (file, a, b) * FROM cb)
+SELECT '.' AS layer, file, a AS sel_start, b AS sel_end, CASE WHEN k = 3 THEN 'text' ELSE 'line' END AS kind, CASE WHEN k = 3 THEN 'all' ELSE 'L' || ln END AS name, CASE WHEN k < 3 THEN 'all' END AS parent_name,
+  CASE WHEN k = 3 THEN a WHEN a <> b AND (a <> fstart OR b <> fstart + strlen(frag)) THEN a - fstart END AS rel_start, CASE WHEN k = 3 THEN b WHEN a <> b AND (a <> fstart OR b <> fstart + strlen(frag)) THEN b - fstart END AS rel_end,
+  CASE WHEN k = 3 THEN sha256(frag || chr(10)) WHEN a = b THEN sha256(frag) ELSE sha256(substr(frag, c0 + 1, c1 - c0)) END AS hash FROM cd""")
 def anchor_capture(spark, d):
-    """Selecting each document's linked line again, with the line and the whole text as anchors."""
-    src = S.doc_sources(spark, d)
-    links = S.doc_links(spark, d).filter("s <> 3 and size(split(text, '\n')) > 1")
-    lines = doc_lines(spark, d)
-    sel = links.select(F.col("file"), F.concat(F.lit("L"), F.col("ln").cast("string")).alias("name")).join(lines, ["file", "name"]).select("layer", "file", F.col("start").alias("sel_start"), F.col("end").alias("sel_end"))
+    """Selections by line and column in each document's linked line: all of it, some characters inside, a point, and one up to the next line; the line and the whole
+    text are anchors."""
+    src, lines = S.doc_sources(spark, d), doc_lines(spark, d)
+    table = fragments.line_offsets(src)
+    links = S.doc_links(spark, d).filter("size(split(text, '\n')) > 1").select("file", "ln", F.length("frag").alias("chars"), F.size(F.split("text", "\n")).alias("last"))
+    place = lambda k, to, c0, c1: F.struct(F.lit(k).alias("k"), to.alias("to_line"), (c0 + 1).alias("from_col"), (c1 + 1).alias("to_col"))
+    zero, chars, ln = F.lit(0), F.col("chars"), F.col("ln")
+    four = F.array(place(0, ln, zero, chars), place(1, ln, F.least(F.lit(2), chars), F.least(F.lit(9), chars)), place(2, ln, zero, zero), place(3, F.when(ln < F.col("last"), ln + 1), zero, zero))
+    sel = links.select("file", "ln", F.explode(four).alias("s")).select(F.concat_ws("#", "file", F.col("s.k").cast("string")).alias("id"), F.lit(".").alias("layer"), "file", ln.alias("from_line"), "s.from_col", "s.to_line", "s.to_col")
+    spans = fragments.selection_spans(sel.filter("to_line is not null"), table)
     whole = src.select("layer", "file", F.lit("text").alias("kind"), F.lit("all").alias("name"), F.lit(0).alias("ord"), F.lit(0).alias("depth"), F.lit(0).cast("long").alias("start"), F.col("n_bytes").alias("end"), "text")
-    mine = lines.join(sel.select("layer", "file", F.col("sel_start").alias("start"), F.col("sel_end").alias("end")), ["layer", "file", "start", "end"], "left_semi")
-    return fragments.anchor_capture(sel, mine.unionByName(whole))
+    mine = links.select("file", F.concat(F.lit("L"), F.col("ln").cast("string")).alias("name"))
+    return fragments.anchor_capture(spans, lines.join(mine, ["file", "name"], "left_semi").unionByName(whole))
 
 
 @query("fragment_get", f"""WITH {SNAPSHOT} SELECT uuid AS id, min(sl.i)::INT AS first_line, max(sl.i)::INT AS last_line, sha256(string_agg(t, chr(10) ORDER BY sl.i)) AS content_hash
