@@ -15,6 +15,10 @@ RULES = [
     ("rust", "declaration", r"^ *(?:pub(?:\([^)]*\))? +)?(?:fn|struct|enum|trait|impl|mod) +(\w+)"),
 ]
 
+#: Pieces that HTML is cut into: comments, scripts and styles whole, tags, text. Elements that have no closing tag.
+HTML_PIECE = r"(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>|<[^>]*>|[^<]+|<"
+HTML_VOID = ("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr")
+
 #: A heading of HTML at the start of a text: its tag's name, what stands in it.
 HEADING = r"(?is)^<(h[1-6])(?:\s[^>]*)?>(.*?)</h[1-6]\s*>"
 
@@ -36,13 +40,40 @@ def headings(sources: DataFrame) -> DataFrame:
     found = F.filter(pieces, lambda x: inside(x["p"], 1) != "")
     each = sources.filter("lang = 'html'").select("layer", "file", F.posexplode(found).alias("i", "x")).select("layer", "file", "i", F.col("x.p").alias("p"), F.col("x.at").alias("at"))
     name, start = F.lower(inside(F.col("p"), 1)), F.col("at") + F.octet_length(F.regexp_extract("p", r"(?i)^<h[1-6](?:\s[^>]*)?>", 0))
-    each = each.select("layer", "file", F.lit("element").alias("kind"), name.alias("name"), (F.col("i") + 1).alias("ord"), start.alias("start"), inside(F.col("p"), 2).alias("text"))
+    each = each.select("layer", "file", F.lit("heading").alias("kind"), name.alias("name"), (F.col("i") + 1).alias("ord"), start.alias("start"), inside(F.col("p"), 2).alias("text"))
     return each.withColumn("end", F.col("start") + F.octet_length("text")).withColumn("depth", F.substring("name", 2, 1).cast("int"))
 
 
+def elements(sources: DataFrame) -> DataFrame:
+    """All elements of HTML sources that are closed by a tag of their own, as anchors: name (of the tag, in lower case), ord among the file's elements, depth (how many
+    of these are around it), the span and text between the tags. Comments, scripts and styles are passed over; elements left open are left out.
+
+    A file is cut into its pieces within its row, and only tags leave it. A name's openings and closings alternate on each level of its running
+    depth, so an opening's closing tag is the next one of its name and level. Texts are cut from the file's row, once for all of its elements."""
+    pieces = F.regexp_extract_all("text", F.lit(HTML_PIECE), F.lit(0))
+    starts = T.running_starts(F.transform(pieces, lambda x: F.octet_length(x).cast("long")))
+    tag = lambda x, g: F.regexp_extract(x, "^<(/?)([a-zA-Z][a-zA-Z0-9]*)", g)
+    placed = F.filter(F.zip_with(pieces, starts, lambda x, at: F.struct(F.lower(tag(x, 2)).alias("name"), (tag(x, 1) == "/").alias("closes"), at.alias("at"), (at + F.octet_length(x)).alias("after"), F.endswith(x, F.lit("/>")).alias("single"))), lambda x: ~x["name"].isin("", "script", "style", *HTML_VOID) & ~x["single"])
+    html = sources.filter("lang = 'html'")
+    tags = html.select("layer", "file", F.explode(placed).alias("t")).select("layer", "file", "t.name", "t.closes", F.col("t.at").alias("pos"), "t.after")
+    step = F.when(F.col("closes"), -1).otherwise(1)
+    running = F.sum(step).over(Window.partitionBy("layer", "file", "name").orderBy("pos"))
+    level = tags.withColumn("level", running + F.col("closes").cast("int"))
+    same = Window.partitionBy("layer", "file", "name", "level").orderBy("pos")
+    both = level.withColumns({"next_closes": F.lead("closes").over(same), "end": F.lead("pos").over(same), "opened": F.lag("closes").over(same)})
+    both = both.filter((~F.col("closes") & F.col("next_closes")) | (F.col("closes") & ~F.col("opened")))
+    around = F.sum(step).over(Window.partitionBy("layer", "file").orderBy("pos"))
+    opened = both.withColumn("depth", around - 1).filter("not closes")
+    spans = opened.groupBy("layer", "file").agg(F.array_sort(F.collect_list(F.struct(F.col("after").alias("start"), "end", "name", "depth"))).alias("spans"))
+    cut = lambda x: F.struct(x["name"].alias("name"), x["depth"].alias("depth"), x["start"].alias("start"), x["end"].alias("end"), T.byte_slice(F.col("text"), x["start"], x["end"]).alias("text"))
+    each = html.select("layer", "file", "text").join(spans, ["layer", "file"]).select("layer", "file", F.posexplode(F.transform("spans", cut)).alias("i", "x"))
+    return each.select("layer", "file", F.lit("element").alias("kind"), "x.name", (F.col("i") + 1).alias("ord"), "x.depth", "x.start", "x.end", "x.text")
+
+
 def fragments_extract(sources: DataFrame, kinds: tuple[str, ...] = ("line", "paragraph", "element"), rules: list[tuple[str, str, str]] = RULES) -> DataFrame:
-    """layer, file, kind, name, ord, depth, start, end, text: lines (L1, L2, ...), paragraphs (P1, ...: runs of lines with text), headings of
-    HTML (the tag's name) and, with kind declaration, what the rules find. depth: how deep an anchor is nested, 0 for lines and paragraphs."""
+    """layer, file, kind, name, ord, depth, start, end, text: lines (L1, L2, ...), paragraphs (P1, ...: runs of lines with text), elements of
+    HTML (the tag's name), of kind heading those alone, and, of kind declaration, what the rules find. depth: how deep an anchor is nested, 0 for lines
+    and paragraphs, a heading's level."""
     lines = line_offsets(sources)
     out = []
     if "line" in kinds:
@@ -54,6 +85,8 @@ def fragments_extract(sources: DataFrame, kinds: tuple[str, ...] = ("line", "par
         ord_ = F.row_number().over(Window.partitionBy("layer", "file").orderBy("start"))
         out.append(runs.withColumn("ord", ord_).select("layer", "file", F.lit("paragraph").alias("kind"), F.concat(F.lit("P"), F.col("ord").cast("string")).alias("name"), "ord", F.lit(0).alias("depth"), "start", "end", "text"))
     if "element" in kinds:
+        out.append(elements(sources))
+    if "heading" in kinds:
         out.append(headings(sources))
     if "declaration" in kinds:
         out.append(declarations(sources, rules))

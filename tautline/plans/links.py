@@ -52,19 +52,26 @@ par AS (SELECT layer, file, min("start") AS s, max("end") AS e, string_agg(text,
 hp0 AS (SELECT page_id, unnest(x) AS p, generate_subscripts(x, 1) AS i FROM (SELECT page_id, string_split(regexp_replace(html, '(?i)(<h[1-6][\\s>])', chr(1) || '\\1', 'g'), chr(1)) AS x FROM pages)),
 hp AS (SELECT *, 'pages/' || page_id || '.html' AS file, sum(strlen(p)) OVER (PARTITION BY page_id ORDER BY i) - strlen(p) AS b FROM hp0),
 tag AS (SELECT file, i, lower(regexp_extract(p, '{fragments.HEADING}', 1)) AS name, regexp_extract(p, '{fragments.HEADING}', 2) AS inr, b + strlen(regexp_extract(p, '(?i)^<h[1-6](?:\\s[^>]*)?>')) AS s FROM hp),
+ep AS (SELECT page_id, html, unnest(x) AS p, generate_subscripts(x, 1) AS i FROM (SELECT *, regexp_extract_all(html, '{fragments.HTML_PIECE}') AS x FROM pages)),
+eo AS (SELECT *, sum(strlen(p)) OVER (PARTITION BY page_id ORDER BY i) AS after, regexp_extract(p, '^<(/?)([a-zA-Z][a-zA-Z0-9]*)', 1) = '/' AS closes, lower(regexp_extract(p, '^<(/?)([a-zA-Z][a-zA-Z0-9]*)', 2)) AS name FROM ep),
+el AS (SELECT *, sum(CASE WHEN closes THEN -1 ELSE 1 END) OVER (PARTITION BY page_id, name ORDER BY i) + closes::INT AS lv FROM eo WHERE name NOT IN ('', 'script', 'style', {", ".join(f"'{x}'" for x in fragments.HTML_VOID)}) AND p NOT LIKE '%/>'),
+ec AS (SELECT *, lead(closes) OVER w AS nc, lead(after - strlen(p)) OVER w AS e, lag(closes) OVER w AS lc FROM el WINDOW w AS (PARTITION BY page_id, name, lv ORDER BY i)),
+ed AS (SELECT *, 'pages/' || page_id || '.html' AS file, sum(CASE WHEN closes THEN -1 ELSE 1 END) OVER (PARTITION BY page_id ORDER BY i) - 1 AS depth FROM ec WHERE (NOT closes AND nc) OR (closes AND NOT lc)),
+em AS (SELECT * FROM ed WHERE NOT closes),
 pt AS (SELECT p_partkey AS k, 'parts/p' || p_partkey AS file, 'pub mod m' || p_partkey || ' {{' || chr(10) AS rs0, '    pub fn p' || p_partkey || '() {{' || chr(10) || '        // ' || p_name || chr(10) || '    }}' || chr(10) || '}}' || chr(10) AS rs1,
   '# Part ' || p_partkey || chr(10) || p_type || chr(10) AS md0, '## Name' || chr(10) || p_name AS md1 FROM part)
 SELECT layer, file, 'line' AS kind, 'L' || line AS name, line AS ord, 0 AS depth, "start", "end", sha256(text) AS hash FROM lines
 UNION ALL SELECT layer, file, 'paragraph', 'P' || row_number() OVER (PARTITION BY file ORDER BY s), (row_number() OVER (PARTITION BY file ORDER BY s))::INT, 0, s, e, sha256(text) FROM par
-UNION ALL SELECT '.stratum/web', file, 'element', name, (row_number() OVER (PARTITION BY file ORDER BY i))::INT, substr(name, 2, 1)::INT, s::BIGINT, (s + strlen(inr))::BIGINT, sha256(inr) FROM tag WHERE name <> ''
+UNION ALL SELECT '.stratum/web', file, 'element', name, (row_number() OVER (PARTITION BY file ORDER BY after))::INT, depth::INT, after::BIGINT, e::BIGINT, sha256(decode(encode(html)[after + 1:e])) FROM em
+UNION ALL SELECT '.stratum/web', file, 'heading', name, (row_number() OVER (PARTITION BY file ORDER BY i))::INT, substr(name, 2, 1)::INT, s::BIGINT, (s + strlen(inr))::BIGINT, sha256(inr) FROM tag WHERE name <> ''
 UNION ALL SELECT '.', file || '.rs', 'declaration', 'm' || k, 1, 0, 0, strlen(rs0 || rs1), sha256(rs0 || rs1) FROM pt
 UNION ALL SELECT '.', file || '.rs', 'declaration', 'p' || k, 2, 1, strlen(rs0), strlen(rs0 || rs1), sha256(rs1) FROM pt
 UNION ALL SELECT '.', file || '.md', 'heading', 'Part ' || k, 1, 0, 0, strlen(md0 || md1), sha256(md0 || md1) FROM pt
 UNION ALL SELECT '.', file || '.md', 'heading', 'Name', 2, 1, strlen(md0), strlen(md0 || md1), sha256(md1) FROM pt
 UNION ALL SELECT '.', file || '.md', 'heading', 'End', 3, 0, strlen(md0 || md1) + 1, strlen(md0 || md1) + 7, sha256('# End' || chr(10)) FROM pt""")
 def fragments_extract(spark, d):
-    """Lines and paragraphs of documents, headings of pages, declarations of the files that parts stand for."""
-    f = fragments.fragments_extract(S.doc_sources(spark, d, current=False), ("line", "paragraph")).unionByName(fragments.fragments_extract(S.page_sources(spark, d), ("element",)))
+    """Lines and paragraphs of documents, elements and headings of pages, declarations of the files that parts stand for."""
+    f = fragments.fragments_extract(S.doc_sources(spark, d, current=False), ("line", "paragraph")).unionByName(fragments.fragments_extract(S.page_sources(spark, d), ("element", "heading")))
     f = f.unionByName(fragments.fragments_extract(S.part_sources(spark, d), ("declaration",)))
     return f.select("layer", "file", "kind", "name", "ord", "depth", "start", "end", T.digest(F.col("text")).alias("hash"))
 

@@ -163,7 +163,7 @@ def test_graph_layout(spark):
 def test_headings_with_attributes_and_markup(spark):
     html = '<h1 class="t">a<b>é</b></h1>\n<p>x</p><H2>c\nd</H2><h3>open'
     src = sources(spark, [(".", "p.html", html)])
-    rows = fragments.fragments_extract(src, ("element",)).orderBy("ord").collect()
+    rows = fragments.fragments_extract(src, ("heading",)).orderBy("ord").collect()
     raw = html.encode()
     assert [(r.name, r.ord, r.depth, r.text) for r in rows] == [("h1", 1, 1, "a<b>é</b>"), ("h2", 2, 2, "c\nd")]
     assert all(raw[r.start : r.end].decode() == r.text for r in rows)
@@ -207,3 +207,27 @@ def test_health_reaches_beyond_direct_callees(spark):
     states = spark.createDataFrame([("c", "ALTERED"), ("a", "OK"), ("d", "PENDING")], "symbol string, state string")
     roots = spark.createDataFrame([("a",), ("b",), ("c",), ("d",), ("e",)], "root string")
     assert {r.root: r.healthy for r in symbols.subgraph_health(roots, calls, states).collect()} == {"a": False, "b": False, "c": False, "d": True, "e": True}
+
+
+def test_elements_nest(spark):
+    import re
+
+    html = "<!doctype html><html><body class='x'><!-- <p>no</p> --><article id=a><h1>é <b>t</b></h1><section><p>one<br>two</p><p>open<section><P>in</P></section></section></article><script>if (a < b) '<p>'</script><img src=x/></p><div/></body></html>"
+    src = sources(spark, [(".", "p.html", html), (".", "q.html", "no tags <"), (".", "r.html", ""), (".", "s.txt", "<p>x</p>")])
+    got = [(r.name, r.depth, r.text) for r in fragments.fragments_extract(src, ("element",)).filter("file = 'p.html'").orderBy("ord").collect()]
+    # the same with a stack for each name
+    stacks, spans = {}, []
+    for m in re.finditer(fragments.HTML_PIECE, html):
+        t = re.match("<(/?)([a-zA-Z][a-zA-Z0-9]*)", m[0])
+        if not t or t[2].lower() in ("script", "style", *fragments.HTML_VOID) or m[0].endswith("/>"):
+            continue
+        name = t[2].lower()
+        if not t[1]:
+            stacks.setdefault(name, []).append(m.end())
+        elif stacks.get(name):
+            spans.append((stacks[name].pop(), m.start(), name))
+    spans.sort()
+    assert [(n, t) for n, _, t in got] == [(n, html[a:b]) for a, b, n in spans]
+    assert {n: d for n, d, _ in got if n in ("html", "body", "article", "h1", "b")} == {"html": 0, "body": 1, "article": 2, "h1": 3, "b": 4}
+    assert ("p", 4, "one<br>two") in got and ("section", 5, "<P>in</P>") in got  # the open <p> before it ends with the last </p>
+    assert fragments.elements(src).filter("file <> 'p.html'").count() == 0
