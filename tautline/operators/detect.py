@@ -138,12 +138,6 @@ def detect_deleted(missing: DataFrame, sources: DataFrame, versions: DataFrame)
     return gone.join(last, "hash", "left").select("uuid", "n", F.when(F.col("commit").isNull(), "BROKEN").otherwise("DELETED").alias("state"), "commit")
 
 
-def hunk_overlap(hunks: DataFrame, fragments: DataFrame) -> DataFrame:
-    """hunks (file, hunk_start, hunk_end: lines), fragments (file, uuid, first, last): where each hunk lies from the fragment."""
-    where = F.when(F.col("hunk_end") < F.col("first"), "BEFORE").when(F.col("hunk_start") > F.col("last"), "AFTER").otherwise("WITHIN")
-    return fragments.join(hunks, "file").select("uuid", "file", "hunk_start", "hunk_end", where.alias("place"))
-
-
 def change_source(checked: DataFrame, commits: DataFrame) -> DataFrame:
     """checked (layer, uuid, n, file, state, accepted_seq) that aren't OK, with the first commit (layer, file, commit, seq) on their file after the accepted one, or
     UNCOMMITTED; of an unknown accepted commit, nothing is known."""

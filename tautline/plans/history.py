@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tautline.functions import text as T
 from tautline.functions.durable import durable, shared_dir
-from tautline.operators import accept, check, detect, fragments, symbols
+from tautline.operators import accept, check, detect, fragments, hunks, symbols
 from tautline.operators.closure import closure
 from tautline.plans.base import COMMITS, DOC_LINKS, DOC_STATES, EDGES, PAIRS, SNAPSHOT, SYMBOLS, query, shape
 from tautline.plans.links import CHECKED, KEYS, doc_lines, everything
@@ -286,11 +286,17 @@ def detect_deleted(spark, d):
     return detect.detect_deleted(missing(spark, d), S.doc_sources(spark, d), versions)
 
 
-@query("hunk_overlap", f"""WITH {DOC_LINKS} SELECT uuid, file, doc_id % 7 + 1 AS hunk_start, doc_id % 7 + 3 AS hunk_end, CASE WHEN doc_id % 7 + 3 < ln THEN 'BEFORE' WHEN doc_id % 7 + 1 > ln THEN 'AFTER' ELSE 'WITHIN' END AS place FROM dl""")
+@query("hunk_overlap", f"""WITH {DOC_LINKS}, df AS (SELECT file, i FROM (SELECT file, unnest(string_split(base0, chr(10))) AS b, unnest(ls) AS t, generate_subscripts(ls, 1) AS i FROM dl WHERE s NOT IN (0, 3)) WHERE b <> t),
+hi AS (SELECT file, i, i - row_number() OVER (PARTITION BY file ORDER BY i) AS g FROM df), hk AS (SELECT file, min(i) AS a, max(i) AS b FROM hi GROUP BY file, g),
+fh AS (SELECT uuid, file, ln, a, b FROM dl JOIN hk USING (file))
+SELECT uuid, file, 'WITHIN' AS place, a AS hunk_start, b AS hunk_end, 1 AS hunks, NULL::BIGINT AS shift FROM fh WHERE ln BETWEEN a AND b
+UNION ALL SELECT uuid, file, 'BEFORE', max(a), max(b), count(*), 0 FROM fh WHERE b < ln GROUP BY uuid, file UNION ALL SELECT uuid, file, 'AFTER', min(a), min(b), count(*), NULL FROM fh WHERE a > ln GROUP BY uuid, file""")
 def hunk_overlap(spark, d):
+    """The lines of document links against the hunks between the accepted and the current text."""
     links = S.doc_links(spark, d)
-    hunks = links.select("file", (F.col("doc_id") % 7 + 1).alias("hunk_start"), (F.col("doc_id") % 7 + 3).alias("hunk_end"))
-    return detect.hunk_overlap(hunks, links.select("file", "uuid", F.col("ln").alias("first"), F.col("ln").alias("last")))
+    pairs = links.filter("s not in (0, 3)").select(F.col("file").alias("id"), F.col("base0").alias("before"), F.col("text").alias("after"))
+    found = durable(hunks.line_hunks(pairs).withColumnRenamed("id", "file"), "hunks")
+    return hunks.hunk_overlap(found, links.select("file", "uuid", F.col("ln").alias("first"), F.col("ln").alias("last")))
 
 
 FIXES = f"""{DOC_STATES}, cur AS (SELECT * FROM dr WHERE there), fx AS (
