@@ -30,25 +30,30 @@ def detect_moved(missing: DataFrame, sources: DataFrame) -> DataFrame:
 
 def detect_moved_similar(missing: DataFrame, added: DataFrame, threshold: float = 0.5) -> DataFrame:
     """missing (uuid, text), added (file, text): for each missing one the added file with the most similar set of lines (Jaccard) from the threshold
-    on. Equal sets fold into one first. A set's lines are ordered by how many sets have them; two sets that are similar share one of so
-    many of their rarest lines that they meet by these alone, so that a line which many files have makes no pairs. Pairs whose sizes
-    allow it are compared on their whole sets."""
+    on. Equal sets fold into one first. Of the added files only lines that a missing one has are looked at further. A missing set's lines are ordered by how
+    many added sets have them; an added set that is similar has one of so many of its rarest lines that they meet by these alone, so that a line which many
+    files have makes no pairs. Pairs whose sizes allow it are compared on their whole sets."""
     least = threshold - 1e-6  # similarities are rounded
     lines = F.array_sort(F.array_distinct(F.transform(F.split("text", "\n"), lambda x: F.xxhash64(x))))
-    sid = F.struct(F.xxhash64("ls").alias("a"), F.hash("ls").alias("b"))
-    rows = missing.select(F.lit(0).alias("side"), F.col("uuid").alias("name"), lines.alias("ls")).union(added.select(F.lit(1), "file", lines)).withColumn("sid", sid)
-    sets = durable(rows.groupBy("side", "sid").agg(F.min("name").alias("name"), F.first("ls").alias("ls")), "line-sets")
-    posts = sets.select("side", "sid", F.size("ls").alias("n"), F.explode("ls").alias("h"))
-    held = posts.groupBy("h").agg(F.count("*").alias("sets"), F.countDistinct("side").alias("sides"))
-    ranked = posts.join(held, "h").withColumn("pos", F.row_number().over(Window.partitionBy("side", "sid").orderBy("sets", "h")) - 1)
-    prefix = durable(ranked.filter((F.col("sides") == 2) & (F.col("pos") <= F.col("n") - F.ceil(least * F.col("n")))).select("side", "sid", "n", "h"), "line-prefixes")
-    of = lambda side, s: prefix.filter(F.col("side") == side).select(F.col("sid").alias(s), F.col("n").alias("n" + s), "h")
-    met = of(0, "x").join(of(1, "y"), "h").filter((F.col("nx") >= least * F.col("ny")) & (F.col("ny") >= least * F.col("nx"))).select("x", "y").distinct()
-    side = lambda k, s: sets.filter(F.col("side") == k).select(F.col("sid").alias(s), F.col("ls").alias("l" + s), F.col("name").alias("name" + s))
-    both = met.join(side(0, "x"), "x").join(side(1, "y"), "y").withColumn("common", F.size(F.array_intersect("lx", "ly")))
-    j = F.round(F.col("common") / (F.size("lx") + F.size("ly") - F.col("common")), 6)
-    best = both.withColumn("similarity", j).filter(F.col("similarity") >= threshold).groupBy("x").agg(F.min_by(F.struct(F.col("namey").alias("file"), "similarity"), F.struct(-F.col("similarity"), F.col("namey"))).alias("b"))
-    members = rows.filter("side = 0").select(F.col("name").alias("uuid"), F.col("sid").alias("x"))
+
+    def named(df: DataFrame, name: str) -> DataFrame:
+        return df.select(F.col(name).alias("name"), lines.alias("ls")).withColumn("sid", F.struct(F.xxhash64("ls").alias("a"), F.hash("ls").alias("b")))
+
+    def sets(df: DataFrame, name: str, s: str) -> DataFrame:
+        folded = named(df, name).groupBy("sid").agg(F.min("name").alias("name"), F.first("ls").alias("ls"))
+        return durable(folded.select(F.col("sid").alias(s), F.col("name").alias(f"name{s}"), F.col("ls").alias(f"l{s}"), F.size("ls").alias(f"n{s}")), f"line-sets-{s}")
+
+    x, y = sets(missing, "uuid", "x"), sets(added, "file", "y")
+    asked = x.select("x", "nx", F.explode("lx").alias("h"))
+    there = durable(y.select("y", "ny", F.explode("ly").alias("h")).join(asked.select("h").distinct(), "h", "left_semi"), "shared-lines")
+    held = there.groupBy("h").agg(F.count("*").alias("sets"))
+    order = Window.partitionBy("x").orderBy(F.coalesce("sets", F.lit(0)), "h")
+    prefix = asked.join(held, "h", "left").withColumn("pos", F.row_number().over(order) - 1).filter(F.col("sets").isNotNull() & (F.col("pos") <= F.col("nx") - F.ceil(least * F.col("nx"))))
+    met = prefix.select("x", "nx", "h").join(there, "h").filter((F.col("nx") >= least * F.col("ny")) & (F.col("ny") >= least * F.col("nx"))).select("x", "y").distinct()
+    both = met.join(x.drop("namex"), "x").join(y, "y").withColumn("common", F.size(F.array_intersect("lx", "ly")))
+    j = F.round(F.col("common") / (F.col("nx") + F.col("ny") - F.col("common")), 6)
+    best = both.select("x", "namey", j.alias("similarity")).filter(F.col("similarity") >= threshold).groupBy("x").agg(F.min_by(F.struct(F.col("namey").alias("file"), "similarity"), F.struct(-F.col("similarity"), F.col("namey"))).alias("b"))
+    members = named(missing, "uuid").select(F.col("name").alias("uuid"), F.col("sid").alias("x"))
     return members.join(best, "x").select("uuid", F.col("b.file").alias("new_file"), F.col("b.similarity").alias("similarity"))
 
 

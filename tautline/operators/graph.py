@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tautline.functions import text as T
+from tautline.functions.durable import durable
 from tautline.operators.check import rank, worst_state
 from tautline.operators.closure import closure
 from tautline.operators.ranges import spans_overlapping
@@ -33,11 +34,40 @@ def graph_starts(selectors: DataFrame, endpoints: DataFrame) -> DataFrame:
     return root.union(whole).union(by_id).union(by_file).distinct()
 
 
+#: Edges of a chain up to which it is walked within a row.
+WALK = 256
+
+
+def _walked(edges: Column, start: Column, steps: Column) -> Column:
+    """Array of (node, depth) of what is reached from start along an array of (src, dst) in so many steps."""
+    reached = lambda nodes, depth: F.transform(nodes, lambda x: F.struct(x.alias("node"), depth.cast("int").alias("depth")))
+
+    def step(acc: Column, depth: Column) -> Column:
+        known = F.transform(acc["seen"], lambda s: s["node"])
+        front = F.array_distinct(F.array_except(F.transform(F.filter(edges, lambda e: F.array_contains(acc["front"], e["src"])), lambda e: e["dst"]), known))
+        return F.when(F.size(acc["front"]) == 0, acc).otherwise(F.struct(F.concat(acc["seen"], reached(front, depth)).alias("seen"), front.alias("front")))
+
+    zero = F.struct(reached(F.array(start), F.lit(0)).alias("seen"), F.array(start).alias("front"))
+    return F.aggregate(F.when(steps > 0, F.sequence(F.lit(1), steps)).otherwise(F.array().cast("array<int>")), zero, step, lambda acc: acc["seen"])
+
+
 def graph_traverse(starts: DataFrame, adjacency: DataFrame, max_depth: int | None = None) -> DataFrame:
-    """starts (uuid, layer) -> root, uuid, layer, depth of every record within max_depth steps (none: any number) of each start."""
-    edges = adjacency.select(node_id().alias("src"), node_id("uuid", "to_layer").alias("dst"))
-    got = closure(starts.select(node_id().alias("root"), node_id().alias("node")), edges, max_depth)
-    return got.select("root", F.substring_index("node", "@", 1).alias("uuid"), F.substring_index("node", "@", -1).alias("layer"), "depth")
+    """starts (uuid, layer) -> root, uuid, layer, depth of every record within max_depth steps (none: any number) of each start. Edges stay within a uuid: a
+    chain of up to WALK of them is walked within its row; longer ones go step by step through closure()."""
+    counts = durable(adjacency.groupBy("uuid").agg(F.count("*").alias("n")), "chains")
+    few = adjacency.join(counts.filter(F.col("n") <= WALK), "uuid", "left_semi")
+    chains = few.groupBy("uuid").agg(F.collect_list(F.struct(F.col("layer").alias("src"), F.col("to_layer").alias("dst"))).alias("edges"))
+    s = starts.select("uuid", "layer").distinct().join(counts, "uuid", "left").join(chains, "uuid", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    steps = F.col("n").cast("int") if max_depth is None else F.least(F.col("n").cast("int"), F.lit(max_depth))
+    none = F.array().cast("array<struct<src:string,dst:string>>")
+    short = s.filter(F.col("n") <= WALK).select(node_id().alias("root"), "uuid", F.explode(_walked(F.coalesce("edges", none), F.col("layer"), steps)).alias("r")).select("root", "uuid", F.col("r.node").alias("layer"), F.col("r.depth").alias("depth"))
+    long = counts.filter(F.col("n") > WALK).select("uuid")
+    if long.isEmpty():
+        return short
+    edges = adjacency.join(long, "uuid", "left_semi").select(node_id().alias("src"), node_id("uuid", "to_layer").alias("dst"))
+    first = starts.join(long, "uuid", "left_semi")
+    got = closure(first.select(node_id().alias("root"), node_id().alias("node")), edges, max_depth)
+    return short.unionByName(got.select("root", F.substring_index("node", "@", 1).alias("uuid"), F.substring_index("node", "@", -1).alias("layer"), "depth"))
 
 
 def graph_flat(reached: DataFrame, records: DataFrame, states: DataFrame) -> DataFrame:

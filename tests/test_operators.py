@@ -231,3 +231,32 @@ def test_elements_nest(spark):
     assert {n: d for n, d, _ in got if n in ("html", "body", "article", "h1", "b")} == {"html": 0, "body": 1, "article": 2, "h1": 3, "b": 4}
     assert ("p", 4, "one<br>two") in got and ("section", 5, "<P>in</P>") in got  # the open <p> before it ends with the last </p>
     assert fragments.elements(src).filter("file <> 'p.html'").count() == 0
+
+
+def test_short_and_long_chains_are_walked_alike(spark, monkeypatch):
+    edges = [("u", "a", "b"), ("u", "b", "a"), ("u", "b", "c"), ("u", "c", "d"), ("u", "a", "c"), ("v", "x", "x"), ("w", "p", "q")]
+    adjacency = spark.createDataFrame(edges, "uuid string, layer string, to_layer string")
+    starts = spark.createDataFrame([("u", "a"), ("u", "d"), ("v", "x"), ("none", "z"), ("u", "a")], "uuid string, layer string")
+    whole = {("u@a", "u", "a", 0), ("u@a", "u", "b", 1), ("u@a", "u", "c", 1), ("u@a", "u", "d", 2), ("u@d", "u", "d", 0), ("v@x", "v", "x", 0), ("none@z", "none", "z", 0)}
+    for walk in (256, 2, 0):
+        monkeypatch.setattr(graph, "WALK", walk)
+        rows = [tuple(r) for r in graph.graph_traverse(starts, adjacency).select("root", "uuid", "layer", "depth").collect()]
+        assert set(rows) == whole and len(rows) == len(whole), walk
+        assert {tuple(r) for r in graph.graph_traverse(starts, adjacency, 1).select("root", "uuid", "layer", "depth").collect()} == {x for x in whole if x[3] <= 1}
+
+
+def test_similar_files_match_brute_force(spark):
+    import random
+
+    rnd = random.Random(7)
+    text = lambda: "\n".join(str(rnd.randrange(14)) for _ in range(rnd.randrange(1, 9)))
+    missing, added = [(f"u{k}", text()) for k in range(40)], [(f"f{k:02}", text()) for k in range(60)]
+    missing += [("copy", missing[0][1]), ("empty", "")]
+    want = {}
+    for u, t in missing:
+        a = set(t.split("\n"))
+        best = min((-round(len(a & b) / len(a | b), 6), f) for f, x in added for b in [set(x.split("\n"))])
+        if -best[0] >= 0.5:
+            want[u] = best[1], -best[0]
+    got = detect.detect_moved_similar(spark.createDataFrame(missing, "uuid string, text string"), spark.createDataFrame(added, "file string, text string"))
+    assert {r.uuid: (r.new_file, r.similarity) for r in got.collect()} == want and len(want) > 10
