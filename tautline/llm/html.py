@@ -2,10 +2,12 @@
 
 Markup is stripped into lines, one for each block of the page that has text. What stands in menus, headers, footers, sidebars,
 notices, adverts, forms, scripts, styles or reader comments is stripped with it and leaves an empty line (inside an
-article nothing); the bounds of <article> and <main> leave WINDOW of them. A line weighs its characters outside of links,
-inside <article> and <main> ARTICLE times as much. The weights are summed over sliding windows of WINDOW lines. Text surges
+article nothing); the bounds of <article> and <main>, and of parts inside them whose class or id is doubtful (a word that an article's own sections
+bear as well), leave WINDOW of them. A line weighs its characters outside of links, inside <article> and <main> ARTICLE times as much, links
+included. The weights are summed over sliding windows of WINDOW lines. Text surges
 where a sum passes SHARE of the page's largest sum, and dives where the sums fall to nothing, that is, in WINDOW lines without
-text of their own; what stands between the dives around a surge is kept, from the first line with weight to the last.
+text of their own; what stands between the dives around a surge is kept, from the first line with weight to the last, with the rest of its article.
+So the sums decide which parts of a page without <main> are its text, and which doubtful parts of an article belong to it.
 
 Defined results: a null or empty page has the empty text; a page without text as well; a null page_id or url
 passes through; repeated rows come out as often as they went in; extra columns are not read; an unclosed element ends with the
@@ -16,6 +18,7 @@ length are read whole, in time proportional to their length; an empty table give
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 
@@ -48,6 +51,9 @@ MARKS = frozenset(
     "social share sharing related recommended newsletter subscribe subscription signup login search pagination pager toolbar widget widgets complementary contentinfo".split()
 )
 OUTSIDE = frozenset("header masthead".split())
+#: Words of these that also name parts of an article: inside one the window sums decide on such a part.
+DOUBTFUL = frozenset("ad ads alert banner banners consent discussion menu menus navigation notice notices overlay popup promotion related replies reply search sharing social subscription widget widgets".split())
+TAG = re.compile(r"(?i)<(/?)([a-z][^\s/>]*)")
 TOKEN = re.compile(rf"(?is)<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<({RAW})\b(?>[^>\"']|\"[^\"]*\"|'[^']*')*+(?:/>|>.*?(?:</\1\s*>|\Z))|<(/?)([a-z][^\s/>]*+)((?>[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<[/a-z][^>]*(?:>|\Z)")
 ATTRIBUTE = re.compile(r"""(?i)(?:^|\s)(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
 
@@ -57,10 +63,15 @@ def marks(attributes: str) -> set[str]:
 
 
 class Page:
-    """The lines of a page: text, characters outside of links without blanks, whether inside the article."""
+    """The lines of a page: text, its characters without blanks and those of them outside of links, where it stands (0: elsewhere, 1: in an article, 2: in the
+    main part), whether in a doubtful part of it, the number of its outermost article. Empty lines are gaps between parts."""
 
     def __init__(self, html: str):
-        self.lines: list[tuple[str, int, bool]] = []
+        self.lines: list[tuple[str, int, int, int, bool, int]] = []
+        counts = Counter((m[2].lower(), m[1]) for m in TAG.finditer(html))
+        self.left_open = {name for name, end in counts if not end and counts[name, ""] > counts[name, "/"]}
+        self.doubts: list[int] = []  # how many elements were open at each doubtful part
+        self.article = 0
         self.parts: list[str] = []
         self.linked: list[str] = []
         self.open: list[str] = []  # elements that are open
@@ -86,15 +97,20 @@ class Page:
         text = " ".join(unescape("".join(self.parts)).split())
         if text:
             solid = lambda x: len("".join(unescape("".join(x)).split()))
-            self.lines.append((text, solid(self.parts) - solid(self.linked), bool(self.articles)))
+            place = 2 if "main" in self.open else 1 if self.articles else 0
+            self.lines.append((text, solid(self.parts), solid(self.parts) - solid(self.linked), place, bool(self.doubts), self.article))
         self.parts, self.linked = [], []
 
     def gap(self, lines: int) -> None:
         self.flush()
-        self.lines += [("", 0, False)] * lines
+        self.lines += [("", 0, 0, 0, False, 0)] * lines
 
     def cut(self, size: int) -> None:
         """Closes elements until `size` are open."""
+        if self.doubts and self.doubts[-1] >= size:
+            self.gap(WINDOW)
+            while self.doubts and self.doubts[-1] >= size:
+                self.doubts.pop()
         del self.open[size:]
         if self.skip > size:
             self.skip = 0
@@ -124,18 +140,25 @@ class Page:
         if name in BLOCK or name in ASIDE:
             self.open.append(name)
         if self.skip:
-            if name in MAIN and self.open[self.skip - 1] not in MAIN:  # an article never stands inside what was left open
+            around = self.open[self.skip - 1]
+            if name in MAIN and around not in MAIN and around in self.left_open:  # an article never stands inside what was left open
                 self.open[self.skip - 1 :] = [name]
                 self.skip = 0
             else:
                 return
         words = marks(attributes) if name in CONTAINERS else set()
+        if self.articles and name not in ASIDE and words & MARKS and words & MARKS <= DOUBTFUL:
+            if not self.doubts:
+                self.gap(WINDOW)
+            self.doubts.append(len(self.open) - 1)
+            words = set()
         if name in ASIDE or name == "header" and not self.articles or words & MARKS or words & OUTSIDE and not self.articles and name not in MAIN:
             self.skip = len(self.open)
             if not self.articles and name in BLOCK:
                 self.gap(1)
         elif name in MAIN:
             self.gap(WINDOW)
+            self.article += not self.articles
             self.articles.append(len(self.open) - 1)
 
     def end(self, name: str, _: str) -> None:
@@ -166,11 +189,23 @@ def kept_lines(weights: list[int]) -> list[tuple[int, int]]:
     return [(int(heavy[first[k]]), int(heavy[last[k]])) for k in np.flatnonzero(surging)]
 
 
+def weights(lines: list[tuple[str, int, int, int, bool, int]]) -> list[int]:
+    """What each line counts in the window sums: its characters outside of links; inside the main part, or an article where the page names no main part,
+    ARTICLE-fold, and all of its characters but in a doubtful part."""
+    place = 2 if any(x[3] == 2 for x in lines) else 1
+    return [x[2] if x[3] < place else ARTICLE * (x[2] if x[4] else x[1]) for x in lines]
+
+
 def main_text(html: str | None) -> str:
+    """The lines from surge to dive; and of an article with such a line, and of the main part, every line that isn't in a doubtful part, so that the sums
+    cut nothing out of what the page itself calls its article."""
     if not html:
         return ""
     lines = Page(html).lines
-    return "\n".join(lines[i][0] for a, b in kept_lines([x[1] * (ARTICLE if x[2] else 1) for x in lines]) for i in range(a, b + 1) if lines[i][0])
+    keep = {i for a, b in kept_lines(weights(lines)) for i in range(a, b + 1)}
+    surged = {lines[i][5] for i in keep if lines[i][3] == 1}
+    keep |= {i for i, x in enumerate(lines) if not x[4] and (x[3] == 2 or x[3] == 1 and x[5] in surged)}
+    return "\n".join(lines[i][0] for i in sorted(keep) if lines[i][0])
 
 
 def extract(pages: DataFrame, html: str = "html") -> DataFrame:

@@ -212,3 +212,53 @@ def test_empty_tables(spark):
     assert html.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
     assert secrets.secret_scan(spark.createDataFrame([], "doc_id long, text string, lang string, source string")).count() == 0
     assert pii.personal_data(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+LONG = "long words here and more of them to read in this paragraph " * 6
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        (f"<article><h1><a href=/x>Title</a></h1><p>{LONG}</p><p><a href=b>By X</a></p></article>", ["Title", LONG, "By X"]),
+        (f"<article><p>{LONG}</p><ul><li><a href=1>one</a><li><a href=2>two</a><li><a href=3>three</a></ul><p>The end.</p></article>", [LONG, "one", "two", "three", "The end."]),
+        (f"<article><p>{LONG}</p><section id='discussion'><h2>Talk</h2><p>{LONG}</p></section><section id='related-work'><p>{LONG}</p></section><div class='ad'>Buy</div><p>End</p></article>", [LONG, "Talk", LONG, LONG, "End"]),
+        (f"<article><p>{LONG}</p></article><section class='comments'><article><p>{LONG} comment</p></article></section>", [LONG]),
+        (f"<article><p>{LONG}</p><div class='comments'><p>{LONG} comment</p></div><ul class='menu'><li><a href=1>{LONG}</a></ul></article>", [LONG]),
+        (f"<main><article>short</article><article>{LONG}</article></main>", ["short", LONG]),
+        (f"<div><article><p>{LONG}</p></article><aside><article><p>teaser {LONG}</p></article></aside></div>", [LONG]),
+        (f"<nav><ul><li><a href=1>Menu</a><article><h1>T</h1><p>{LONG}</p></article>", ["T", LONG]),
+        (f"<div>A b c</div><div><a href=1>x</a></div><hr><ul><li><a>1</a><li><a>2</a><li><a>3</a></ul><p>{LONG}</p><p>tail</p>", [LONG, "tail"]),
+    ],
+)
+def test_pages_lose_nothing_of_their_article(page, text):
+    assert html.main_text(page).split("\n") == [x.strip() for x in text]
+
+
+def test_the_sums_decide_where_a_page_does_not_say():
+    """On pages without <main>, and for doubtful parts, other weights give another text."""
+    rnd = np.random.default_rng(3)
+    changed = 0
+    for _ in range(40):
+        blocks = [f"<p>{'word ' * int(rnd.integers(1, 60))}</p>" if rnd.random() < 0.5 else f"<p><a href=x>{'link ' * int(rnd.integers(1, 9))}</a></p>" * int(rnd.integers(1, 5)) for _ in range(12)]
+        page = f"<div>{''.join(blocks)}</div>"
+        lines = html.Page(page).lines
+        w = [x[2] for x in lines]
+        # surge and dive once more, line by line
+        sums = [sum(w[k : k + html.WINDOW]) for k in range(len(w))]
+        most = max(sums)
+        heavy = [k for k, x in enumerate(w) if x]
+        parts, keep = [], set()
+        for k in heavy:
+            if parts and k - parts[-1][-1] <= html.WINDOW:
+                parts[-1].append(k)
+            else:
+                parts.append([k])
+        for p in parts:
+            if any(sums[k] > html.SHARE * most for k in p):
+                keep |= set(range(p[0], p[-1] + 1))
+        want = "\n".join(x[0] for k, x in enumerate(lines) if k in keep and x[0])
+        full = "\n".join(x[0] for x in lines if x[0])
+        changed += want != full
+        assert html.main_text(page) == want
+    assert changed > 20
