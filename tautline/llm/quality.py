@@ -79,7 +79,7 @@ def repeated_words(w: Column, size: int = 3) -> Column:
 
 
 def quality_metrics(docs: DataFrame, text: str = "text", stop_words: Sequence[str] = tuple(STOP_WORDS)) -> DataFrame:
-    """docs with the columns of METRICS (long)."""
+    """docs with the columns of METRICS (long); columns of docs with these names, or those of quality_rules(), in any case, are replaced."""
     t = F.coalesce(F.col(f"`{text}`"), F.lit(""))
 
     def of_words(w: Column) -> Column:
@@ -95,7 +95,7 @@ def quality_metrics(docs: DataFrame, text: str = "text", stop_words: Sequence[st
             F.size(F.filter(x, lambda y: F.rtrim(y).endswith("...") | F.rtrim(y).endswith("…"))).alias("n_ellipsis_lines"),
         )
 
-    keep = [c for c in docs.columns if c not in METRICS]
+    keep = [c for c in docs.columns if c.lower() not in {*METRICS, "base_failed", "kept"}]  # Spark's names have no case
     row = F.struct(*[F.col(f"`{c}`") for c in keep])  # names of docs' columns can't clash with those below
     measured = docs.select(row.alias("row"), let(words(t), of_words).alias("w"), let(lines_with_words(t), of_lines).alias("l"), (F.size(F.split(t, SYMBOLS)) - 1).alias("s"))
     at = {"n_symbols": "s"} | {c: "w." + c for c in ("n_words", "word_chars", "n_repeat_words", "n_stop")}

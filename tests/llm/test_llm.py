@@ -61,6 +61,10 @@ def test_quality_keeps_columns(docs, empty):
     assert quality.keep_good(docs).columns == docs.columns
     clash = docs.selectExpr("*", "1 as n_words", "2 as _w")
     assert quality.quality_rules(clash).count() == clash.count()
+    clash = docs.selectExpr("*", "'a' as N_WORDS", "'b' as Kept", "'c' as Base_Failed", "'d' as N_Lines")
+    plain = {(r.doc_id, r.text): (r.n_words, r.kept) for r in quality.quality_rules(docs).collect()}
+    assert {(r.doc_id, r.text): (r.n_words, r.kept) for r in quality.quality_rules(clash).collect()} == plain
+    assert quality.keep_good(clash).columns == clash.columns
     assert quality.quality_rules(empty).count() == 0
 
 
