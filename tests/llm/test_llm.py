@@ -387,29 +387,68 @@ def plain_groups(texts):
     return {k: texts[k] for k in ids if top(k) == k}
 
 
+def plain_first_of_each(texts):
+    """Texts whose sets of five-word shingles have a Jaccard similarity of 0.8 are linked; of what is connected the first stays."""
+    sets = {k: shingle_set(t) for k, t in texts.items()}
+    group, holders = {k: k for k in sets}, collections.defaultdict(list)
+
+    def top(k):
+        while group[k] != k:
+            k = group[k]
+        return k
+
+    for k in sorted(sets):
+        common = collections.Counter(x for g in sets[k] for x in holders[g])
+        near = [x for x, n in common.items() if 5 * n >= 4 * (len(sets[k]) + len(sets[x]) - n)] if sets[k] else holders[None]
+        for x in near:
+            u, v = sorted((top(x), top(k)))
+            group[v] = u
+        for g in sets[k] or [None]:
+            holders[g].append(k)
+    return {k: t for k, t in texts.items() if top(k) == k}
+
+
 def plain_clean(texts, items):
+    """Texts without a window of an item's length that is similar to it; items of under five words are looked for as they are."""
     cut = lambda t: t.encode().lower().decode()
     shingles = lambda w: collections.Counter(tuple(w[k : k + 5]) for k in range(len(w) - 4))
-    known = [(len(w), shingles(w)) for w in (WORDS.findall(cut(t)) for t in items) if len(w) >= 5]
+    words = [w for w in (WORDS.findall(cut(t)) for t in items) if w]
+    known, short = [(len(w), shingles(w)) for w in words if len(w) >= 5], [w for w in words if len(w) < 5]
     out = {}
     for i, t in texts.items():
         w = WORDS.findall(cut(t))
         grams = {tuple(w[k : k + 5]) for k in range(len(w) - 4)}
         near = [(n, c) for n, c in known if len(grams & set(c)) >= 0.5 * len(c)]
-        if not any(sum((x & c).values()) >= 0.8 * sum((x | c).values()) for n, c in near for a in range(len(w) - n + 1) for x in [shingles(w[a : a + n])]):
+        hit = any(sum((x & c).values()) >= 0.8 * sum((x | c).values()) for n, c in near for a in range(len(w) - n + 1) for x in [shingles(w[a : a + n])])
+        if not hit and not any(w[a : a + len(x)] == x for x in short for a in range(len(w) - len(x) + 1)):
             out[i] = t
     return out
 
 
-def test_pipeline_against_a_plain_version(spark):
+def test_pipeline_against_a_plain_version(spark, tmp_path):
+    """Every stage by its own rule, on the smallest table with near copies planted that line dedup leaves (their lines have other sets of words) and links by
+    fingerprints don't find."""
     import corpus_pipeline
 
-    d = "/root/testdata/sf0.001"
-    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{d}/documents.parquet").collect()}
-    items = [r.text for r in spark.read.parquet(f"{d}/benchmark.parquet").collect()]
-    want = plain_clean(plain_groups(plain_lines({k: t for k, t in texts.items() if plain_kept(t)})), items)
+    given = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rnd, planted = np.random.default_rng(21), []
+    for k in range(20):
+        vocabulary = [*"the of and to in is that it for was with as on be at by".split(), *[f"longer{k}x{i}" for i in range(14)]]
+        w = [vocabulary[i] for i in rnd.integers(0, len(vocabulary), 300)]
+        at = int(rnd.integers(20, 280))
+        copy = w[:at] + [f"fresh{k}y{i}" for i in range(10)] + w[at:]
+        planted += [(90_000 + 2 * k, " ".join(w), "en", "planted", 0), (90_001 + 2 * k, " ".join(copy), "en", "planted", 0)]
+    given.unionByName(spark.createDataFrame(planted, SCHEMA)).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet").write.parquet(f"{tmp_path}/benchmark.parquet")
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{tmp_path}/documents.parquet").collect()}
+    items = [r.text for r in spark.read.parquet(f"{tmp_path}/benchmark.parquet").collect()]
+    lined = plain_lines({k: t for k, t in texts.items() if plain_kept(t)})
+    one, by_bits = plain_first_of_each(lined), plain_groups(lined)
+    assert sum(k % 2 for k in lined if k >= 90_000) == 20 and not any(k % 2 for k in one if k >= 90_000) and sum(k % 2 for k in by_bits if k >= 90_000) > 5
+    want = plain_clean(one, items)
+    assert len(want) < len(one) < len(lined) < len(texts)
     _encoder()
-    got = {r.doc_id: np.frombuffer(bytes(r.ids), "<u4").tolist() for r in corpus_pipeline.run(spark, d).collect()}
+    got = {r.doc_id: np.frombuffer(bytes(r.ids), "<u4").tolist() for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
     assert got == {k: LIBRARY.encode(t, add_special_tokens=False).ids for k, t in want.items()}
 
 
