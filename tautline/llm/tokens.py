@@ -17,7 +17,6 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,8 +28,8 @@ from tautline.llm.pretokens import SPACE, encode_pretokens, load_pieces, piece_p
 FREQUENT, CACHED, LONG = 65_536, 500_000, 64
 #: Documents of the sample, those of their pre-tokens (the most frequent of each document) that count, files that the sample is taken from.
 SAMPLE, OF_EACH, FILES = 5_000, 500, 16
-#: Rows whose texts are held as Python strings at once.
-ROWS = 256
+#: Rows whose texts are held as Python strings at once, and rows of a batch that a task returns.
+ROWS, BATCH = 256, 10_000
 #: The limit of the query.
 LIMIT = 4096
 
@@ -46,16 +45,19 @@ def frequent_pretokens(sample: DataFrame, text: str = "text") -> list[str]:
     """The FREQUENT pre-tokens that most of the sampled documents hold. Each task counts its own documents; the driver adds up, which are
     OF_EACH pre-tokens of LONG characters for each sampled document at most."""
 
-    def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
         for x in batches:
-            for t in x["text"]:
-                if t:
-                    seen.update([w for w, _ in Counter(w for w in pretokens(t.replace(SPACE, " ")) if len(w) <= LONG).most_common(OF_EACH)])
-        yield pd.DataFrame({"w": list(seen.keys()), "n": list(seen.values())})
+            for k in range(0, len(x), ROWS):
+                for t in x["text"].slice(k, ROWS).to_pylist():
+                    if t:
+                        seen.update([w for w, _ in Counter(w for w in pretokens(t.replace(SPACE, " ")) if len(w) <= LONG).most_common(OF_EACH)])
+        words, counts = list(seen.keys()), list(seen.values())
+        for k in range(0, len(words), BATCH):
+            yield pa.RecordBatch.from_arrays([pa.array(words[k : k + BATCH], pa.string()), pa.array(counts[k : k + BATCH], pa.int64())], ["w", "n"])
 
     total: Counter = Counter()
-    for batch in sample.select(column(text).alias("text")).mapInPandas(of, "w string, n long").toArrow().to_batches():
+    for batch in sample.select(column(text).alias("text")).mapInArrow(of, "w string, n long").toArrow().to_batches():
         for w, n in zip(batch["w"].to_pylist(), batch["n"].to_pylist(), strict=True):
             total[w] += n
     return [w for w, _ in sorted(total.items(), key=lambda x: (-x[1], x[0]))[:FREQUENT]]

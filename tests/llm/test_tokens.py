@@ -137,6 +137,12 @@ def test_token_counts(spark, docs, models):
     assert {k: (r.n_bytes, r.n_tokens, r.over_limit) for k, r in got.items()} == {k: (len(t.encode()), n, n > 4096) for k, t in texts.items() for n in [len(models[1].encode(t))]}
 
 
+def test_the_sample_comes_back_in_small_batches(docs, monkeypatch):
+    whole = tokens.frequent_pretokens(docs)
+    monkeypatch.setattr(tokens, "BATCH", 3)
+    assert tokens.frequent_pretokens(docs) == whole and len(whole) > 20
+
+
 def test_token_counts_without_room_for_a_cache(models, monkeypatch):
     counter = tokens.TokenCounter(pretokens.read_file(pretokens.piece_path()), {" The": 1})
     monkeypatch.setattr(tokens, "CACHED", 3)
