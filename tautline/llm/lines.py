@@ -44,7 +44,7 @@ HASH_BITS = 55
 #: A word with more than one in so many of all words is dealt by line; parts in which such words are joined.
 LISTS, SALTS = 1024, 8
 #: Sets of more words have a longer signature.
-LONG = 48
+LONG = 96
 #: One in so many words, by hash, is compared before all of them are.
 PART = 4
 
