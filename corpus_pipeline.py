@@ -2,6 +2,12 @@
 
 Every stage takes (spark, docs, sf_dir) and works on all that its predecessor kept. All but the last return the columns of
 documents. BPE can't be expressed in SQL, so the pipeline has none; tests hold it against a plain version.
+
+Defined results: documents with a null or empty text fail the quality rules and go; a null doc_id stays and stands before all
+others wherever order decides; rows that share doc_id and text come out of the near-duplicate stage once, different texts of one
+doc_id follow each other in the order of their hash; a document that loses all its lines stays with an empty text, and of several
+such documents the first stays; very long texts are judged, compared and encoded whole; an empty `documents` gives no rows, an
+empty `benchmark` removes nothing; extra columns of any name pass every stage but the last, which returns its own columns.
 """
 
 from __future__ import annotations
