@@ -42,3 +42,12 @@ def test_health_of_many_roots_is_joined_without_the_driver(spark):
     calls, states = spark.createDataFrame([("a", "b")], "caller string, callee string"), spark.createDataFrame([("a", "OK"), ("b", "ALTERED"), ("c", "OK")], "symbol string, state string")
     df = symbols.subgraph_health(roots, calls, states)
     assert {r.root: r.healthy for r in df.collect()} == {"a": False, "b": False, "c": True} and "Broadcast" not in plan(df)
+
+
+def test_spans_of_callables_are_streamed_to_the_join(spark):
+    defs = spark.createDataFrame([("a/fn().", "f", 0, 900), ("b/fn().", "f", 100, 200), ("c/T#", "f", 100, 150)], "symbol string, file string, body_start long, body_end long")
+    spans = spark.createDataFrame([("f", 110, 120)] * 3 + [("f", 300, 310), ("f", 2000, 2010)], "file string, start long, end long")
+    df = symbols.callable_at(spans, defs)
+    assert sorted(tuple(r) for r in df.collect()) == [("f", 110, 120, "b/fn()."), ("f", 300, 310, "a/fn().")]
+    # nothing is sorted or gathered before the join
+    assert "ShuffledHashJoin" in plan(df) and not any(x in plan(df) for x in ("Broadcast", "SortMergeJoin"))
