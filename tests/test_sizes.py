@@ -2,7 +2,8 @@
 
 import pytest
 
-from tautline.operators import fragments, ranges, symbols
+from tautline.functions.durable import durable
+from tautline.operators import detect, fragments, ranges, symbols
 from tautline.operators.sized import sized
 
 
@@ -51,3 +52,14 @@ def test_spans_of_callables_are_streamed_to_the_join(spark):
     assert sorted(tuple(r) for r in df.collect()) == [("f", 110, 120, "b/fn()."), ("f", 300, 310, "a/fn().")]
     # nothing is sorted or gathered before the join
     assert "ShuffledHashJoin" in plan(df) and not any(x in plan(df) for x in ("Broadcast", "SortMergeJoin"))
+
+
+def test_versions_of_callees_are_worked_out_once(spark, monkeypatch):
+    versions = spark.createDataFrame([(".", "f.rs", 1, "fn a() {\n}\n")], "layer string, file string, seq long, text string")
+    asked = spark.createDataFrame([("a", ".", "f.rs", "a", 1)], "symbol string, layer string, file string, name string, accepted_seq long")
+    src = versions.selectExpr("layer", "file", "'rust' as lang", "cast(octet_length(text) as long) as n_bytes", "text")
+    written = []
+    monkeypatch.setattr(detect, "durable", lambda df, name: written.append((name, plan(df).count("Window"))) or durable(df, name))
+    df = detect.callee_diff(asked, versions, src, ["declaration"])
+    assert [tuple(r) for r in df.collect()] == [("a", "OK")] and "Window" not in plan(df) and "Broadcast" not in plan(df)
+    assert [n for n, windows in written if windows] == ["callees-then"]
