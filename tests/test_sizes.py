@@ -3,7 +3,7 @@
 import pytest
 
 from tautline.functions.durable import durable
-from tautline.operators import detect, fragments, ranges, symbols
+from tautline.operators import asof, detect, fragments, ranges, symbols
 from tautline.operators.sized import sized
 
 
@@ -63,3 +63,8 @@ def test_versions_of_callees_are_worked_out_once(spark, monkeypatch):
     df = detect.callee_diff(asked, versions, src, ["declaration"])
     assert [tuple(r) for r in df.collect()] == [("a", "OK")] and "Window" not in plan(df) and "Broadcast" not in plan(df)
     assert [n for n, windows in written if windows] == ["callees-then"]
+
+
+def test_versions_are_carried_on_without_a_broadcast(spark):
+    v, r = spark.createDataFrame([("a", 1, "x")], "f string, seq long, name string"), spark.createDataFrame([("a", 2)], "f string, at long")
+    assert "Broadcast" not in plan(asof.as_of(r, v, ["f"], "at", "seq", ["name"]))
