@@ -68,3 +68,27 @@ def test_versions_of_callees_are_worked_out_once(spark, monkeypatch):
 def test_versions_are_carried_on_without_a_broadcast(spark):
     v, r = spark.createDataFrame([("a", 1, "x")], "f string, seq long, name string"), spark.createDataFrame([("a", 2)], "f string, at long")
     assert "Broadcast" not in plan(asof.as_of(r, v, ["f"], "at", "seq", ["name"]))
+
+
+def test_named_lines_are_those_of_the_table(spark):
+    src = spark.createDataFrame([(".", "f", "text", "a\n\né\na"), (".", "g", "text", ""), (".", "h", "text", None), (".", "r.rs", "rust", "fn a() {\n}\n")], "layer string, file string, lang string, text string").selectExpr("*", "cast(octet_length(text) as long) as n_bytes")
+    names = [("f", "line", n) for n in ("L1", "L3", "L4", "L5", "L0", "L03", "XL1", "L99999999999")] + [("g", "line", "L1"), ("g", "line", "L2"), ("h", "line", "L1"), ("none", "line", "L1"), ("r.rs", "declaration", "a"), ("r.rs", "line", "L1")]
+    e = spark.createDataFrame([(".", f, k, n, "structural") for f, k, n in [*names, names[0]]], "layer string, file string, anchor_kind string, anchor_name string, kind string")
+    kinds = ("line", "declaration")
+    table = fragments.anchor_resolve(e, fragments.fragments_extract(src, kinds))
+    named = fragments.anchor_resolve(e, fragments.named_fragments(src, kinds))
+    assert table.columns == named.columns and sorted(map(str, named.collect())) == sorted(map(str, table.collect()))
+    assert {r.anchor_name: r.node_text for r in named.collect() if r.file == "f"} == {"L1": "a", "L3": "é", "L4": "a", **dict.fromkeys(("L5", "L0", "L03", "XL1", "L99999999999"))}
+
+
+def test_texts_of_versions_are_not_sorted(spark, monkeypatch):
+    """Whole files are compared without shuffling texts; of lines only those that ends name are shuffled."""
+    e = spark.createDataFrame([(".", "a", 0, "structural", "f", None, None, "c1"), (".", "a", 1, "structural", "f", "line", "L2", "c1")], "layer string, uuid string, n int, kind string, file string, anchor_kind string, anchor_name string, commit string")
+    e = e.selectExpr("*", "cast(null as long) as rel_start", "cast(null as long) as rel_end", "cast(null as string) as target_layer")
+    versions = spark.createDataFrame([(".", "f", "c1", 1, "x\ny\n"), (".", "f", "c0", 1, "never"), (".", "f", "c2", 2, "x\nz")], "layer string, file string, commit string, seq long, text string")
+    src = spark.createDataFrame([(".", "f", "text", 4, "x\nz  ")], "layer string, file string, lang string, n_bytes long, text string")
+    plans = {}
+    monkeypatch.setattr(detect, "durable", lambda df, name: plans.setdefault(name, plan(df)) and durable(df, name))
+    got = sorted((r.n, r.changed, r.first_line, r.last_line) for r in detect.fragment_diff(e, versions, src).collect())
+    assert got == [(0, True, 1, 2), (1, True, 2, 2)]
+    assert "ShuffledHashJoin" in plans["ends-both"] and "max_by(text" not in "".join(plans.values())
