@@ -92,3 +92,12 @@ def test_texts_of_versions_are_not_sorted(spark, monkeypatch):
     got = sorted((r.n, r.changed, r.first_line, r.last_line) for r in detect.fragment_diff(e, versions, src).collect())
     assert got == [(0, True, 1, 2), (1, True, 2, 2)]
     assert "ShuffledHashJoin" in plans["ends-both"] and "max_by(text" not in "".join(plans.values())
+
+
+def test_states_are_cached_without_accepted_texts(spark, monkeypatch):
+    from tautline.plans import history
+
+    written = {}
+    monkeypatch.setattr(history, "durable", lambda df, name: written.setdefault(name, df.columns) and durable(df, name))
+    assert history.prune_unchanged(spark, "/root/testdata/sf0.001").count() > 0
+    assert "accepted" not in written["cached-states"]
