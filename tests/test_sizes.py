@@ -101,3 +101,12 @@ def test_states_are_cached_without_accepted_texts(spark, monkeypatch):
     monkeypatch.setattr(history, "durable", lambda df, name: written.setdefault(name, df.columns) and durable(df, name))
     assert history.prune_unchanged(spark, "/root/testdata/sf0.001").count() > 0
     assert "accepted" not in written["cached-states"]
+
+
+def test_fixes_work_out_ends_once(spark, monkeypatch):
+    from tautline.plans import history
+
+    asked = []
+    ends = history.S.doc_endpoints
+    monkeypatch.setattr(history.S, "doc_endpoints", lambda *a: asked.append(1) or ends(*a))
+    assert history.apply_fixes(spark, "/root/testdata/sf0.001").count() > 0 and len(asked) == 1
