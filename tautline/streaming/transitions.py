@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+from collections import namedtuple
 from collections.abc import Iterator
 
 import pandas as pd
@@ -19,6 +20,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from tautline.functions import text as T
 from tautline.operators.check import KEY
 
+Change = namedtuple("Change", ["event_id", "what", "layer", "n", "there", "now_hash", "now_shape", "node", "hash", "shape_hash", "accepted_len"])
 OUT = "uuid string, layer string, n int, step long, event_id long, state string, new_state string"
 
 
@@ -28,8 +30,9 @@ def _displaced(node: str, digest: str, size: int | None) -> bool:
     return bool(size) and any(hashlib.sha256(raw[k : k + size]).hexdigest() == digest for k in range(len(raw) - size + 1))
 
 
-def structural_state(end: dict) -> str | None:
-    """The state of a structural or task end from its baseline and what its file last said; its stored one if the file hasn't spoken yet."""
+def structural_state(end: dict, searched: dict | None = None) -> str | None:
+    """The state of a structural or task end from its baseline and what its file last said; its stored one if the file hasn't spoken yet. searched: results of
+    searches for accepted texts so far, which this one adds to."""
     seen = end.get("seen")
     if seen is None:
         return "OK" if end.get("accepted") else end["state"]
@@ -44,7 +47,10 @@ def structural_state(end: dict) -> str | None:
     if end["anchored"]:
         if end["shape_hash"] is not None and end["shape_hash"] == seen["shape_hash"]:
             return "RESTYLED"
-        if _displaced(seen["node"], end["hash"], end["accepted_len"]):
+        searched, key = {} if searched is None else searched, (end["hash"], end["accepted_len"], seen["node"])
+        if key not in searched:
+            searched[key] = _displaced(key[2], key[0], key[1])
+        if searched[key]:
             return "DISPLACED"
     return "ALTERED"
 
@@ -65,10 +71,13 @@ def _value(x):
 
 
 def _transitions(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    rows = pd.concat(list(batches)).sort_values(["event_id", "what", "layer", "n"], kind="stable")
-    ends, step = (json.loads(state.get[0]), state.get[1]) if state.exists else (json.loads(rows["ends"].iloc[0]), 0)
+    batches = [x for x in batches if len(x)]
+    rows = [Change(*r) for x in batches for r in zip(*[x[c].tolist() for c in Change._fields], strict=True)]
+    rows.sort(key=lambda r: r[:4])  # groups are many and small: sorting frames takes longer than all else
+    ends, step = (json.loads(state.get[0]), state.get[1]) if state.exists else (json.loads(batches[0]["ends"].iloc[0]), 0)
     by, out = {(x["layer"], x["n"]): x for x in ends}, []
-    for r in rows.itertuples(index=False):
+    searched: dict = {}  # a text that a file has again is not searched again
+    for r in rows:
         end, last = by.get((r.layer, r.n)), f"last_{r.what}"
         if end is None or int(r.event_id) <= end.get(last, -(1 << 63)):
             continue  # late, or the same again
@@ -79,7 +88,7 @@ def _transitions(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState)
             end |= {"hash": _value(r.hash), "shape_hash": _value(r.shape_hash), "accepted_len": None if _value(r.accepted_len) is None else int(r.accepted_len), "accepted": True}
         near = [end] if r.what == "file" else [end, *[x for x in ends if x["kind"] == "layer" and x["target_layer"] == end["layer"] and x is not end]]
         for x in near:
-            new = layer_state(x, ends) if x["kind"] == "layer" else structural_state(x)
+            new = layer_state(x, ends) if x["kind"] == "layer" else structural_state(x, searched)
             if new != x["state"]:
                 step += 1
                 out.append((key[0], x["layer"], x["n"], step, int(r.event_id), x["state"], new))

@@ -88,3 +88,21 @@ def test_each_change_is_one_transition(spark, tmp_path):
     one = [(r.event_id, r.state, r.new_state) for r in sorted(rows, key=lambda r: r.event_id) if (r.uuid, r.n) == ("1", 1)]
     assert one == [(1, None, "OK"), (4, "OK", "RESTYLED"), (5, "RESTYLED", "DISPLACED")]
     assert [b for _, b in itertools.pairwise([(r.event_id, r.new_state) for r in sorted(rows, key=lambda r: r.event_id) if (r.layer, r.uuid, r.n) == (".", "4", 1)])] == [(11, "OK")]
+
+
+def test_a_text_that_comes_back_is_searched_once(monkeypatch):
+    import json
+
+    import pandas as pd
+
+    from tautline.streaming import transitions
+
+    searched, displaced = [], transitions._displaced
+    monkeypatch.setattr(transitions, "_displaced", lambda *a: searched.append(a[0]) or displaced(*a))
+    digest = transitions.hashlib.sha256(b"abc").hexdigest()
+    end = {"layer": ".", "n": 1, "kind": "structural", "target_layer": None, "hash": digest, "shape_hash": "s", "accepted_len": 3, "state": None, "anchored": True}
+    nodes = ["xabc", "nothing", "xabc", "abc", "nothing", "xabc"]
+    row = lambda k, node: {"layer": ".", "n": 1, "event_id": k, "what": "file", "there": True, "now_hash": transitions.hashlib.sha256(node.encode()).hexdigest(), "now_shape": "t", "node": node, "hash": None, "shape_hash": None, "accepted_len": None, "ends": json.dumps([end])}
+    state = type("State", (), {"exists": False, "update": lambda self, v: None})()
+    (got,) = transitions._transitions(("u",), iter([pd.DataFrame([row(k, x) for k, x in enumerate(nodes)])]), state)
+    assert list(got["new_state"]) == ["DISPLACED", "ALTERED", "DISPLACED", "OK", "ALTERED", "DISPLACED"] and sorted(searched) == ["nothing", "xabc"]
