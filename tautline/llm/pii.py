@@ -6,26 +6,29 @@ digit groups) and `code` (two letters, two check digits, groups). Boosted trees
 format and its context. A candidate that overlaps no base span becomes a span of kind `other` where its score reaches the
 threshold of its generator.
 
-The trees are fitted with MLlib on weakly labelled candidates, about SAMPLE of them at most, drawn by a hash. Positive:
+The trees are fitted with MLlib on all weakly labelled candidates of the table; equal ones are one row with their number as its weight. Positive:
 candidates that a base check accepts, base spans in another guise (a phone number without its plus, an address with
 a written at), codes whose check digits hold. Negative: spans of a base format that fail its check, base spans turned into
 dates, amounts, versions and ranges, codes whose check digits don't hold. Candidates of which neither is known have no
-label and take no part. Scores are calibrated by isotonic regression, for each generator, on candidates
-held out of the fit, equal scores together; the threshold is the least score whose calibrated precision reaches PRECISION.
+label and take no part. Scores are calibrated by isotonic regression, for each generator, on all labelled candidates again, each one
+scored by trees that were fitted without its fold, equal scores together; the threshold is the least score whose calibrated precision reaches
+PRECISION. Scores are rounded down to STEPS steps, so that their counts, which the driver sees, have a bound.
 
 Defined results: a null text counts as empty and has no span; a null doc_id is kept; repeated rows come out as often as
 they went in; of candidates that overlap each other all that reach the threshold come out; equal scores are judged alike;
-where the sample has candidates of one class only, no trees are fitted and base spans alone result, and a generator without
-held-out candidates adds none; very long texts are scanned whole, in time proportional to their length; an empty table gives
+where the candidates outside of a fold are of one class only, no trees are fitted and base spans alone result, and a generator without
+labelled candidates adds none; very long texts are scanned whole, in time proportional to their length; an empty table gives
 no rows; extra columns are not read.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
@@ -51,8 +54,10 @@ CODE = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,}+(?: ?[
 CUES = re.compile(r"(?i)\b(?:phone|tel|call|fax|mobile|mail|contact|card|visa|account|iban|ssn|passport|ip|address|host)\b")
 SIGNS = re.compile(r"[0-9@]|[\[(]at[\])]")
 
-#: About how many labelled candidates are drawn, one in so many held out, least digits of a number, the calibrated precision asked for.
-SAMPLE, HELD_OUT, LEAST_DIGITS, PRECISION = 20_000, 4, 7, 0.95
+#: Folds of the labelled candidates, steps of a score, least digits of a number, the calibrated precision asked for.
+FOLDS, STEPS, LEAST_DIGITS, PRECISION = 2, 10_000, 7, 0.95
+#: Different labelled candidates in a part of the fit.
+PART = 50_000
 
 
 def luhn(digits: str) -> bool:
@@ -191,12 +196,16 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     return rows.mapInPandas(of, f"doc_id long, n_email long, n_ip long, n_card long, n_phone long, {kinds}")
 
 
-def calibrated_threshold(held: list[tuple[float, float]], precision: float) -> float:
-    """The least score from which on the isotonic fit of labels by score reaches `precision`; 2 where none does. held: (score, label)."""
-    score = pd.DataFrame(held, columns=["p", "y"]).groupby("p")["y"].agg(["sum", "count"]).sort_index()
-    pools: list[list[float]] = []  # score, labels, count: means that never fall
-    for p, (y, n) in zip(score.index, score.to_numpy(), strict=True):
-        pools.append([p, y, n])
+def calibrated_threshold(held: list[tuple], precision: float) -> float:
+    """The least score from which on the isotonic fit of labels by score reaches `precision`; 2 where none does. held: (score, label), or (score, label, how many)."""
+    score: dict[float, list[int]] = {}
+    for p, y, *n in held:
+        both = score.setdefault(p, [0, 0])
+        both[0] += int(y) * (n[0] if n else 1)
+        both[1] += n[0] if n else 1
+    pools: list[list] = []  # score, labels, count: means that never fall
+    for p in sorted(score):
+        pools.append([p, *score[p]])
         while len(pools) > 1 and pools[-2][1] * pools[-1][2] >= pools[-1][1] * pools[-2][2]:
             _, y, n = pools.pop()
             pools[-1][1] += y
@@ -204,30 +213,48 @@ def calibrated_threshold(held: list[tuple[float, float]], precision: float) -> f
     return next((p for p, y, n in pools if y >= precision * n), 2.0)
 
 
-def fit(found: DataFrame, sample: int = SAMPLE, precision: float = PRECISION) -> tuple[GBTClassificationModel | None, list[float]]:
-    """The boosted trees and the threshold of each generator; found: row, start, end, generator, label, features."""
-    known = found.filter("label >= 0").withColumn("h", F.xxhash64("row", "start", "end", "features"))
-    share = min(1.0, sample / max(1, known.count()))
-    drawn = known.filter(F.col("h") < int((2 * share - 1) * (1 << 63))) if share < 1 else known  # that share of all hashes
-    some = durable(drawn.select("label", "generator", "features", "h"), "pii-sample")
-    some = some.withColumn("features", array_to_vector("features")).withColumn("held", F.pmod("h", F.lit(HELD_OUT)) == 0)
-    if some.filter("not held").select("label").distinct().count() < 2:
+def known(found: DataFrame) -> DataFrame:
+    """The labelled ones of found (doc_id, start, end, generator, label, features), all of them: fold, generator, label, features, n (equal ones)."""
+    fold = F.pmod(F.xxhash64("doc_id", "start", "end", "features"), F.lit(FOLDS)).cast("int")
+    return found.filter("label >= 0").groupBy(fold.alias("fold"), "generator", "label", "features").agg(F.count("*").alias("n"))
+
+
+def trees(rows: DataFrame) -> GBTClassificationModel | None:
+    """The boosted trees of rows of known(). MLlib looks for splits in max(maxBins ** 2, 10000) rows drawn at random, so that maxBins has to grow with the
+    rows for it to look at all of them; a feature has as many bins as values at most. Every level of every tree is a shuffle: few rows have few parts."""
+    n = rows.count()
+    if rows.select("label").distinct().count() < 2:
+        return None
+    order = ("features", "generator", "label", "fold")
+    rows = rows.coalesce(1 + n // PART).sortWithinPartitions(*order).withColumn("features", array_to_vector("features"))
+    return GBTClassifier(maxIter=15, maxDepth=4, seed=1, weightCol="n", maxBins=max(32, 1 + math.isqrt(n))).fit(rows)
+
+
+def scores(model: GBTClassificationModel, rows: DataFrame) -> DataFrame:
+    return model.transform(rows.withColumn("features", array_to_vector("features"))).withColumn("p", F.floor(vector_to_array("probability")[1] * STEPS) / STEPS)
+
+
+def fit(found: DataFrame, precision: float = PRECISION) -> tuple[GBTClassificationModel | None, list[float]]:
+    """The boosted trees and the threshold of each generator; found: doc_id, start, end, generator, label, features."""
+    rows = durable(known(found), "pii-known")
+    parts = [trees(rows.filter(F.col("fold") != k)) for k in range(FOLDS)]
+    if None in parts:
         return None, []
-    model = GBTClassifier(maxIter=15, maxDepth=4, seed=1).fit(some.filter("not held").repartition(2))
-    held = model.transform(some.filter("held")).select("generator", vector_to_array("probability")[1].alias("p"), "label").collect()  # a part of the bounded sample
-    return model, [calibrated_threshold([(r.p, r.label) for r in held if r.generator == g], precision) for g in range(len(GENERATORS))]
+    left_out = [scores(m, rows.filter(F.col("fold") == k)).select("generator", "p", "label", "n") for k, m in enumerate(parts)]
+    counts = reduce(DataFrame.union, left_out).groupBy("generator", "p", "label").agg(F.sum("n").alias("n")).collect()  # two labels of STEPS + 1 scores at most, for each generator
+    return trees(rows), [calibrated_threshold([(r.p, r.label, r.n) for r in counts if r.generator == g], precision) for g in range(len(GENERATORS))]
 
 
-def personal_data(docs: DataFrame, sample: int = SAMPLE, precision: float = PRECISION, **names) -> DataFrame:
+def personal_data(docs: DataFrame, precision: float = PRECISION, **names) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, base (array of spans), spans (array: base and further ones)."""
     rows = durable(scan(docs, **names).withColumn("row", F.monotonically_increasing_id()), "pii")
-    found = rows.filter(F.size("found") > 0).select("row", F.explode("found").alias("f")).select("row", "f.*")
-    model, thresholds = fit(found, sample, precision)
+    found = rows.filter(F.size("found") > 0).select("row", "doc_id", F.explode("found").alias("f")).select("row", "doc_id", "f.*")
+    model, thresholds = fit(found, precision)
     texts = lambda c: F.transform(F.array_sort(c), lambda x: x["span"])
     if model is None:
         return rows.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", texts("base").alias("base"), texts("base").alias("spans"))
-    scored = model.transform(found.filter("own").withColumn("features", array_to_vector("features")))
-    scored = scored.filter(vector_to_array("probability")[1] >= F.element_at(F.array(*map(F.lit, thresholds)), F.col("generator") + 1))
+    scored = scores(model, found.filter("own"))
+    scored = scored.filter(F.col("p") >= F.element_at(F.array(*map(F.lit, thresholds)), F.col("generator") + 1))
     span = F.struct("start", F.lit(len(KINDS)).alias("ord"), F.concat_ws(":", F.lit("other"), "start", "end").alias("span"))
     more = scored.groupBy("row").agg(F.collect_set(span).alias("more"))
     every = F.when(F.col("more").isNull(), F.col("base")).otherwise(F.concat("base", "more"))

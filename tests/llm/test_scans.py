@@ -140,6 +140,22 @@ def test_disguised_data_is_found(spark):
     assert len(right) >= 0.8 * len(planted) and good >= 0.9 * len(added)
 
 
+def test_trees_are_fitted_on_every_labelled_candidate(spark, monkeypatch):
+    """One labelled candidate in 20,000 is of the other class: a draw of 20,000 loses all five, or halves them."""
+    found = spark.range(100_000).selectExpr("id as row", "id as doc_id", "0L as start", "5L as end", "0 as generator", "double(id % 20000 = 7) as label", "array(double(id % 20000 = 7), double(id % 50)) as features")
+    every = pii.known(found.union(found.limit(10).selectExpr("row", "doc_id", "start", "end", "generator", "-1.0D", "features")))
+    assert {r.label: r.n for r in every.groupBy("label").sum("n").withColumnRenamed("sum(n)", "n").collect()} == {0.0: 99_995, 1.0: 5}
+    assert every.groupBy("label").count().count() == 2 and every.count() <= 2 * 51
+    seen = []
+    fitted = pii.trees
+    monkeypatch.setattr(pii, "trees", lambda rows: seen.append((rows.agg({"n": "sum"}).first()[0], rows.count(), fitted(rows))) or seen[-1][2])
+    model, thresholds = pii.fit(found)
+    assert seen[-1][0] == 100_000 and sum(n for n, _, _ in seen[:-1]) == 100_000 * (pii.FOLDS - 1)
+    assert all(m.getMaxBins() ** 2 >= n for _, n, m in seen)
+    assert 0 < thresholds[0] <= 1 and thresholds[1:] == [2.0, 2.0]
+    assert pii.scores(model, found.filter("label = 1")).filter(f"p >= {thresholds[0]}").count() == 5
+
+
 def test_threshold_counts_ties_in_full():
     held = [(0.9, 1.0)] * 19 + [(0.9, 0.0)] * 2 + [(0.95, 1.0)] * 5 + [(0.2, 0.0)] * 9
     assert pii.calibrated_threshold(held, 0.95) == 0.95
