@@ -10,6 +10,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from tautline.functions.durable import durable
 from tautline.llm import bpe, components, decontaminate, html, lines, pii, quality, secrets, sharding, similar, simhash, substring
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
@@ -503,3 +504,28 @@ def test_queries_give_the_contract(spark):
     assert {r.doc_id for r in quality.op8_quality(spark, d).collect() if r.kept} == {k for k, t in texts.items() if plain_kept(t)}
     assert {(r.law, r.doc_id is not None) for r in sharding.op10_sharding(spark, d).collect()} == {("bytes", True)}
     assert {r.doc_id: r.n_words for r in substring.op5_substring(spark, d).collect()} == {k: len(WORDS.findall(t)) for k, t in texts.items()}
+
+
+def test_short_lists_of_lines_are_met_without_their_earliest(spark, monkeypatch):
+    """What few occurrences bound needs no first step; with it the result is the same. Lines are hashed once, not for each pair."""
+    words = [f"w{k}" for k in range(40)]
+    texts = {k: " ".join(words[:k] + [f"x{k}"] + words[k + 1 :]) for k in range(12)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    written = collections.defaultdict(list)
+    monkeypatch.setattr(lines, "LISTS", 1)  # so that no word is a frequent one
+    monkeypatch.setattr(lines, "durable", lambda df, name: written[name].append(durable(df, name)) or written[name][-1])
+    assert {r.doc_id: r.text for r in lines.dedup_lines(docs).collect()} == plain_lines(texts)
+    assert written["led"][0].count() == 0 and written["met"][0].count() == 66 and "t" not in written["lines"][1].columns
+    written.clear()
+    monkeypatch.setattr(lines, "LED", 1)
+    assert {r.doc_id: r.text for r in lines.dedup_lines(docs).collect()} == plain_lines(texts)
+    assert written["led"][0].count() >= 11 and written["met"][0].count() == 0
+
+
+def test_postings_stand_in_order(spark):
+    sets = spark.range(2000).selectExpr("id as key", "0L as turn", "0 as line", "5 as n", "array(xxhash64(id) & 1023L, 5000L + id % 7) as prefix", "id as sig", "0L as sig2")
+    name, path = lines.postings(sets, 121)
+    got = [(r.file, r.deal) for r in spark.table(name).selectExpr("input_file_name() as file", "deal").collect()]
+    files = {f: [d for g, d in got if g == f] for f, _ in got}
+    assert len(got) == 4000 and len(files) == 2 and all(x == sorted(x) for x in files.values())
+    spark.sql(f"DROP TABLE {name}")
